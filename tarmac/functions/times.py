@@ -118,7 +118,7 @@ def calendar_features(origin, dest, dep_local, date, dep_hhmm) -> dict[str, Colu
 
 def dep_time_block(hhmm) -> Column:
     """``HH00-HH59``; null counts as hour 0, hours are held in 0..23."""
-    hour = F.coalesce(F.greatest(F.least(int_div(hhmm, 100), F.lit(23)), F.lit(0)), F.lit(0))
+    hour = F.greatest(F.least(F.coalesce(int_div(hhmm, 100), F.lit(0)), F.lit(23)), F.lit(0))
     return F.format_string("%02d00-%02d59", hour, hour)
 
 

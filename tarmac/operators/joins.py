@@ -49,7 +49,7 @@ def asof_backward(
             *by, "__on", "__q", *[F.coalesce(c, f"__c_{c}").alias(c) for c in columns]
         )
     answers = found.filter("__q = 1").drop("__q").withColumnRenamed("__on", left_on)
-    return join_null_safe(left, answers, [*by, left_on])
+    return left.join(answers, [*by, left_on], "left")
 
 
 def asof_global(
@@ -101,7 +101,7 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_on: str, righ
         *by, F.col("__on").alias(left_on),
         F.when(ahead_wins & F.col("__a").isNotNull(), F.col("__a")).otherwise(F.col("__b")).alias("__row"),
     )
-    joined = join_null_safe(left, found, [*by, left_on])
+    joined = left.join(found, [*by, left_on], "left")
     return joined.withColumns({c: F.col("__row")[c] for c in columns}).drop("__row")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.text import clean_sentinel
 from tarmac.functions.times import epoch_seconds
-from tarmac.operators.ordered import hour_bucket, join_null_safe, ordered_rank, previous_row
+from tarmac.operators.ordered import hour_bucket, ordered_rank, previous_row
 
 
 def leg_number(df: DataFrame, tail: str, date: str, departure: str, row_id: str, out: str = "tail_leg_num_day") -> DataFrame:

@@ -25,13 +25,6 @@ def hour_bucket(ts) -> Column:
     return F.unix_date(t.cast("date")).cast("long") * 24 + F.hour(t)
 
 
-def _keys_equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    test = F.lit(True)
-    for k in keys:
-        test = test & left[k].eqNullSafe(right[k])
-    return test
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join on keys that may be null; the right side's key columns are dropped."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -53,7 +46,7 @@ def running_totals(
     """Adds ``{out}`` = running total of column ``sums[out]`` per key in the given order.
 
     ``bucket`` must not fall when the order rises. With ``peers`` rows of equal order count
-    together (RANGE); otherwise row by row, which needs a unique order.
+    together (RANGE); otherwise row by row, which needs a unique order. Keys must not be null.
     """
     direction = F.desc if descending else F.asc
     frame = df.withColumn("__bucket", bucket)
@@ -65,7 +58,7 @@ def running_totals(
     inside = Window.partitionBy(*by, "__bucket").orderBy(*[direction(c) for c in order])
     inside = (inside.rangeBetween if peers else inside.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
     local = frame.withColumns({f"__l_{o}": F.sum(c).over(inside) for o, c in sums.items()})
-    joined = join_null_safe(local, offsets, [*by, "__bucket"])
+    joined = local.join(offsets, [*by, "__bucket"], "left")
     drop = ["__bucket", *[f"__l_{o}" for o in sums], *[f"__o_{o}" for o in sums]]
     return joined.withColumns({o: F.col(f"__l_{o}") + F.col(f"__o_{o}") for o in sums}).drop(*drop)
 
@@ -81,7 +74,10 @@ def ordered_rank(
 
 
 def previous_row(df: DataFrame, by: list[str], bucket: Column, order: list[str], columns: list[str], out: str) -> DataFrame:
-    """Adds struct ``out`` with ``columns`` of the preceding row of the key; null for the first."""
+    """Adds struct ``out`` with ``columns`` of the preceding row of the key; null for the first.
+
+    Keys and order must not be null.
+    """
     frame = df.withColumn("__bucket", bucket)
     picked = F.struct(*columns)
     last = frame.groupBy(*by, "__bucket").agg(F.max_by(picked, F.struct(*order)).alias("__last"))
@@ -89,7 +85,7 @@ def previous_row(df: DataFrame, by: list[str], bucket: Column, order: list[str],
     carried = last.select(*by, "__bucket", F.lag("__last").over(earlier).alias("__carried"))
     inside = Window.partitionBy(*by, "__bucket").orderBy(*order)
     local = frame.withColumn("__local", F.lag(picked).over(inside))
-    joined = join_null_safe(local, carried, [*by, "__bucket"])
+    joined = local.join(carried, [*by, "__bucket"], "left")
     return joined.withColumn(out, F.coalesce("__local", "__carried")).drop("__bucket", "__local", "__carried")
 
 
@@ -101,7 +97,7 @@ def exact_quantile_counts(counts: DataFrame, by: list[str], value: str, freq: st
     """
     running = running_totals(counts, by, value_bucket(value), [value], {"__upto": freq})
     totals = counts.groupBy(*by).agg(F.sum(freq).alias("__n"))
-    merged = join_null_safe(running, totals, by) if by else running.withColumn(
+    merged = running.join(totals, by) if by else running.withColumn(
         "__n", totals.select("__n").scalar()
     )
     position = (F.col("__n") - 1) * F.lit(p)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.times import col, epoch_seconds
 from tarmac.operators.joins import asof_backward
-from tarmac.operators.ordered import join_null_safe
 
 INT16_MAX = 32767
 
@@ -84,7 +83,7 @@ def add_baselines(df: DataFrame, hist: DataFrame, windows, columns, calendar: bo
         .join(by_carrier, [c.carrier, c.date], "left")
         .join(by_origin, [c.origin, c.date], "left")
     )
-    return join_null_safe(df, table, [c.carrier, c.origin, c.date])
+    return df.join(table, [c.carrier, c.origin, c.date], "left")
 
 
 def join_history_features(df: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,7 +134,7 @@ def history_window_means(
         *[_mean(F.col(f"sum_{w}"), F.col(f"n_{w}")).alias(f"{prefix}depdelay_mean_last{w}") for w in windows],
         F.col(f"n_{longest}").alias(f"{prefix}support_count_last{longest}d"),
     )
-    joined = join_null_safe(requests, table, [*keys, date])
+    joined = requests.join(table, [*keys, date], "left")
     support = F.coalesce(F.col(f"{prefix}support_count_last{longest}d"), F.lit(0).cast("long"))
     return joined.withColumns(
         {
@@ -189,7 +188,7 @@ def rolling_prior_events(
         *[_mean(total[w], count[w]).alias(f"{prefix}depdelay_mean_last{w}") for w in windows],
         count[longest].alias("__support"),
     )
-    joined = join_null_safe(facts, table, grain)
+    joined = facts.join(table, grain, "left")
     support = F.coalesce("__support", F.lit(0).cast("long"))
     return joined.withColumns(
         {
@@ -255,5 +254,5 @@ def rolling_days_median(hist: DataFrame, keys: list[str], date: str, value: str,
         *keys, F.explode(F.sequence(F.date_add(F.col(date), 1), F.date_add(F.col(date), window))).alias(date),
         F.col(value).alias("__v"), "__n",
     )
-    medians = carried.groupBy(*keys, date).agg(F.percentile("__v", 0.5, "__n").alias(out))
+    medians = carried.groupBy(*keys, date).agg(F.percentile("__v", 0.5, F.col("__n")).alias(out))
     return days.join(medians, [*keys, date], "left")

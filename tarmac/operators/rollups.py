@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac import constants as C
-from tarmac.operators.ordered import join_null_safe
 from tarmac.operators.rolling import rolling_days_at
 
 
@@ -41,7 +40,7 @@ def rollup_window_mean(
         *keys, date_end, mean.alias("mean_delay_min"), count.alias("support_count"),
         F.coalesce("flight_count", F.lit(0.0)).cast("long").alias("flight_count"),
     )
-    return join_null_safe(requests, table, [*keys, date_end])
+    return requests.join(table, [*keys, date_end], "left")
 
 
 def group_rollups(

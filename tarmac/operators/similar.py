@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.times import epoch_seconds
 from tarmac.operators.dedupe import dedupe_first
-from tarmac.operators.joins import asof_backward
-from tarmac.operators.ordered import hour_bucket, join_null_safe, ordered_rank
+from tarmac.operators.ordered import hour_bucket
 
 INFINITY = float("inf")
 
@@ -32,38 +31,57 @@ def topk_similar(requests: DataFrame, flights: DataFrame, k: int = 20, days: int
     Requests: request_id, origin, dest, departure. Flights: offer_id, origin, dest, departure, price
     and more. Candidates depart within ``days`` calendar days of the request.
 
-    No request is paired with its whole route. Offers get their position in departure order; a
-    request looks up its own position and joins k offers before and k after it by position. Of
-    offers with one departure time only the k cheapest can matter, and the order backwards in time
-    is also cheapest first, so the 2k looked at always contain the k wanted.
+    No request is paired with its whole route. Offers and distinct request times are put into one
+    departure order; a running count of offers gives both their position. A request then joins the k
+    offers before and the k after its position. Of offers with one departure time only the k
+    cheapest can matter, and a second position orders those cheapest last, so that the 2k looked at
+    always contain the k wanted.
     """
     route = ["origin", "dest"]
-    priced = flights.withColumn("__price", price_order("price"))
     same_time = Window.partitionBy(*route, "departure").orderBy("__price", "offer_id")
-    useful = priced.withColumn("__tie", F.row_number().over(same_time)).filter(F.col("__tie") <= k)
-    useful = useful.withColumn("__back", -F.col("__tie"))
-    forward = ordered_rank(useful, route, hour_bucket("departure"), ["departure", "__tie"], "__pos")
-    backward = ordered_rank(useful, route, hour_bucket("departure"), ["departure", "__back"], "__pos")
-    upto = forward.groupBy(*route, "departure").agg(F.max("__pos").alias("__upto"))
-    asked = asof_backward(
-        requests, upto.withColumnRenamed("departure", "__d"), route, "departure", "__d", ["__upto"], hour_bucket
-    ).withColumn("__upto", F.coalesce("__upto", F.lit(0).cast("long")))
-    carried = asked.select("request_id", *route, F.col("departure").alias("requested"), "__upto")
-
-    def look(offers: DataFrame, first, last) -> DataFrame:
-        wanted = carried.withColumn("__pos", F.explode(F.sequence(first, last)))
-        return wanted.join(offers.drop("__back", "__tie"), [*route, "__pos"])
-
-    upto_col = F.col("__upto")
-    near = look(forward, upto_col + 1, upto_col + k).unionByName(look(backward, upto_col - (k - 1), upto_col))
+    useful = (
+        flights.withColumn("__price", price_order("price"))
+        .withColumn("__tie", F.row_number().over(same_time)).filter(F.col("__tie") <= k)
+    )
+    points = requests.select(*route, "departure").distinct()
+    line = (
+        useful.withColumn("__offer", F.lit(1).cast("long"))
+        .unionByName(points.withColumns({"__offer": F.lit(0).cast("long"), "__tie": F.lit(k + 1)}), allowMissingColumns=True)
+        .withColumn("__bucket", hour_bucket("departure"))
+    )
+    earlier = Window.partitionBy(*route).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        line.groupBy(*route, "__bucket").agg(F.sum("__offer").alias("__in"))
+        .select(*route, "__bucket", F.coalesce(F.sum("__in").over(earlier), F.lit(0)).alias("__before"))
+    )
+    inside = Window.partitionBy(*route, "__bucket")
+    backward_tie = F.when(F.col("__offer") == 1, -F.col("__tie")).otherwise(F.col("__tie"))
+    rows = lambda *order: inside.orderBy("departure", *order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = line.withColumns(
+        {"__f": F.sum("__offer").over(rows("__tie")), "__b": F.sum("__offer").over(rows(backward_tie))}
+    ).join(offsets, [*route, "__bucket"])
+    forward, backward = F.col("__f") + F.col("__before"), F.col("__b") + F.col("__before")
+    step = lambda side, position: F.struct(F.lit(side).alias("side"), position.alias("pos"))
+    offers = placed.filter("__offer = 1").withColumn("__at", F.explode(F.array(step(1, forward), step(-1, backward))))
+    wanted = placed.filter("__offer = 0").select(
+        *route, F.col("departure").alias("requested"),
+        F.explode(
+            F.concat(
+                F.transform(F.sequence(forward + 1, forward + k), lambda p: step(1, p)),
+                F.transform(F.sequence(forward - (k - 1), forward), lambda p: step(-1, p)),
+            )
+        ).alias("__at"),
+    )
+    near = wanted.join(offers.drop("__offer", "__tie", "__bucket", "__f", "__b", "__before"), [*route, "__at"])
     gap = F.date_diff(F.col("departure").cast("date"), F.col("requested").cast("date"))
-    minutes = F.round((epoch_seconds("departure") - epoch_seconds("requested")) / 60.0, 0).cast("long")
+    seconds = epoch_seconds("departure") - epoch_seconds("requested")
+    minutes = F.floor(seconds / 60.0 + 0.5).cast("long")
     near = near.filter(F.abs(gap) <= days).withColumns(
         {"similarity_minutes": minutes, "similarity_minutes_abs": F.abs(minutes)}
     )
-    order = Window.partitionBy("request_id").orderBy("similarity_minutes_abs", "__price", "offer_id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.drop("__pos", "__upto", "__price")
+    order = Window.partitionBy(*route, "requested").orderBy("similarity_minutes_abs", "__price", "offer_id")
+    best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("__at", "__price")
+    return requests.select("request_id", *route, F.col("departure").alias("requested")).join(best, [*route, "requested"])
 
 
 def sort_modes(df: DataFrame, mode: str = "date_asc", row_id: str = "offer_id") -> DataFrame:
