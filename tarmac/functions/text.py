@@ -118,29 +118,28 @@ def explain_reasons(
     return F.when(F.size(found) == 0, C.NO_REASON).otherwise(F.array_join(F.slice(found, 1, limit), "; "))
 
 
+def _pattern_hits(text: Column, regex: str, method: str, confidence: float, order: int) -> Column:
+    snippets = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    return F.transform(
+        snippets,
+        lambda s: F.struct(
+            F.lit(confidence).alias("confidence"), F.regexp_extract(s, regex, 1).cast("int").alias("value"),
+            F.lit(order).alias("order"), F.lit(method).alias("method"), s.alias("snippet"),
+        ),
+    )
+
+
 def extract_count_patterns(text, noun: str = "gates", patterns=C.COUNT_PATTERNS, low: int = 1, high: int = 2000):
     """Best count of ``noun`` in a text: struct of value, method, confidence, notes.
 
     Works on arrays inside the row, so that whole texts are read once and nothing is shuffled.
     """
     flat = F.trim(F.regexp_replace(col(text), r"\s+", " "))
-    hits = []
-    for rank, (pattern, method, confidence) in enumerate(patterns):
-        regex = "(?i)" + pattern.replace("{noun}", noun)
-        snippets = F.regexp_extract_all(flat, F.lit(regex), F.lit(0))
-        hits.append(
-            F.transform(
-                snippets,
-                lambda s, regex=regex, method=method, confidence=confidence, rank=rank: F.struct(
-                    F.lit(confidence).alias("confidence"),
-                    F.regexp_extract(s, regex, 1).cast("int").alias("value"),
-                    F.lit(-rank).alias("order"),
-                    F.lit(method.replace("{noun}", noun)).alias("method"),
-                    s.alias("snippet"),
-                ),
-            )
-        )
-    found = F.filter(F.flatten(F.array(*hits)), lambda h: h["value"].between(low, high))
+    found_by_pattern = [
+        _pattern_hits(flat, "(?i)" + pattern.replace("{noun}", noun), method.replace("{noun}", noun), confidence, -rank)
+        for rank, (pattern, method, confidence) in enumerate(patterns)
+    ]
+    found = F.filter(F.flatten(F.array(*found_by_pattern)), lambda h: h["value"].between(low, high))
     top = F.array_max(F.transform(found, lambda h: F.struct(h["confidence"], h["value"], h["order"])))
     best = F.element_at(
         F.filter(found, lambda h: (h["confidence"] == top["confidence"]) & (h["value"] == top["value"])), 1
