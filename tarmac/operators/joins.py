@@ -195,18 +195,21 @@ def match_rate(df: DataFrame, column: str, unknown: str = "Unknown") -> DataFram
     return df.agg(share.alias("unknown_pct"), (F.lit(100.0) - share).alias("match_pct"))
 
 
-def match_schedule(requests: DataFrame, schedule: DataFrame, request_id: str) -> DataFrame:
+def match_schedule(
+    requests: DataFrame, schedule: DataFrame, keys=("flight_number", "dest", "date"),
+) -> DataFrame:
     """The earliest scheduled flight for each request.
 
-    Requests have flight_number, dest, date and optional hhmm (null matches any time); schedules have
-    carrier, flight_number, dest, date, sched_utc. Unmatched requests keep null.
+    Both sides have the keys; requests may have ``hhmm`` (null matches any time), schedules have
+    carrier and sched_utc. Unmatched requests keep null. Schedules are reduced to one row per key and
+    time before the join.
     """
+    keys = list(keys)
     first = (
         schedule.withColumn("__hm", F.date_format("sched_utc", "HH:mm"))
-        .groupBy("flight_number", "dest", "date", "__hm")
+        .groupBy(*keys, "__hm")
         .agg(F.min_by(F.struct("sched_utc", "carrier"), F.struct("sched_utc", "carrier")).alias("__f"))
     )
-    keys = ["flight_number", "dest", "date"]
     asked = requests.withColumn("__want", F.col("hhmm") if "hhmm" in requests.columns else F.lit(None).cast("string"))
     timed = asked.filter("__want is not null").join(
         first.withColumnRenamed("__hm", "__want"), [*keys, "__want"], "left"

@@ -10,7 +10,7 @@ from tarmac.functions.numbers import snapshot_delay
 from tarmac.functions.text import key_text
 
 # Airport, day and slot as they stand in the path, with or without hive-style names.
-PATH = r"/(?:airport=)?([A-Za-z0-9]{3})/snapshots/(?:local_date=)?(\d{4}-\d{2}-\d{2})/(?:slot=)?(\d{4})"
+PATH = r"/(?:airport=)?([A-Za-z0-9]{3})/snapshots(?:=[^/]*)?/(?:local_date=)?(\d{4}-\d{2}-\d{2})/(?:slot=)?(\d{4})"
 
 RECORD = T.StructType(
     [
