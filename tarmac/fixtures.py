@@ -36,7 +36,7 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flight per line item; ``flight_id`` is unique."""
     items = table(spark, sf_dir, "lineitem")
     base = items.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("flight_id"),
+        F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint))").alias("flight_id"),
         F.col("l_shipdate").cast("date").alias("FlightDate"),
         F.expr("case l_suppkey % 4 when 0 then 'WN' when 1 then 'AA' when 2 then 'DL' else 'UA' end").alias("Reporting_Airline"),
         F.expr("cast(l_partkey % 3 as int)").alias("Flight_Number_Reporting_Airline"),
@@ -81,7 +81,7 @@ def _sql_list(values) -> str:
 
 FLIGHTS_SQL = f"""
 base AS (
-  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS flight_id,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS flight_id,
     CAST(l_shipdate AS DATE) AS FlightDate,
     CASE l_suppkey % 4 WHEN 0 THEN 'WN' WHEN 1 THEN 'AA' WHEN 2 THEN 'DL' ELSE 'UA' END AS Reporting_Airline,
     CAST(l_partkey % 3 AS INTEGER) AS Flight_Number_Reporting_Airline,

@@ -11,11 +11,11 @@ from tarmac.functions.times import col, epoch_seconds
 from tarmac.operators.ordered import join_null_safe
 
 
-def asof_backward(
+def asof_table(
     left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str],
     bucket=None, tiebreak: list[str] | None = None,
 ) -> DataFrame:
-    """For each left row the latest right row of the key at or before it, column by column.
+    """For each distinct left point the latest right row of the key at or before it, column by column.
 
     A column takes its latest non-null value (wrap several in a struct to take them together). Only
     the distinct left points enter the window, next to one right row per point, so with dates a key
@@ -48,37 +48,53 @@ def asof_backward(
         found = found.join(carried, [*by, "__b"], "left").select(
             *by, "__on", "__q", *[F.coalesce(c, f"__c_{c}").alias(c) for c in columns]
         )
-    answers = found.filter("__q = 1").drop("__q").withColumnRenamed("__on", left_on)
-    return left.join(answers, [*by, left_on], "left")
+    return found.filter("__q = 1").drop("__q").withColumnRenamed("__on", left_on)
 
 
-def asof_global(
-    requests: DataFrame, rollups: DataFrame, request_date: str, request_value: str, group_type: str, prefix: str = "",
+def asof_backward(
+    left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str],
+    bucket=None, tiebreak: list[str] | None = None,
 ) -> DataFrame:
-    """Rollup rows of the latest as-of date at or before the request date.
+    """Left rows with the columns of ``asof_table``; rows without key or time keep nulls."""
+    answers = asof_table(left, right, by, left_on, right_on, columns, bucket, tiebreak)
+    return left.join(answers, [*by, left_on], "left")
+
+
+def asof_dates(requests: DataFrame, rollups: DataFrame, date: str, out: str = "as_of_date") -> DataFrame:
+    """For each distinct request date the latest as-of date at or before it, over all groups.
 
-    The date is looked up over all groups first; a group without a row on that date stays missing.
     The unpartitioned window holds distinct dates only.
     """
-    as_of = rollups.select(F.col("as_of_date").alias("__d")).distinct().withColumn("__q", F.lit(0))
-    asked = requests.select(F.col(request_date).alias("__d")).distinct().withColumn("__q", F.lit(1))
+    known = rollups.select(F.col("as_of_date").alias("__d")).distinct().withColumn("__q", F.lit(0))
+    asked = requests.select(F.col(date).alias("__d")).distinct().withColumn("__q", F.lit(1))
     order = Window.orderBy("__d", "__q").rowsBetween(Window.unboundedPreceding, 0)
-    dates = (
-        as_of.unionByName(asked)
-        .withColumn(f"{prefix}as_of_date", F.last(F.when(F.col("__q") == 0, F.col("__d")), True).over(order))
-        .filter((F.col("__q") == 1) & F.col("__d").isNotNull())
-        .select(F.col("__d").alias(request_date), f"{prefix}as_of_date")
+    latest = F.last(F.when(F.col("__q") == 0, F.col("__d")), True).over(order)
+    return (
+        known.unionByName(asked).withColumn(out, latest)
+        .filter((F.col("__q") == 1) & F.col("__d").isNotNull()).select(F.col("__d").alias(date), out)
     )
-    stats = rollups.filter(F.col("group_type") == group_type).drop("group_type")
-    measures = [c for c in stats.columns if c not in ("as_of_date", "group_value")]
-    stats = stats.select(
-        F.col("as_of_date").alias(f"{prefix}as_of_date"), F.col("group_value").alias(request_value),
+
+
+def rollup_stats(df: DataFrame, rollups: DataFrame, value: str, group_type: str, prefix: str = "", as_of: str = "as_of_date") -> DataFrame:
+    """Adds a group's rollup row on the as-of date a row already has; missing groups are flagged."""
+    measures = [c for c in rollups.columns if c not in ("as_of_date", "group_type", "group_value")]
+    stats = rollups.filter(F.col("group_type") == group_type).select(
+        F.col("as_of_date").alias(as_of), F.col("group_value").alias(value),
         *[F.col(c).alias(f"{prefix}{c}") for c in measures], F.lit(True).alias("__hit"),
     )
-    joined = requests.join(dates, request_date, "left").join(stats, [f"{prefix}as_of_date", request_value], "left")
+    joined = df.join(stats, [as_of, value], "left")
     return joined.withColumn(f"{prefix}missing", F.col("__hit").isNull()).drop("__hit")
 
 
+def asof_global(requests: DataFrame, rollups: DataFrame, date: str, value: str, group_type: str, prefix: str = "") -> DataFrame:
+    """Rollup rows of the latest as-of date at or before the request date.
+
+    The date is looked up over all groups first; a group without a row on that date stays missing.
+    """
+    dated = requests.join(asof_dates(requests, rollups, date, f"{prefix}as_of_date"), date, "left")
+    return rollup_stats(dated, rollups, value, group_type, prefix, f"{prefix}as_of_date")
+
+
 def nearest(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str]) -> DataFrame:
     """The right row of the key with the smallest time distance; the earlier one on ties.
 
@@ -210,13 +226,12 @@ def match_schedule(
         .groupBy(*keys, "__hm")
         .agg(F.min_by(F.struct("sched_utc", "carrier"), F.struct("sched_utc", "carrier")).alias("__f"))
     )
-    asked = requests.withColumn("__want", F.col("hhmm") if "hhmm" in requests.columns else F.lit(None).cast("string"))
-    timed = asked.filter("__want is not null").join(
-        first.withColumnRenamed("__hm", "__want"), [*keys, "__want"], "left"
+    any_time = first.groupBy(*keys).agg(F.min("__f").alias("__any"))
+    want = F.col("hhmm") if "hhmm" in requests.columns else F.lit(None).cast("string")
+    both = (
+        requests.withColumn("__hm", want).join(any_time, keys, "left").join(first, [*keys, "__hm"], "left")
+        .withColumn("__f", F.when(F.col("__hm").isNull(), F.col("__any")).otherwise(F.col("__f"))).drop("__hm", "__any")
     )
-    any_time = first.groupBy(*keys).agg(F.min("__f").alias("__f"))
-    untimed = asked.filter("__want is null").join(any_time, keys, "left")
-    both = timed.unionByName(untimed).drop("__want")
     return both.withColumns(
         {"sched_utc": F.col("__f")["sched_utc"], "carrier": F.col("__f")["carrier"], "matched": F.col("__f").isNotNull()}
     ).drop("__f")

@@ -10,61 +10,76 @@ from tarmac.functions.times import epoch_seconds
 from tarmac.operators.ordered import hour_bucket, ordered_rank, previous_row
 
 
+def _usable(df: DataFrame, tail: str, *needed: str) -> DataFrame:
+    return df.filter(F.length(F.col(tail)) > 0).dropna(subset=list(needed))
+
+
+def leg_numbers(df: DataFrame, tail: str, date: str, departure: str, row_id: str, out: str = "tail_leg_num_day") -> DataFrame:
+    """Row id and order of departure per tail and local day; equal departures go by row id."""
+    rows = _usable(df, tail, date, departure).select(row_id, tail, date, departure)
+    ranked = ordered_rank(rows, [tail, date], hour_bucket(departure), [departure, row_id], out)
+    return ranked.select(row_id, F.col(out).cast("int").alias(out))
+
+
 def leg_number(df: DataFrame, tail: str, date: str, departure: str, row_id: str, out: str = "tail_leg_num_day") -> DataFrame:
-    """Order of departure per tail and local day; rows without tail, day or time stay null.
+    """Facts with their leg number; rows without tail, day or time stay null."""
+    return df.join(leg_numbers(df, tail, date, departure, row_id, out), row_id, "left")
 
-    Equal departures are ordered by ``row_id``.
-    """
-    usable = (F.length(F.col(tail)) > 0) & F.col(date).isNotNull() & F.col(departure).isNotNull()
-    ranked = ordered_rank(df.filter(usable), [tail, date], hour_bucket(departure), [departure, row_id], out)
-    rest = df.filter(~F.coalesce(usable, F.lit(False))).withColumn(out, F.lit(None).cast("long"))
-    return ranked.unionByName(rest).withColumn(out, F.col(out).cast("int"))
+
+def first_departures(df: DataFrame, keys: list[str], departure: str, out: str = "first_departure") -> DataFrame:
+    return df.dropna(subset=[*keys, departure]).groupBy(*keys).agg(F.min(departure).alias(out))
 
 
 def hours_since_first(
     df: DataFrame, keys: list[str], departure: str, out: str = "flightnum_hours_since_first_departure_today",
 ) -> DataFrame:
     """Hours since the group's first departure of the day; the minimum is combined map-side."""
-    first = df.dropna(subset=[*keys, departure]).groupBy(*keys).agg(F.min(departure).alias("__first"))
-    hours = (epoch_seconds(departure) - epoch_seconds("__first")) / 3600.0
-    return df.join(first, keys, "left").withColumn(out, hours).drop("__first")
+    joined = df.join(first_departures(df, keys, departure, "__first"), keys, "left")
+    return joined.withColumn(out, hours_between("__first", departure)).drop("__first")
 
 
-def _with_previous(df: DataFrame, keys: list[str], departure: str, arrival: str, dest: str, row_id: str, usable: Column):
-    linked = previous_row(
-        df.filter(usable), keys, hour_bucket(departure), [departure, row_id], [arrival, dest], "__prev"
-    )
-    rest = df.filter(~F.coalesce(usable, F.lit(False)))
-    return linked.unionByName(rest, allowMissingColumns=True)
+def hours_between(start, end) -> Column:
+    return (epoch_seconds(end) - epoch_seconds(start)) / 3600.0
 
 
-def _gap_hours(departure: str, arrival: str) -> Column:
-    return (epoch_seconds(departure) - epoch_seconds(F.col("__prev")[arrival])) / 3600.0
+def recent_turns(
+    df: DataFrame, tail: str, origin: str, dest: str, departure: str, arrival: str, row_id: str,
+    max_hours: float = 5.0, out: str = "has_recent_arrival_turn_5h",
+) -> DataFrame:
+    """Row id and 0/1: the tail's previous leg came in here at most ``max_hours`` before."""
+    rows = _usable(df, tail, departure).select(row_id, tail, origin, dest, departure, arrival)
+    linked = previous_row(rows, [tail], hour_bucket(departure), [departure, row_id], [arrival, dest], "__prev")
+    here = F.col("__prev")[dest] == F.col(origin)
+    recent = hours_between(F.col("__prev")[arrival], departure).between(0.0, max_hours)
+    return linked.select(row_id, F.coalesce((here & recent).cast("int"), F.lit(0)).alias(out))
 
 
 def recent_turn_flag(
     df: DataFrame, tail: str, origin: str, dest: str, departure: str, arrival: str, row_id: str,
     max_hours: float = 5.0, out: str = "has_recent_arrival_turn_5h",
 ) -> DataFrame:
-    """1 when the tail's previous leg came in here at most ``max_hours`` before."""
-    usable = (F.length(F.col(tail)) > 0) & F.col(departure).isNotNull()
-    linked = _with_previous(df, [tail], departure, arrival, dest, row_id, usable)
+    """Facts with the recent-turn flag; 0 without tail or time."""
+    table = recent_turns(df, tail, origin, dest, departure, arrival, row_id, max_hours, out)
+    return df.join(table, row_id, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def turn_times(
+    df: DataFrame, keys: list[str], origin: str, dest: str, departure: str, arrival: str, row_id: str,
+    out: str = "turn_time_hours",
+) -> DataFrame:
+    """Row id and hours since the key's previous arrival, if that was at this origin."""
+    rows = df.dropna(subset=[*keys, departure]).select(row_id, *keys, origin, dest, departure, arrival)
+    linked = previous_row(rows, keys, hour_bucket(departure), [departure, row_id], [arrival, dest], "__prev")
     here = F.col("__prev")[dest] == F.col(origin)
-    recent = _gap_hours(departure, arrival).between(0.0, max_hours)
-    return linked.withColumn(out, F.coalesce((here & recent).cast("int"), F.lit(0))).drop("__prev")
+    return linked.select(row_id, F.when(here, hours_between(F.col("__prev")[arrival], departure)).alias(out))
 
 
 def turn_time_hours(
     df: DataFrame, keys: list[str], origin: str, dest: str, departure: str, arrival: str, row_id: str,
     out: str = "turn_time_hours",
 ) -> DataFrame:
-    """Hours since the flight number's previous arrival, if that was at this origin."""
-    usable = F.col(departure).isNotNull()
-    for k in keys:
-        usable = usable & F.col(k).isNotNull()
-    linked = _with_previous(df, keys, departure, arrival, dest, row_id, usable)
-    here = F.col("__prev")[dest] == F.col(origin)
-    return linked.withColumn(out, F.when(here, _gap_hours(departure, arrival))).drop("__prev")
+    """Facts with the turn time; null without key, time or a matching arrival."""
+    return df.join(turn_times(df, keys, origin, dest, departure, arrival, row_id, out), row_id, "left")
 
 
 def tail_features(df: DataFrame, tail: str) -> DataFrame:

@@ -57,7 +57,9 @@ def curve(df: DataFrame, label: str, p: str) -> DataFrame:
     points = df.dropna(subset=[p]).groupBy(F.col(p).cast("double").alias("score")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg")
     )
-    return running_totals(points, [], value_bucket("score"), ["score"], {"tp": "pos", "fp": "neg"}, descending=True)
+    return running_totals(
+        points, [], value_bucket("score"), ["score"], {"tp": "pos", "fp": "neg"}, descending=True, totals=True
+    )
 
 
 def ranking_scores(df: DataFrame, label: str, p: str) -> DataFrame:
@@ -66,10 +68,8 @@ def ranking_scores(df: DataFrame, label: str, p: str) -> DataFrame:
     Ties are one point of the curve. Without both classes AUC and AP are null. The first (highest)
     of several best thresholds wins; infinity when no threshold beats chance.
     """
-    points = curve(df, label, p)
-    sizes = points.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    merged = points.withColumns(
-        {"__p": sizes.select("p").scalar().cast("double"), "__n": sizes.select("n").scalar().cast("double")}
+    merged = curve(df, label, p).withColumns(
+        {"__p": F.nullif(F.col("tp_all"), F.lit(0)).cast("double"), "__n": F.nullif(F.col("fp_all"), F.lit(0)).cast("double")}
     )
     tpr, fpr = F.col("tp") / F.col("__p"), F.col("fp") / F.col("__n")
     pairs = F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / F.lit(2.0))

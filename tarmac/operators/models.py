@@ -21,6 +21,7 @@ from tarmac.functions.numbers import coerce_numeric
 from tarmac.functions.ordinal import argmax_bin, expected_delay, ge_to_bins, severity
 from tarmac.functions.text import categorical_fill
 from tarmac.operators.impute import numeric_impute
+from tarmac.session import materialize
 
 
 @dataclass(frozen=True)
@@ -90,8 +91,13 @@ def train_trees(
     train: DataFrame, label: str, categorical: list[str], numeric: list[str], settings=TrainingSettings(),
     held_out: str | None = None,
 ) -> PipelineModel:
-    """Boosted trees; with a boolean ``held_out`` column training stops when that part gets worse."""
-    prepared = prepare_frame(train, categorical, numeric, "median").withColumn("__y", F.col(label).cast("double"))
+    """Boosted trees; with a boolean ``held_out`` column training stops when that part gets worse.
+
+    The prepared rows are written first: indexing and boosting pass over them many times.
+    """
+    columns = [f"f_{c}" for c in [*categorical, *numeric]] + ([held_out] if held_out else [])
+    prepared = prepare_frame(train, categorical, numeric, "median").select(F.col(label).cast("double").alias("__y"), *columns)
+    prepared = materialize(prepared, "train")
     indexers = [
         StringIndexer(inputCol=f"f_{c}", outputCol=f"i_{c}", handleInvalid="keep", stringOrderType="frequencyDesc")
         for c in categorical
@@ -100,7 +106,6 @@ def train_trees(
     trees = GBTClassifier(
         labelCol="__y", featuresCol="features", maxIter=settings.iterations, maxDepth=settings.depth,
         stepSize=settings.step, maxBins=settings.max_bins, seed=settings.seed, subsamplingRate=1.0,
-        rawPredictionCol="raw", probabilityCol="probability", predictionCol="prediction",
     )
     if held_out:
         trees = trees.setValidationIndicatorCol(held_out)

@@ -42,18 +42,23 @@ def running_totals(
     sums: dict[str, str],
     descending: bool = False,
     peers: bool = True,
+    totals: bool = False,
 ) -> DataFrame:
     """Adds ``{out}`` = running total of column ``sums[out]`` per key in the given order.
 
     ``bucket`` must not fall when the order rises. With ``peers`` rows of equal order count
-    together (RANGE); otherwise row by row, which needs a unique order. Keys must not be null.
+    together (RANGE); otherwise row by row, which needs a unique order. ``totals`` also adds the
+    key's whole sum as ``{out}_all``. Keys must not be null.
     """
     direction = F.desc if descending else F.asc
     frame = df.withColumn("__bucket", bucket)
     per_bucket = frame.groupBy(*by, "__bucket").agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
-    before = Window.partitionBy(*by).orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *by, "__bucket", *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums]
+        *by, "__bucket",
+        *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums],
+        *[F.sum(f"__t_{o}").over(whole).alias(f"{o}_all") for o in sums if totals],
     )
     inside = Window.partitionBy(*by, "__bucket").orderBy(*[direction(c) for c in order])
     inside = (inside.rangeBetween if peers else inside.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
@@ -95,11 +100,8 @@ def exact_quantile_counts(counts: DataFrame, by: list[str], value: str, freq: st
     The rows that hold the two middle ranks are found with running totals, so no task sees all
     distinct values of a key.
     """
-    running = running_totals(counts, by, value_bucket(value), [value], {"__upto": freq})
-    totals = counts.groupBy(*by).agg(F.sum(freq).alias("__n"))
-    merged = running.join(totals, by) if by else running.withColumn(
-        "__n", totals.select("__n").scalar()
-    )
+    merged = running_totals(counts, by, value_bucket(value), [value], {"__upto": freq}, totals=True)
+    merged = merged.withColumnRenamed("__upto_all", "__n")
     position = (F.col("__n") - 1) * F.lit(p)
     low, high = F.floor(position), F.ceil(position)
     covers = lambda r: (F.col("__upto") - F.col(freq) <= r) & (r < F.col("__upto"))

@@ -48,8 +48,8 @@ def rolling_rows_baseline(
     )
 
 
-def baseline_table(hist: DataFrame, windows, columns, calendar: bool = False) -> DataFrame:
-    """Carrier, carrier-and-origin and origin baselines in one table per carrier, origin and day.
+def baseline_tables(hist: DataFrame, windows, columns, calendar: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Carrier-and-origin, carrier and origin baselines.
 
     The history is scanned and aggregated once; the coarser days are sums of the finest ones.
     """
@@ -73,17 +73,22 @@ def baseline_table(hist: DataFrame, windows, columns, calendar: bool = False) ->
     return own, by_carrier, by_origin
 
 
-def add_baselines(df: DataFrame, hist: DataFrame, windows, columns, calendar: bool = False) -> DataFrame:
-    """Joins the three baselines to ``df``; the facts are shuffled once."""
+def baselines_at(points: DataFrame, hist: DataFrame, windows, columns, calendar: bool = False) -> DataFrame:
+    """The three baselines side by side for each distinct carrier, origin and day of ``points``."""
     c = columns
-    own, by_carrier, by_origin = baseline_table(hist, windows, c, calendar)
-    points = df.select(c.carrier, c.origin, c.date).distinct()
-    table = (
-        points.join(own, [c.carrier, c.origin, c.date], "left")
+    own, by_carrier, by_origin = baseline_tables(hist, windows, c, calendar)
+    return (
+        points.select(c.carrier, c.origin, c.date).dropna().distinct()
+        .join(own, [c.carrier, c.origin, c.date], "left")
         .join(by_carrier, [c.carrier, c.date], "left")
         .join(by_origin, [c.origin, c.date], "left")
     )
-    return df.join(table, [c.carrier, c.origin, c.date], "left")
+
+
+def add_baselines(df: DataFrame, hist: DataFrame, windows, columns, calendar: bool = False) -> DataFrame:
+    """Joins the three baselines to ``df``; the facts are shuffled once."""
+    c = columns
+    return df.join(baselines_at(df, hist, windows, c, calendar), [c.carrier, c.origin, c.date], "left")
 
 
 def join_history_features(df: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,33 +97,27 @@ def join_history_features(df: DataFrame, features: DataFrame, keys: list[str]) -
 
 
 def rolling_days_at(
-    points: DataFrame, hist: DataFrame, keys: list[str], date: str, value: str, windows, include_today: bool = False,
+    points: DataFrame, hist: DataFrame, keys: list[str], date: str, values: list[str], windows, include_today: bool = False,
 ) -> DataFrame:
-    """Sum and count of ``value`` in the W days before each distinct point (key, date).
+    """Sums and counts of some columns in the W days before each distinct point (key, date).
 
-    Frames are [D-W, D-1], or [D-W+1, D] with ``include_today``. Gives ``sum_W`` and ``n_W``.
+    Frames are [D-W, D-1], or [D-W+1, D] with ``include_today``. Gives ``sum_{value}_{W}`` (null
+    without values) and ``n_{value}_{W}``.
     """
-    daily = (
-        hist.dropna(subset=[*keys, date, value]).groupBy(*keys, date)
-        .agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
-        .withColumn("__q", F.lit(0))
-    )
-    asked = (
-        points.dropna(subset=[*keys, date]).select(*keys, date).distinct()
-        .withColumns({"__s": F.lit(None).cast("double"), "__n": F.lit(0).cast("long"), "__q": F.lit(1)})
-    )
-    merged = (
-        daily.withColumn("__s", F.col("__s").cast("double")).unionByName(asked)
-        .groupBy(*keys, date)
-        .agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"), F.max("__q").alias("__q"))
+    daily = hist.dropna(subset=[*keys, date]).groupBy(*keys, date).agg(
+        *[F.sum(v).cast("double").alias(f"__s_{v}") for v in values], *[F.count(v).alias(f"__n_{v}") for v in values],
+        F.lit(0).alias("__q"),
     )
+    asked = points.select(*keys, date).dropna().distinct().withColumn("__q", F.lit(1))
     order = Window.partitionBy(*keys).orderBy(_day(date))
     out = {}
     for w in windows:
         frame = order.rangeBetween(-w + 1, 0) if include_today else order.rangeBetween(-w, -1)
-        out[f"sum_{w}"] = F.sum("__s").over(frame)
-        out[f"n_{w}"] = F.coalesce(F.sum("__n").over(frame), F.lit(0)).cast("long")
-    return merged.withColumns(out).filter("__q = 1").drop("__s", "__n", "__q")
+        for v in values:
+            out[f"sum_{v}_{w}"] = F.sum(f"__s_{v}").over(frame)
+            out[f"n_{v}_{w}"] = F.coalesce(F.sum(f"__n_{v}").over(frame), F.lit(0).cast("long"))
+    merged = daily.unionByName(asked, allowMissingColumns=True)
+    return merged.select(*keys, date, "__q", *[c.alias(n) for n, c in out.items()]).filter("__q = 1").drop("__q")
 
 
 def history_window_means(
@@ -127,48 +126,51 @@ def history_window_means(
     prefix: str = "flightnum_od_",
 ) -> DataFrame:
     """Mean over the last W days for each request, support over the longest window."""
+    table = window_means_at(requests, hist, keys, date, value, windows, include_today, prefix)
+    return requests.join(table, [*keys, date], "left").withColumns(support_flags(windows, low_support_lt, prefix))
+
+
+def window_means_at(points, hist, keys, date, value, windows, include_today, prefix="flightnum_od_") -> DataFrame:
+    """Means per window and support of the longest, for each distinct point."""
     longest = max(windows)
-    rolled = rolling_days_at(requests, hist, keys, date, value, windows, include_today)
-    table = rolled.select(
+    rolled = rolling_days_at(points, hist, keys, date, [value], windows, include_today)
+    return rolled.select(
         *keys, date,
-        *[_mean(F.col(f"sum_{w}"), F.col(f"n_{w}")).alias(f"{prefix}depdelay_mean_last{w}") for w in windows],
-        F.col(f"n_{longest}").alias(f"{prefix}support_count_last{longest}d"),
-    )
-    joined = requests.join(table, [*keys, date], "left")
-    support = F.coalesce(F.col(f"{prefix}support_count_last{longest}d"), F.lit(0).cast("long"))
-    return joined.withColumns(
-        {
-            f"{prefix}support_count_last{longest}d": support,
-            f"{prefix}low_support_last{longest}d": (support < low_support_lt).cast("int"),
-        }
+        *[
+            _mean(F.col(f"sum_{value}_{w}"), F.col(f"n_{value}_{w}")).alias(f"{prefix}depdelay_mean_last{w}")
+            for w in windows
+        ],
+        F.col(f"n_{value}_{longest}").alias(f"{prefix}support_count_last{longest}d"),
     )
 
 
-def rolling_prior_events(
-    df: DataFrame, hist: DataFrame, keys: list[str], date: str, time: str, value: str,
-    windows=(7, 14, 21, 28), low_support_lt: int = 3, prefix: str = "flightnum_od_",
+def support_flags(windows, low_support_lt: int, prefix: str = "flightnum_od_", cap: int | None = None) -> dict[str, Column]:
+    """Support count (0 when there is no history) and low-support flag, after the join."""
+    longest = max(windows)
+    name = f"{prefix}support_count_last{longest}d"
+    support = F.coalesce(F.col(name), F.lit(0).cast("long"))
+    shown = support if cap is None else F.least(support, F.lit(cap)).cast("int")
+    return {name: shown, f"{prefix}low_support_last{longest}d": (support < low_support_lt).cast("int")}
+
+
+def prior_events_at(
+    points: DataFrame, hist: DataFrame, keys: list[str], date: str, time: str, value: str, windows,
+    prefix: str = "flightnum_od_",
 ) -> DataFrame:
     """Means over rows strictly earlier by (date, time), back to W days before the date.
 
-    The frame [D-W, t) is the sum of whole earlier days and of the same day's earlier times; both
-    are windows over pre-aggregated rows.
+    One row per distinct point (key, date, time). The frame [D-W, t) is the sum of whole earlier
+    days and of the same day's earlier times; both are windows over pre-aggregated rows.
     """
     longest = max(windows)
-    grain = [*keys, date, "__t"]
-    clock = F.coalesce(epoch_seconds(time), F.lit(0).cast("long"))
-    facts = df.withColumn("__t", clock)
-    events = (
-        hist.dropna(subset=[*keys, date]).withColumn("__t", clock)
-        .select(*grain, F.col(value).cast("double").alias("__v"), F.lit(0).alias("__q"))
+    grain = [*keys, date, time]
+    order_time = F.coalesce(epoch_seconds(time), F.lit(0).cast("long"))
+    events = hist.dropna(subset=[*keys, date]).groupBy(*grain).agg(
+        F.sum(value).cast("double").alias("__s"), F.count(value).alias("__n"), F.lit(0).alias("__q")
     )
-    asked = facts.dropna(subset=[*keys, date]).select(
-        *grain, F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__q")
-    )
-    merged = (
-        events.unionByName(asked).groupBy(*grain)
-        .agg(F.sum("__v").alias("__s"), F.count("__v").alias("__n"), F.max("__q").alias("__q"))
-    )
-    today = Window.partitionBy(*keys, date).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+    asked = points.select(*grain).dropna(subset=[*keys, date]).distinct().withColumn("__q", F.lit(1))
+    merged = events.unionByName(asked, allowMissingColumns=True).withColumn("__t", order_time)
+    today = Window.partitionBy(*keys, date).orderBy("__t").rangeBetween(Window.unboundedPreceding, -1)
     same_day = merged.withColumns({"__ts": F.sum("__s").over(today), "__tn": F.sum("__n").over(today)})
     per_day = merged.groupBy(*keys, date).agg(F.sum("__s").alias("__ds"), F.sum("__n").alias("__dn"))
     order = Window.partitionBy(*keys).orderBy(_day(date))
@@ -178,24 +180,24 @@ def rolling_prior_events(
         *[F.sum("__dn").over(order.rangeBetween(-w, -1)).alias(f"__n{w}") for w in windows],
     )
     both = same_day.filter("__q = 1").join(earlier, [*keys, date], "left")
+    zero = F.lit(0).cast("long")
     total = {w: F.coalesce(F.col(f"__s{w}"), F.lit(0.0)) + F.coalesce(F.col("__ts"), F.lit(0.0)) for w in windows}
-    count = {
-        w: F.coalesce(F.col(f"__n{w}"), F.lit(0).cast("long")) + F.coalesce(F.col("__tn"), F.lit(0).cast("long"))
-        for w in windows
-    }
-    table = both.select(
+    count = {w: F.coalesce(F.col(f"__n{w}"), zero) + F.coalesce(F.col("__tn"), zero) for w in windows}
+    return both.select(
         *grain,
         *[_mean(total[w], count[w]).alias(f"{prefix}depdelay_mean_last{w}") for w in windows],
-        count[longest].alias("__support"),
+        count[longest].alias(f"{prefix}support_count_last{longest}d"),
     )
-    joined = facts.join(table, grain, "left")
-    support = F.coalesce("__support", F.lit(0).cast("long"))
-    return joined.withColumns(
-        {
-            f"{prefix}support_count_last{longest}d": F.least(support, F.lit(INT16_MAX)).cast("int"),
-            f"{prefix}low_support_last{longest}d": (support < low_support_lt).cast("int"),
-        }
-    ).drop("__support", "__t")
+
+
+def rolling_prior_events(
+    df: DataFrame, hist: DataFrame, keys: list[str], date: str, time: str, value: str,
+    windows=(7, 14, 21, 28), low_support_lt: int = 3, prefix: str = "flightnum_od_",
+) -> DataFrame:
+    """Facts with the means and support of ``prior_events_at``; null keys get null, 0 and 1."""
+    table = prior_events_at(df, hist, keys, date, time, value, windows, prefix)
+    joined = df.join(table, [*keys, date, time], "left")
+    return joined.withColumns(support_flags(windows, low_support_lt, prefix, INT16_MAX))
 
 
 def rolling_days_stats(hist: DataFrame, keys: list[str], date: str, measures: dict[str, str], windows=(7, 14)) -> DataFrame:
@@ -226,19 +228,24 @@ def rolling_days_stats(hist: DataFrame, keys: list[str], date: str, measures: di
     )
 
 
-def rolling_days_mean_count(
-    df: DataFrame, hist: DataFrame, keys: list[str], date: str, measures: dict[str, str], suffix: str, windows=(7, 14),
-) -> DataFrame:
-    """As-of attach of rolling means and counts: the latest history day at or before the date."""
-    stats = rolling_days_stats(hist, keys, date, measures, windows)
-    picked = {f"stat_{p}": f"stat_{p}" for p in measures}
-    joined = asof_backward(df, stats, keys, date, date, list(picked))
+def unpack_stats(measures, suffix: str, windows) -> dict[str, Column]:
+    """Plain columns from the stat structs."""
     out = {}
     for p in measures:
         for w in windows:
             out[f"{p}_mean_{w}d_{suffix}"] = F.col(f"stat_{p}")[f"mean_{w}d"]
             out[f"{p}_n_{w}d_{suffix}"] = F.col(f"stat_{p}")[f"n_{w}d"]
-    return joined.withColumns(out).drop(*picked)
+    return out
+
+
+def rolling_days_mean_count(
+    df: DataFrame, hist: DataFrame, keys: list[str], date: str, measures: dict[str, str], suffix: str, windows=(7, 14),
+) -> DataFrame:
+    """As-of attach of rolling means and counts: the latest history day at or before the date."""
+    stats = rolling_days_stats(hist, keys, date, measures, windows)
+    packed = [f"stat_{p}" for p in measures]
+    joined = asof_backward(df, stats, keys, date, date, packed)
+    return joined.withColumns(unpack_stats(measures, suffix, windows)).drop(*packed)
 
 
 def rolling_days_median(hist: DataFrame, keys: list[str], date: str, value: str, window: int = 7, out: str = "median") -> DataFrame:

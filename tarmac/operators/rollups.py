@@ -29,16 +29,12 @@ def rollup_window_mean(
     daily = rollup.withColumnRenamed("date", date_end).groupBy(*keys, date_end).agg(
         F.sum("dep_delay_sum").alias("__s"), F.sum("dep_delay_count").alias("__c"), F.sum("dep_flight_count").alias("__f")
     )
-    parts = {"__s": "delay_sum", "__c": "support_count", "__f": "flight_count"}
-    table = requests.select(*keys, date_end).distinct()
-    for source, name in parts.items():
-        rolled = rolling_days_at(requests, daily, keys, date_end, source, [window])
-        table = table.join(rolled.select(*keys, date_end, F.col(f"sum_{window}").alias(name)), [*keys, date_end], "left")
-    count = F.coalesce("support_count", F.lit(0.0)).cast("long")
-    mean = F.when((count >= min_support) & (count > 0), F.col("delay_sum") / F.col("support_count"))
-    table = table.select(
-        *keys, date_end, mean.alias("mean_delay_min"), count.alias("support_count"),
-        F.coalesce("flight_count", F.lit(0.0)).cast("long").alias("flight_count"),
+    rolled = rolling_days_at(requests, daily, keys, date_end, ["__s", "__c", "__f"], [window])
+    value = {n: F.coalesce(F.col(f"sum_{c}_{window}"), F.lit(0.0)) for n, c in (("s", "__s"), ("c", "__c"), ("f", "__f"))}
+    enough = (value["c"] >= min_support) & (value["c"] > 0)
+    table = rolled.select(
+        *keys, date_end, F.when(enough, value["s"] / value["c"]).alias("mean_delay_min"),
+        value["c"].cast("long").alias("support_count"), value["f"].cast("long").alias("flight_count"),
     )
     return requests.join(table, [*keys, date_end], "left")
 

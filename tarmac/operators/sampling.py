@@ -1,8 +1,8 @@
 """Exact, reproducible sampling and splits.
 
 Rows are ordered by a hash of their id. Counts per hash prefix tell where the n-th row of a class
-lies; only rows up to that prefix are kept, and only those with exactly that prefix are ordered. No
-class is ever sorted as a whole.
+lies; rows beyond that prefix are dropped before anything is shuffled, the others are ordered within
+their prefix. No class is ever sorted as a whole.
 """
 
 from __future__ import annotations
@@ -38,16 +38,12 @@ def _keep_lowest(hashed: DataFrame, label: str, quotas: DataFrame) -> DataFrame:
             F.max(F.when(F.col("__upto") < F.col("quota"), F.col("__upto"))).alias("__full"),
         )
     )
-    near = hashed.join(cuts, label).filter(
-        F.col("__quota").isNull() | F.col("__cut").isNull() | (F.col("__b") <= F.col("__cut"))
-    )
-    whole = F.col("__quota").isNull() | F.col("__cut").isNull() | (F.col("__b") < F.col("__cut"))
-    inside = near.filter(whole)
-    boundary = near.filter(~whole).withColumn(
-        "__r", F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h"))
-    )
-    kept = boundary.filter(F.col("__r") <= F.col("__quota") - F.coalesce("__full", F.lit(0))).drop("__r")
-    return inside.unionByName(kept).drop("__quota", "__cut", "__full")
+    free = F.col("__quota").isNull() | F.col("__cut").isNull()
+    near = hashed.join(cuts, label).filter(free | (F.col("__b") <= F.col("__cut")))
+    place = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h"))
+    left_over = F.col("__quota") - F.coalesce("__full", F.lit(0))
+    kept = near.withColumn("__r", place).filter(free | (F.col("__b") < F.col("__cut")) | (F.col("__r") <= left_over))
+    return kept.drop("__quota", "__cut", "__full", "__r")
 
 
 def sample_n(df: DataFrame, n: int, key_columns: list[str], seed=42) -> DataFrame:

@@ -10,6 +10,7 @@ from tarmac.functions import times as T
 from tarmac.operators import intervals, joins, rolling
 from tarmac.plans.config import PipelineConfig
 from tarmac.schema import FLIGHT
+from tarmac.session import materialize
 
 MERGE_KEYS = (
     "FlightDate", "Reporting_Airline", "Flight_Number_Reporting_Airline", "Origin", "Dest", "CRSDepTime", "CRSArrTime",
@@ -21,14 +22,31 @@ def _with_slip(df: DataFrame) -> DataFrame:
     return df.withColumns({"wo_slip_min": slip, "DepTimeBlk": T.dep_time_block(FLIGHT.dep_hhmm)})
 
 
+def _history_stats(points: DataFrame, hist: DataFrame, keys: list[str], measures, suffix: str, windows, median: bool) -> DataFrame:
+    """One row per distinct point (keys, day): rolling means, counts and the 7-day median, as of that day."""
+    c = FLIGHT
+    hist = joins.semi_prefilter(hist, points, keys)
+    stats = rolling.rolling_days_stats(hist, keys, c.date, measures, windows)
+    packed = [f"stat_{p}" for p in measures]
+    out = rolling.unpack_stats(measures, suffix, windows)
+    if median:
+        days = rolling.rolling_days_median(hist, keys, c.date, c.arr_delay, 7, "__m")
+        stats = stats.join(days.select(*keys, c.date, F.struct("__m").alias("__median")), [*keys, c.date], "left")
+        packed.append("__median")
+        out[f"arrdelay_median_7d_{suffix}"] = F.col("__median")["__m"]
+    table = joins.asof_table(points, stats, keys, c.date, c.date, packed)
+    return table.select(*keys, c.date, *[v.alias(n) for n, v in out.items()])
+
+
 def arrival_features(
     df: DataFrame, hist: DataFrame, cfg: PipelineConfig = PipelineConfig(target="arr"),
     departure: DataFrame | None = None,
 ) -> DataFrame:
     """All arrival features and labels; one output row per flight of ``df``.
 
-    Stats by flight number and by route are put into one table per flight key and day, so that the
-    facts are shuffled once for both.
+    ``df`` and ``hist`` should be written tables. Stats by flight number and by route are joined at
+    the grain of flight key and day first, so that the facts are shuffled once for both; that table
+    is written, because the expected arrival times read it too.
     """
     c = FLIGHT
     windows = cfg.arrival_windows
@@ -36,29 +54,32 @@ def arrival_features(
     hist = _with_slip(hist).filter(
         F.col(c.date).between(F.date_sub(bounds.select("lo").scalar(), max(windows)), bounds.select("hi").scalar())
     )
-    df = df.withColumn("DepTimeBlk", T.dep_time_block(c.dep_hhmm))
-
-    by_flight = {"arrdelay": c.arr_delay, "airtime": c.air_time, "wo_slip": "wo_slip_min"}
+    base = df.withColumns(
+        {
+            "DepTimeBlk": T.dep_time_block(c.dep_hhmm), "arr_local_date": F.col(c.arr_local).cast("date"),
+            "__us": T.epoch_micros(c.arr_local),
+        }
+    )
     by_route = {"arrdelay": c.arr_delay, "airtime": c.air_time}
+    by_flight = {**by_route, "wo_slip": "wo_slip_min"}
+    block = [c.origin, "DepTimeBlk"]
     points = df.select(*c.flight_key, c.date).dropna().distinct()
-    hist_fn = joins.semi_prefilter(hist, points, c.flight_key)
-    hist_car = joins.semi_prefilter(hist, points, c.route_key)
-    points = rolling.rolling_days_mean_count(points, hist_fn, c.flight_key, c.date, by_flight, "fn_od", windows)
-    points = rolling.rolling_days_mean_count(points, hist_car, c.route_key, c.date, by_route, "car_od", windows)
-    for rows, keys, suffix in ((hist_fn, c.flight_key, "fn_od"), (hist_car, c.route_key, "car_od")):
-        name = f"arrdelay_median_7d_{suffix}"
-        medians = rolling.rolling_days_median(rows, keys, c.date, c.arr_delay, 7, "__m")
-        medians = medians.select(*keys, F.col(c.date).alias("__on"), F.struct("__m").alias(name))
-        points = joins.asof_backward(points, medians, keys, c.date, "__on", [name])
-        points = points.withColumn(name, F.col(name)["__m"])
-    df = df.join(points, [*c.flight_key, c.date], "left")
-    df = rolling.rolling_days_mean_count(
-        df, joins.semi_prefilter(hist, df, [c.origin, "DepTimeBlk"]), [c.origin, "DepTimeBlk"], c.date,
-        {"wo_slip": "wo_slip_min"}, "origin_blk", windows,
-    )
+    flight_stats = _history_stats(points, hist, c.flight_key, by_flight, "fn_od", windows, True)
+    route_stats = _history_stats(points, hist, c.route_key, by_route, "car_od", windows, True)
+    block_stats = _history_stats(base, hist, block, {"wo_slip": "wo_slip_min"}, "origin_blk", windows, False)
+    history = materialize(flight_stats.join(route_stats, [*c.route_key, c.date], "left"), "arrival-history")
+
     shift = f"arrdelay_mean_{max(windows)}d_car_od"
-    timed = df.withColumns({"arr_local_date": F.col(c.arr_local).cast("date"), "__us": T.epoch_micros(c.arr_local)})
-    df = intervals.interval_count_shifted(timed, c.carrier, c.dest, "arr_local_date", "__us", shift).drop("__us")
+    flight_day = [*c.flight_key, c.date]
+    narrow = base.select(c.row_id, *flight_day, "arr_local_date", "__us").join(
+        history.select(*flight_day, shift), flight_day, "left"
+    )
+    congestion = intervals.interval_count_shifted(narrow, c.carrier, c.dest, "arr_local_date", "__us", shift)
+    counts = [f"dest_{a}_pm60_{k}" for k in ("sched", "eta") for a in ("arrivals", "airline_arrivals")]
+    out = (
+        base.join(history, flight_day, "left").join(block_stats, [*block, c.date], "left")
+        .join(congestion.select(c.row_id, *counts), c.row_id, "left").drop("__us")
+    )
     if departure is not None:
-        df = joins.merge_feature_sets(df, departure, list(MERGE_KEYS), on_duplicates="first")
-    return df.withColumns(N.threshold_labels(c.arr_delay, "arr", cfg.thresholds))
+        out = joins.merge_feature_sets(out, departure, list(MERGE_KEYS), on_duplicates="first")
+    return out.withColumns(N.threshold_labels(c.arr_delay, "arr", cfg.thresholds))

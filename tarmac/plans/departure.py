@@ -16,37 +16,49 @@ def departure_features(df: DataFrame, hist: DataFrame, cfg: PipelineConfig = Pip
     """All departure features and labels; one output row per flight of ``df``.
 
     ``df`` needs a unique ``flight_id``, local and UTC times; ``hist`` the history pool's columns.
+    Both should be written tables: every group of features scans the few columns it needs. The
+    groups do not build on one another; each gives a table of its own keys, and the facts are joined
+    with those tables at the end.
     """
     c = FLIGHT
-    calendar = T.calendar_features(c.origin, c.dest, c.dep_local, c.date, c.dep_hhmm)
-    df = df.withColumns(
-        {
-            **calendar,
-            "is_holiday": T.holiday_flag(c.date, cfg.thanksgiving_window, cfg.christmas_window),
-            "dep_local_date": F.col(c.dep_local).cast("date"),
-            "__sec": T.epoch_seconds(c.dep_utc),
-        }
+    local_date = F.col(c.dep_local).cast("date")
+    base = legs.tail_features(df, c.tail).withColumns(
+        {"dep_local_date": local_date, "__sec": T.epoch_seconds(c.dep_utc)}
     )
-    if "aircraft_type" not in df.columns:
-        df = df.withColumn("aircraft_type", F.lit("Unknown"))
-    df = N.unit_convert(N.weather_code_cast(df))
-    hist = hist.withColumns({"dep_local_date": F.col(c.dep_local).cast("date"), "__sec": T.epoch_seconds(c.dep_utc)})
-
+    hist = hist.withColumns({"dep_local_date": local_date, "__sec": T.epoch_seconds(c.dep_utc)})
     levels = {
         "origin_congestion_3h_total": [c.origin, "dep_local_date"],
         "origin_airline_congestion_3h_total": [c.origin, "dep_local_date", c.carrier],
     }
-    df = intervals.add_interval_counts(df, hist, levels, "__sec", "__sec", 3 * 3600)
-    df = legs.tail_features(df, c.tail)
-    df = legs.leg_number(df, c.tail, "dep_local_date", c.dep_utc, c.row_id)
-    df = legs.hours_since_first(df, [c.carrier, c.number, "dep_local_date"], c.dep_utc)
-    df = legs.recent_turn_flag(df, c.tail, c.origin, c.dest, c.dep_utc, c.arr_utc, c.row_id)
-    df = rolling.rolling_prior_events(
-        df, hist, c.flight_key, c.date, c.dep_utc, c.dep_delay, cfg.windows, cfg.low_support_lt
+    congestion = intervals.interval_counts(base, hist, levels, "__sec", "__sec", 3 * 3600)
+    prior = rolling.prior_events_at(base, hist, c.flight_key, c.date, c.dep_utc, c.dep_delay, cfg.windows)
+    baselines = rolling.baselines_at(base, hist, cfg.windows, c)
+    number_day = [c.carrier, c.number, "dep_local_date"]
+    first = legs.first_departures(base, number_day, c.dep_utc, "__first")
+    ends = (c.origin, c.dest, c.dep_utc, c.arr_utc, c.row_id)
+    leg = legs.leg_numbers(base, c.tail, "dep_local_date", c.dep_utc, c.row_id)
+    turn = legs.recent_turns(base, c.tail, *ends)
+    turn_time = legs.turn_times(base, [c.carrier, c.number], *ends)
+
+    out = (
+        base.join(leg, c.row_id, "left").join(turn, c.row_id, "left").join(turn_time, c.row_id, "left")
+        .join(congestion, [c.origin, "dep_local_date", c.carrier, "__sec"], "left")
+        .join(baselines, [c.carrier, c.origin, c.date], "left")
+        .join(prior, [*c.flight_key, c.date, c.dep_utc], "left")
+        .join(first, number_day, "left")
     )
-    df = rolling.add_baselines(df, hist, cfg.windows, c)
-    df = legs.turn_time_hours(df, [c.carrier, c.number], c.origin, c.dest, c.dep_utc, c.arr_utc, c.row_id)
-    return df.withColumns(N.threshold_labels(cfg.delay_column, "dep", cfg.thresholds)).drop("__sec")
+    derived = {
+        **T.calendar_features(c.origin, c.dest, c.dep_local, c.date, c.dep_hhmm),
+        "is_holiday": T.holiday_flag(c.date, cfg.thanksgiving_window, cfg.christmas_window),
+        **{name: intervals.neighbours(name) for name in levels},
+        "has_recent_arrival_turn_5h": F.coalesce("has_recent_arrival_turn_5h", F.lit(0)),
+        "flightnum_hours_since_first_departure_today": legs.hours_between("__first", c.dep_utc),
+        **rolling.support_flags(cfg.windows, cfg.low_support_lt, cap=rolling.INT16_MAX),
+        **N.threshold_labels(cfg.delay_column, "dep", cfg.thresholds),
+    }
+    if "aircraft_type" not in df.columns:
+        derived["aircraft_type"] = F.lit("Unknown")
+    return N.unit_convert(N.weather_code_cast(out.withColumns(derived))).drop("__sec", "__first")
 
 
 def split_and_balance(features: DataFrame, cfg: PipelineConfig = PipelineConfig(), label: str = "y_dep_ge{thr}"):

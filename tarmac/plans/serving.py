@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac import constants as C
 from tarmac.functions import tiers
 from tarmac.functions import times as T
 from tarmac.functions.ordinal import risk_band, risk_score, severity_band
 from tarmac.functions.text import carrier_name_to_code, key_text, normalize_flight_number
 from tarmac.operators import intervals, joins, models, rolling
+from tarmac.session import materialize
 
 
 def resolve_requests(requests: DataFrame, airports: DataFrame) -> DataFrame:
@@ -65,29 +67,37 @@ def request_features(
     History: Reporting_Airline, flight_number, Origin, Dest, date, delay. Weather tables have airport
     and date or hour_utc next to model-unit columns.
     """
-    df = requests.withColumn("t", T.epoch_seconds("dep_utc"))
+    base = requests.withColumn("__t", T.epoch_seconds("dep_utc"))
     pool = schedule.select(
         F.col("origin").alias("Origin"), "date", F.col("carrier").alias("Reporting_Airline"), "flight_number",
-        T.epoch_seconds("sched_utc").alias("t"),
+        T.epoch_seconds("sched_utc").alias("__t"),
     )
-    df = intervals.schedule_congestion(df, pool, "Origin", "date", "Reporting_Airline", "flight_number", "t")
-    df = joins.join_weather_daily(df, weather_daily.withColumn("__d", F.lit(True)), "Origin", "date", "")
-    df = df.withColumnRenamed("__d", "has_daily")
-    df = joins.join_weather_hourly(df, weather_hourly.withColumn("__h", F.lit(True)), "Origin", "dep_utc", "")
-    df = df.withColumnRenamed("__h", "has_hourly")
-    wanted_weather = F.coalesce("include_weather", F.lit(True))
+    near = ["Origin", "date", "Reporting_Airline", "__t"]
+    levels = {"origin_congestion_3h_total": near[:2], "__airline": near[:3]}
+    counted = intervals.interval_counts(base, pool, levels, "__t", "__t", 3 * 3600)
+    own = pool.groupBy(*near, "flight_number").agg(F.count("*").alias("__own"))
+    route = ["Reporting_Airline", "flight_number", "Origin", "Dest", "date"]
+    windows = C.DEPARTURE_WINDOWS
+    past = rolling.window_means_at(base, history, route[:4], "date", "delay", windows, include_today=True)
+    df = base.join(counted, near, "left").join(own, [*near, "flight_number"], "left").join(past, route, "left")
+    zero = F.lit(0).cast("long")
+    df = df.withColumns(
+        {
+            "origin_congestion_3h_total": F.coalesce("origin_congestion_3h_total", zero),
+            "origin_airline_congestion_3h_total": F.coalesce("__airline", zero) - F.coalesce("__own", zero),
+            **rolling.support_flags(windows, low_support_lt),
+        }
+    ).drop("__airline", "__own", "__t")
+    df = joins.join_weather_daily(df, weather_daily.withColumn("has_daily", F.lit(True)), "Origin", "date", "")
+    df = joins.join_weather_hourly(df, weather_hourly.withColumn("has_hourly", F.lit(True)), "Origin", "dep_utc", "")
+    wanted = F.coalesce("include_weather", F.lit(True))
     weather = [c for t in (weather_daily, weather_hourly) for c in t.columns if c not in ("airport", "date", "hour_utc")]
     df = df.withColumns(
         {
-            **{c: F.when(wanted_weather, F.col(c)) for c in weather},
-            "has_daily": F.coalesce("has_daily", F.lit(False)) & wanted_weather,
-            "has_hourly": F.coalesce("has_hourly", F.lit(False)) & wanted_weather,
+            **{c: F.when(wanted, F.col(c)) for c in weather},
+            **{c: F.coalesce(c, F.lit(False)) & wanted for c in ("has_daily", "has_hourly")},
         }
     )
-    df = rolling.history_window_means(
-        df, history, ["Reporting_Airline", "flight_number", "Origin", "Dest"], "date", "delay",
-        low_support_lt=low_support_lt,
-    )
     return df.withColumns(
         {
             "od_pair": F.concat_ws("_", "Origin", "Dest"), "dep_dow": F.weekday(F.col("dep_utc").cast("date")),
@@ -95,7 +105,7 @@ def request_features(
             "has_recent_arrival_turn_5h": F.lit(0), "tail_leg_num_day": F.lit(0),
             "flightnum_hours_since_first_departure_today": F.lit(0.0), "turn_time_hours": F.lit(0.0),
         }
-    ).drop("t")
+    )
 
 
 def batch_predict(
@@ -104,9 +114,10 @@ def batch_predict(
 ) -> DataFrame:
     """Requests with distribution, bands, model key, rollup stats of both airports and the airline.
 
-    Requests that cannot be predicted keep their problem and null results; none is dropped.
+    Requests that cannot be predicted keep their problem and null results; none is dropped. The
+    matched requests are written, because every group of features reads them.
     """
-    asked = match_or_fall_back(resolve_requests(requests, airports), schedule)
+    asked = materialize(match_or_fall_back(resolve_requests(requests, airports), schedule), "requests")
     df = request_features(asked, schedule, history, weather_daily, weather_hourly)
     df = models.add_distribution(models.score_ge(df, model))
     no_history = F.lit(False)
@@ -119,10 +130,11 @@ def batch_predict(
         }
     )
     df = df.withColumn("risk_band", risk_band("risk_score"))
+    df = df.join(joins.asof_dates(asked, rollups, "date", "stats_as_of_date"), "date", "left")
     for column, kind, prefix in (
         ("Origin", "airport_total", "origin_stats_"), ("Dest", "airport_total", "dest_stats_"),
         ("Reporting_Airline", "airline_total", "airline_stats_"),
     ):
-        df = joins.asof_global(df, rollups, "date", column, kind, prefix)
+        df = joins.rollup_stats(df, rollups, column, kind, prefix, "stats_as_of_date")
     results = ("bin_proba", "predicted_bin", "expected_delay_minutes", "severity_score", "severity_band", "risk_score", "risk_band")
     return df.withColumns({r: F.when(F.col("problem").isNull(), F.col(r)) for r in results})

@@ -11,6 +11,7 @@ from tarmac.functions.text import explain_reasons, format_probs
 from tarmac.operators import filters, metrics, models, sampling
 from tarmac.plans.config import PipelineConfig
 from tarmac.schema import FLIGHT
+from tarmac.session import materialize
 
 
 def train_departure(
@@ -61,8 +62,11 @@ def train_arrival(
 
 
 def evaluate(model: models.DelayModel, rows: DataFrame, label: str = "y_dep_ge{thr}") -> DataFrame:
-    """AUC, AP, Youden point, log-loss, Brier and accuracy, one row per threshold."""
-    scored = models.score_ge(rows, model)
+    """AUC, AP, Youden point, log-loss, Brier and accuracy, one row per threshold.
+
+    The scores are written first; each threshold and metric reads only its two columns.
+    """
+    scored = materialize(models.score_ge(rows, model), "scored")
     out = None
     for m in model.models:
         y, p = label.format(thr=m.threshold), f"p_ge{m.threshold}"

@@ -94,6 +94,16 @@ def history_pool_query(spark, sf):
     )
 
 
+def flight_table(spark, sf):
+    """The flights as a written table, once per session and scale."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _flights:
+        _flights[key] = materialize(X.flights_utc(spark, sf), "flights")
+    return _flights[key]
+
+
+_flights: dict = {}
+
 _PRIOR = f""", p AS (SELECT DISTINCT {_KEY_SQL}, FlightDate, dep_utc FROM flights_utc),
 r AS (SELECT p.*, """ + ", ".join(
     f"sum(h.DepDelayMinutes) FILTER (h.FlightDate >= p.FlightDate - {w}) / count(h.DepDelayMinutes) FILTER (h.FlightDate >= p.FlightDate - {w}) AS m{w}" for w in W4
@@ -134,7 +144,7 @@ _DEP_HOURS = ["flightnum_hours_since_first_departure_today", "turn_time_hours"]
     ),
 )
 def departure_features_query(spark, sf):
-    f = X.flights_utc(spark, sf)
+    f = flight_table(spark, sf)
     out = departure_features(f, f)
     return round_columns(out.select("flight_id", *_DEP_PLAIN, *_DEP_HOURS, *_DEP_MEANS), [*_DEP_MEANS, *_DEP_HOURS])
 
@@ -172,7 +182,7 @@ def _arr_sql() -> str:
 
 @query("arrival_features", _arr_sql())
 def arrival_features_query(spark, sf):
-    f = X.flights_utc(spark, sf)
+    f = flight_table(spark, sf)
     out = arrival_features(f, f)
     names = [c for c in out.columns if c.startswith(("arrdelay_", "airtime_", "wo_slip_")) and c != "wo_slip_min"]
     floats = [c for c in names if "_n_" not in c]
@@ -192,7 +202,7 @@ def departure_training_tables(spark, sf):
 
 # Training: the models of one session and scale are fitted once and shared by the queries below
 
-_SETTINGS = models.TrainingSettings(iterations=6, depth=4, max_bins=64)
+_SETTINGS = models.TrainingSettings(iterations=4, depth=3, max_bins=64)
 _CATS = ["Origin", "Dest", "Reporting_Airline"]
 _NUMS = ["CRSDepTime", "AirTime", "level", "noise"]
 _features: dict = {}
@@ -302,12 +312,12 @@ def batch_predict_query(spark, sf):
     daily, hourly = weather_tables(spark, sf)
     out = batch_predict(
         requests, airport_table(spark, sf), schedule, history, daily.withColumnRenamed("temperature_2m_max", "origin_temp_max_K"),
-        hourly.withColumnRenamed("temperature_2m", "origin_dep_temp_K"), E.group_rollup_table(spark, sf), model,
+        hourly.withColumnRenamed("temperature_2m", "origin_dep_temp_K"), materialize(E.group_rollup_table(spark, sf), "rollups"), model,
     )
     return out.select(
         "request_id", "flight", "Origin", "Dest", "problem", "verification_source", "dep_utc", "arr_utc", "warnings", "model_family",
         "model_id", "origin_congestion_3h_total", "flightnum_od_support_count_last28d", "predicted_bin", "expected_delay_minutes",
-        "severity_band", "risk_score", "risk_band", "origin_stats_as_of_date", "origin_stats_dep_delay_7d_mean", "airline_stats_missing",
+        "severity_band", "risk_score", "risk_band", "stats_as_of_date", "origin_stats_dep_delay_7d_mean", "airline_stats_missing",
     )
 
 

@@ -105,8 +105,12 @@ def stream_append(rows: DataFrame, table: str, work: str) -> StreamingQuery:
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the query has dropped because they came after the watermark."""
+def dropped_by_watermark(query: StreamingQuery) -> int:
+    """Spark's own count of what came after the watermark.
+
+    It counts pre-aggregated groups, possibly more than once: above 0 means that late data was
+    dropped, not how many rows.
+    """
     return sum(
         operator.get("numRowsDroppedByWatermark", 0)
         for progress in query.recentProgress
