@@ -23,10 +23,7 @@ def _with_bucket(df: DataFrame, seed, key_columns: list[str]) -> DataFrame:
 
 
 def _keep_lowest(hashed: DataFrame, label: str, quotas: DataFrame) -> DataFrame:
-    """Rows among the ``quota`` lowest hashes of their class; a null quota keeps the class whole.
-
-    ``quotas`` has one row per class. The cut table joined below is no larger.
-    """
+    """Rows among the ``quota`` lowest hashes of their 0/1 class; a null quota keeps the class whole."""
     counts = hashed.groupBy(label, "__b").agg(F.count("*").alias("__n"))
     order = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     upto = counts.withColumn("__upto", F.sum("__n").over(order)).join(quotas, label)
@@ -39,7 +36,8 @@ def _keep_lowest(hashed: DataFrame, label: str, quotas: DataFrame) -> DataFrame:
         )
     )
     free = F.col("__quota").isNull() | F.col("__cut").isNull()
-    near = hashed.join(cuts, label).filter(free | (F.col("__b") <= F.col("__cut")))
+    # one row per class of a 0/1 label: at most two rows
+    near = hashed.join(F.broadcast(cuts), label).filter(free | (F.col("__b") <= F.col("__cut")))
     place = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h"))
     left_over = F.col("__quota") - F.coalesce("__full", F.lit(0))
     kept = near.withColumn("__r", place).filter(free | (F.col("__b") < F.col("__cut")) | (F.col("__r") <= left_over))
@@ -47,10 +45,19 @@ def _keep_lowest(hashed: DataFrame, label: str, quotas: DataFrame) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, key_columns: list[str], seed=42) -> DataFrame:
-    """Exactly n rows (all, if there are fewer)."""
-    hashed = _with_bucket(df, seed, key_columns).withColumn("__class", F.lit(1))
-    quotas = hashed.groupBy("__class").agg(F.lit(n).cast("long").alias("quota"))
-    return _keep_lowest(hashed, "__class", quotas).drop("__h", "__b", "__class")
+    """Exactly n rows (all, if there are fewer).
+
+    The window over all buckets sees one row per hash prefix.
+    """
+    hashed = _with_bucket(df, seed, key_columns)
+    order = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    upto = hashed.groupBy("__b").agg(F.count("*").alias("__n")).withColumn("__upto", F.sum("__n").over(order))
+    cut = upto.filter(F.col("__upto") >= n).agg(F.min("__b")).scalar()
+    full = upto.filter(F.col("__upto") < n).agg(F.coalesce(F.max("__upto"), F.lit(0))).scalar()
+    near = hashed.withColumn("__cut", cut).filter(F.col("__cut").isNull() | (F.col("__b") <= F.col("__cut")))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__h"))
+    inside = F.col("__cut").isNull() | (F.col("__b") < F.col("__cut"))
+    return near.withColumn("__r", place).filter(inside | (F.col("__r") <= F.lit(n) - full)).drop("__h", "__b", "__cut", "__r")
 
 
 def balance_classes(
