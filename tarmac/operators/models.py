@@ -135,10 +135,10 @@ def calibrate_isotonic(scored: DataFrame, label: str, score: str) -> IsotonicReg
 def calibrate_sigmoid(scored: DataFrame, label: str, score: str) -> LogisticRegressionModel:
     """Platt scaling with smoothed targets, as weights on both classes of each distinct score."""
     counts = _score_counts(scored, label, score)
-    sizes = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    sizes = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
     high = (F.col("__p") + 1) / (F.col("__p") + 2)
     low = F.lit(1.0) / (F.col("__n") + 2)
-    sized = counts.withColumns({"__p": sizes.select("p").scalar(), "__n": sizes.select("n").scalar()})
+    sized = counts.withColumns({"__p": sizes["p"], "__n": sizes["n"]})
     ones = F.col("pos") * high + F.col("neg") * low
     total = F.col("pos") + F.col("neg")
     points = sized.select(

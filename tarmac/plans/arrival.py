@@ -50,9 +50,9 @@ def arrival_features(
     """
     c = FLIGHT
     windows = cfg.arrival_windows
-    bounds = df.agg(F.min(c.date).alias("lo"), F.max(c.date).alias("hi"))
+    period = df.agg(F.struct(F.min(c.date).alias("lo"), F.max(c.date).alias("hi"))).scalar()
     hist = _with_slip(hist).filter(
-        F.col(c.date).between(F.date_sub(bounds.select("lo").scalar(), max(windows)), bounds.select("hi").scalar())
+        F.col(c.date).between(F.date_sub(period["lo"], max(windows)), period["hi"])
     )
     base = df.withColumns(
         {

@@ -18,7 +18,11 @@ def train_departure(
     balanced: dict[int, DataFrame], evaluation: DataFrame, cfg: PipelineConfig = PipelineConfig(),
     settings: models.TrainingSettings = models.TrainingSettings(),
 ) -> tuple[models.DelayModel, DataFrame]:
-    """Models calibrated on one half of the unbalanced rows, and the other half for evaluation."""
+    """Models calibrated on one half of the unbalanced rows, and the other half for evaluation.
+
+    All tables should be written ones. The parts of the balanced tables, limited in size, are written
+    again because fitting passes over them several times.
+    """
     any_table = next(iter(balanced.values()))
     cats, nums, _ = filters.select_feature_columns(any_table, cfg.categorical, cfg.numeric_features(), cfg.exclude_feature_prefixes)
     halves = sampling.stratified_split(
@@ -26,12 +30,12 @@ def train_departure(
     )
     calibration = halves.filter("__half <> 'eval'").drop("__half")
     held_out = halves.filter("__half <> 'cal'").drop("__half")
-    tables = {
-        thr: sampling.stratified_split(
-            t, f"y_dep_ge{thr}", [FLIGHT.row_id], {"stop": 0.2, "test": 0.2, "train": 0.0}, cfg.seed, "__part"
-        ).filter("__part <> 'test'").withColumn("__stop", F.col("__part") == "stop")
-        for thr, t in balanced.items()
-    }
+    tables = {}
+    for thr, table in balanced.items():
+        shares = {"stop": 0.2, "test": 0.2, "train": 0.0}
+        parts = sampling.stratified_split(table, f"y_dep_ge{thr}", [FLIGHT.row_id], shares, cfg.seed, "__part")
+        parts = materialize(parts.filter("__part <> 'test'"), "parts")
+        tables[thr] = parts.withColumn("__stop", F.col("__part") == "stop")
     model = models.train_threshold_models(
         tables, calibration, "y_dep_ge{thr}", cats, nums, settings, held_out="__stop", method="isotonic"
     )
@@ -53,6 +57,7 @@ def train_arrival(
         parts = sampling.stratified_split(
             rows, y, [FLIGHT.row_id], {"cal": calibration_share, "fit": 0.0}, cfg.seed + thr, "__part", small=50
         )
+        parts = materialize(parts, "parts")
         fit = parts.filter("__part <> 'cal'").drop("__part")
         cal = parts.filter("__part <> 'fit'").drop("__part")
         trees = models.train_trees(fit, y, cats, nums, settings)

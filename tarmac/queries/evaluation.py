@@ -119,7 +119,7 @@ def _hash(seed) -> str:
 
 def _balance_cte(frac: float) -> str:
     return f""", sz AS (SELECT CAST(sum(y) AS BIGINT) AS pos, CAST(count(*) - sum(y) AS BIGINT) AS neg FROM scored),
-q AS (SELECT pos, neg, CAST(round_even(pos * (1 - {frac}) / {frac}, 0) AS BIGINT) AS need_neg, least(CAST(round_even(neg * {frac} / (1 - {frac}), 0) AS BIGINT), pos) AS need_pos FROM sz),
+q AS (SELECT pos, neg, CAST(round_even(pos * (1 - {frac}::DOUBLE) / {frac}::DOUBLE, 0) AS BIGINT) AS need_neg, least(CAST(round_even(neg * {frac}::DOUBLE / (1 - {frac}::DOUBLE), 0) AS BIGINT), pos) AS need_pos FROM sz),
 o AS (SELECT flight_id, y, row_number() OVER (PARTITION BY y ORDER BY {_hash(42)}) AS r FROM scored),
 bal AS (SELECT flight_id, y FROM o, q WHERE pos = 0 OR neg = 0 OR r <= CASE WHEN y = 1 THEN CASE WHEN need_neg <= neg THEN pos ELSE need_pos END
   ELSE CASE WHEN need_neg <= neg THEN need_neg ELSE neg END END)"""
