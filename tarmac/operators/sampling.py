@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIX = 4  # hex digits: 65536 buckets per class
+BROADCAST_ROWS = 1_000_000  # id rows; more are joined by shuffle
 
 
 def hash_order(seed, key_columns: list[str]) -> Column:
@@ -22,26 +23,29 @@ def _with_bucket(df: DataFrame, seed, key_columns: list[str]) -> DataFrame:
     return hashed.withColumn("__b", F.substring("__h", 1, PREFIX))
 
 
-def _keep_lowest(hashed: DataFrame, label: str, quotas: DataFrame) -> DataFrame:
-    """Rows among the ``quota`` lowest hashes of their 0/1 class; a null quota keeps the class whole."""
-    counts = hashed.groupBy(label, "__b").agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    upto = counts.withColumn("__upto", F.sum("__n").over(order)).join(quotas, label)
-    cuts = (
-        upto.groupBy(label)
-        .agg(
-            F.first("quota").alias("__quota"),
-            F.min(F.when(F.col("__upto") >= F.col("quota"), F.col("__b"))).alias("__cut"),
-            F.max(F.when(F.col("__upto") < F.col("quota"), F.col("__upto"))).alias("__full"),
-        )
+def _lowest(hashed: DataFrame, strata: list[str], quota) -> DataFrame:
+    """Rows among the ``quota`` lowest hashes of their stratum; a null quota keeps the stratum whole.
+
+    ``quota`` maps the per-bucket counts (strata, ``__n`` rows) to them with a column ``__quota``. A
+    stratum is a class of a 0/1 label, per threshold: the cut table has a handful of rows, which
+    bounds the broadcast.
+    """
+    counts = quota(hashed.groupBy(*strata, "__b").agg(F.count("*").alias("__n")))
+    order = Window.partitionBy(*strata).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("__upto", F.sum("__n").over(order))
+    reached = F.col("__upto") >= F.col("__quota")
+    cuts = upto.groupBy(*strata).agg(
+        F.first("__quota").alias("__quota"),
+        F.min(F.when(reached, F.col("__b"))).alias("__cut"),
+        F.coalesce(F.max(F.when(~reached, F.col("__upto"))), F.lit(0)).alias("__full"),
     )
     free = F.col("__quota").isNull() | F.col("__cut").isNull()
-    # one row per class of a 0/1 label: at most two rows
-    near = hashed.join(F.broadcast(cuts), label).filter(free | (F.col("__b") <= F.col("__cut")))
-    place = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h"))
-    left_over = F.col("__quota") - F.coalesce("__full", F.lit(0))
-    kept = near.withColumn("__r", place).filter(free | (F.col("__b") < F.col("__cut")) | (F.col("__r") <= left_over))
-    return kept.drop("__quota", "__cut", "__full", "__r")
+    near = hashed.join(F.broadcast(cuts), strata).filter(free | (F.col("__b") <= F.col("__cut")))
+    place = F.row_number().over(Window.partitionBy(*strata, "__b").orderBy("__h"))
+    kept = near.withColumn("__r", place).filter(
+        free | (F.col("__b") < F.col("__cut")) | (F.col("__r") <= F.col("__quota") - F.col("__full"))
+    )
+    return kept.drop("__h", "__b", "__quota", "__cut", "__full", "__r")
 
 
 def sample_n(df: DataFrame, n: int, key_columns: list[str], seed=42) -> DataFrame:
@@ -52,12 +56,39 @@ def sample_n(df: DataFrame, n: int, key_columns: list[str], seed=42) -> DataFram
     hashed = _with_bucket(df, seed, key_columns)
     order = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     upto = hashed.groupBy("__b").agg(F.count("*").alias("__n")).withColumn("__upto", F.sum("__n").over(order))
-    cut = upto.filter(F.col("__upto") >= n).agg(F.min("__b")).scalar()
-    full = upto.filter(F.col("__upto") < n).agg(F.coalesce(F.max("__upto"), F.lit(0))).scalar()
-    near = hashed.withColumn("__cut", cut).filter(F.col("__cut").isNull() | (F.col("__b") <= F.col("__cut")))
+    reached = F.col("__upto") >= n
+    point = upto.agg(
+        F.struct(
+            F.min(F.when(reached, F.col("__b"))).alias("cut"),
+            F.coalesce(F.max(F.when(~reached, F.col("__upto"))), F.lit(0)).alias("full"),
+        )
+    ).scalar()
+    near = hashed.withColumn("__p", point).filter(F.col("__p.cut").isNull() | (F.col("__b") <= F.col("__p.cut")))
     place = F.row_number().over(Window.partitionBy("__b").orderBy("__h"))
-    inside = F.col("__cut").isNull() | (F.col("__b") < F.col("__cut"))
-    return near.withColumn("__r", place).filter(inside | (F.col("__r") <= F.lit(n) - full)).drop("__h", "__b", "__cut", "__r")
+    inside = F.col("__p.cut").isNull() | (F.col("__b") < F.col("__p.cut"))
+    kept = near.withColumn("__r", place).filter(inside | (F.col("__r") <= F.lit(n) - F.col("__p.full")))
+    return kept.drop("__h", "__b", "__p", "__r")
+
+
+def _class_sizes(counts: DataFrame, label: str, within: list[str]) -> DataFrame:
+    """Adds the sizes of both classes to per-bucket counts."""
+    whole = Window.partitionBy(*within)
+    size = lambda y: F.coalesce(F.sum(F.when(F.col(label) == y, F.col("__n"))).over(whole), F.lit(0))
+    return counts.withColumns({"__pos": size(1), "__neg": size(0)})
+
+
+def _balanced_quota(label: str, within: list[str], pos_frac: float):
+    def quota(counts: DataFrame) -> DataFrame:
+        pos, neg = F.col("__pos"), F.col("__neg")
+        need_neg = F.bround(pos * (1 - pos_frac) / pos_frac, 0).cast("long")
+        need_pos = F.least(F.bround(neg * pos_frac / (1 - pos_frac), 0).cast("long"), pos)
+        of_pos = F.when(need_neg <= neg, pos).otherwise(need_pos)
+        of_neg = F.when(need_neg <= neg, need_neg).otherwise(neg)
+        wanted = F.when(F.col(label) == 1, of_pos).otherwise(of_neg)
+        sized = _class_sizes(counts, label, within)
+        return sized.withColumn("__quota", F.when((pos > 0) & (neg > 0), wanted)).drop("__pos", "__neg")
+
+    return quota
 
 
 def balance_classes(
@@ -68,48 +99,48 @@ def balance_classes(
     All of one class and as many of the other as the share asks for; an empty class leaves the table
     as it is. A row limit samples the balanced rows.
     """
+    return balance_thresholds(df, {0: label}, key_columns, pos_frac, seed, max_rows).drop("thr")
+
+
+def balance_thresholds(
+    df: DataFrame, labels: dict[int, str], key_columns: list[str], pos_frac: float = 0.5, seed=42,
+    max_rows: int | None = None,
+) -> DataFrame:
+    """``balance_classes`` for several labels at once; column ``thr`` tells which label a row is for.
+
+    Rows are chosen on ids and labels alone, for all labels in the same passes; the wide rows are
+    read once, to join the chosen ids. With a row limit those are at most ``max_rows`` per label; they
+    are broadcast if that is few enough.
+    """
     if not 0.0 < pos_frac < 1.0:
         raise ValueError("pos_frac must be in (0, 1)")
-    sizes = df.agg(
-        F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg")
+    narrow = df.select(*key_columns, *dict.fromkeys(labels.values()))
+    pairs = F.array(*[F.struct(F.lit(t).alias("thr"), F.col(c).cast("int").alias("y")) for t, c in labels.items()])
+    tagged = narrow.withColumn("__s", F.explode(pairs)).select(*key_columns, F.col("__s.thr").alias("thr"), F.col("__s.y").alias("__y"))
+    hashed = _with_bucket(tagged.filter(F.col("__y").isin(0, 1)), seed, key_columns)
+    chosen = _lowest(hashed, ["thr", "__y"], _balanced_quota("__y", ["thr"], pos_frac)).drop("__y")
+    if max_rows is None:
+        return df.join(chosen, key_columns)
+    limited = _lowest(
+        _with_bucket(chosen, f"{seed}-cap", key_columns), ["thr"], lambda c: c.withColumn("__quota", F.lit(max_rows))
     )
-    need_neg = F.bround(F.col("pos") * (1 - pos_frac) / pos_frac, 0).cast("long")
-    need_pos = F.least(F.bround(F.col("neg") * pos_frac / (1 - pos_frac), 0).cast("long"), F.col("pos"))
-    enough = need_neg <= F.col("neg")
-    empty = (F.col("pos") == 0) | (F.col("neg") == 0)
-    quotas = sizes.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("y"), F.when(~empty, F.when(enough, F.col("pos")).otherwise(need_pos)).alias("quota")),
-                F.struct(F.lit(0).alias("y"), F.when(~empty, F.when(enough, need_neg).otherwise(F.col("neg"))).alias("quota")),
-            )
-        ).alias("q")
-    ).select(F.col("q.y").alias(label), F.col("q.quota").alias("quota"))
-    hashed = _with_bucket(df.filter(F.col(label).isin(0, 1)), seed, key_columns)
-    balanced = _keep_lowest(hashed, label, quotas).drop("__h", "__b")
-    return balanced if max_rows is None else sample_n(balanced, max_rows, key_columns, f"{seed}-cap")
+    small = max_rows * len(labels) <= BROADCAST_ROWS
+    return df.join(F.broadcast(limited) if small else limited, key_columns)
 
 
 def stratified_cap(df: DataFrame, label: str, key_columns: list[str], max_rows: int, seed=42) -> DataFrame:
     """At most ``max_rows`` rows with the classes' shares kept; a smaller table stays whole."""
-    sizes = df.agg(
-        F.count(label).alias("n"),
-        F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"),
-    )
-    keep_pos = F.bround(F.lit(max_rows) * (F.col("pos") / F.greatest(F.col("n"), F.lit(1))), 0).cast("long")
-    keep_pos = F.greatest(F.lit(1), F.least(keep_pos, F.col("pos")))
-    keep_neg = F.greatest(F.lit(1), F.least(F.lit(max_rows) - keep_pos, F.col("neg")))
-    over = F.col("n") > max_rows
-    quotas = sizes.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("y"), F.when(over, keep_pos).alias("quota")),
-                F.struct(F.lit(0).alias("y"), F.when(over, keep_neg).alias("quota")),
-            )
-        ).alias("q")
-    ).select(F.col("q.y").alias(label), F.col("q.quota").alias("quota"))
+
+    def quota(counts: DataFrame) -> DataFrame:
+        pos, neg = F.col("__pos"), F.col("__neg")
+        keep_pos = F.bround(F.lit(max_rows) * (pos / (pos + neg)), 0).cast("long")
+        keep_pos = F.greatest(F.lit(1), F.least(keep_pos, pos))
+        keep_neg = F.greatest(F.lit(1), F.least(F.lit(max_rows) - keep_pos, neg))
+        kept = F.when(F.col(label) == 1, keep_pos).otherwise(keep_neg)
+        return _class_sizes(counts, label, []).withColumn("__quota", F.when(pos + neg > max_rows, kept)).drop("__pos", "__neg")
+
     hashed = _with_bucket(df.filter(F.col(label).isin(0, 1)), seed, key_columns)
-    return _keep_lowest(hashed, label, quotas).drop("__h", "__b")
+    return _lowest(hashed, [label], quota)
 
 
 def trailing_split(df: DataFrame, date: str, last_days: int, inclusive: bool = False, out: str = "is_eval") -> DataFrame:

@@ -10,6 +10,7 @@ from tarmac.functions import times as T
 from tarmac.operators import intervals, legs, rolling, sampling
 from tarmac.plans.config import PipelineConfig
 from tarmac.schema import FLIGHT
+from tarmac.session import materialize
 
 
 def departure_features(df: DataFrame, hist: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> DataFrame:
@@ -64,14 +65,13 @@ def departure_features(df: DataFrame, hist: DataFrame, cfg: PipelineConfig = Pip
 def split_and_balance(features: DataFrame, cfg: PipelineConfig = PipelineConfig(), label: str = "y_dep_ge{thr}"):
     """Evaluation rows (the last days, unbalanced) and one balanced table per threshold.
 
-    Run it on the written feature table: every threshold reads it again.
+    Run it on the written feature table. Balanced rows with a row limit are written once for all
+    thresholds.
     """
     marked = sampling.trailing_split(features, FLIGHT.date, cfg.eval_last_days, cfg.eval_inclusive)
     evaluation, pool = marked.filter("is_eval").drop("is_eval"), marked.filter("not is_eval").drop("is_eval")
-    balanced = {
-        thr: sampling.balance_classes(
-            pool, label.format(thr=thr), [FLIGHT.row_id], cfg.pos_frac, cfg.seed, cfg.max_rows
-        )
-        for thr in cfg.thresholds
-    }
-    return evaluation, balanced
+    labels = {thr: label.format(thr=thr) for thr in cfg.thresholds}
+    rows = sampling.balance_thresholds(pool, labels, [FLIGHT.row_id], cfg.pos_frac, cfg.seed, cfg.max_rows)
+    if cfg.max_rows is not None:
+        rows = materialize(rows, "balanced")
+    return evaluation, {thr: rows.filter(F.col("thr") == thr).drop("thr") for thr in cfg.thresholds}

@@ -228,8 +228,7 @@ def trained(spark, sf):
     if key not in _trained:
         cfg = PipelineConfig(max_rows=4000, categorical=tuple(_CATS), extra_numeric=tuple(_NUMS))
         evaluation, balanced = split_and_balance(training_features(spark, sf), cfg)
-        tables = {thr: materialize(t, f"balanced-{thr}") for thr, t in balanced.items()}
-        _trained[key] = train_departure(tables, materialize(evaluation, "evaluation"), cfg, _SETTINGS)
+        _trained[key] = train_departure(balanced, materialize(evaluation, "evaluation"), cfg, _SETTINGS)
     return _trained[key]
 
 
