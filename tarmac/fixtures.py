@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import times as T
 from tarmac.functions.times import col
+from tarmac.session import shared_folder
 
 # Ten airports and their zones, in index order.
 AIRPORTS = ("ATL", "ORD", "DEN", "LAX", "PHX", "SEA", "JFK", "DFW", "ANC", "HNL")
@@ -75,6 +76,24 @@ def flights_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_tables: dict = {}
+
+
+def flight_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``flights_utc`` as a table written by year, once per session and scale.
+
+    The feature steps start from a written table of enriched flights, as the pipelines do: they scan
+    it several times, and time zones are converted once.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        path = shared_folder(spark, "flights")
+        dated = flights_utc(spark, sf_dir).withColumn("Year", F.year("FlightDate"))
+        dated.hint("rebalance").write.partitionBy("Year").parquet(path)
+        _tables[key] = spark.read.parquet(path).drop("Year")
+    return _tables[key]
+
+
 def _sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 

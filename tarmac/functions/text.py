@@ -118,55 +118,6 @@ def explain_reasons(
     return F.when(F.size(found) == 0, C.NO_REASON).otherwise(F.array_join(F.slice(found, 1, limit), "; "))
 
 
-def _pattern_hits(text: Column, regex: str, method: str, confidence: float, order: int) -> Column:
-    snippets = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    return F.transform(
-        snippets,
-        lambda s: F.struct(
-            F.lit(confidence).alias("confidence"), F.regexp_extract(s, regex, 1).cast("int").alias("value"),
-            F.lit(order).alias("order"), F.lit(method).alias("method"), s.alias("snippet"),
-        ),
-    )
-
-
-def extract_count_patterns(text, noun: str = "gates", patterns=C.COUNT_PATTERNS, low: int = 1, high: int = 2000):
-    """Best count of ``noun`` in a text: struct of value, method, confidence, notes.
-
-    Works on arrays inside the row, so that whole texts are read once and nothing is shuffled.
-    """
-    flat = F.trim(F.regexp_replace(col(text), r"\s+", " "))
-    found_by_pattern = [
-        _pattern_hits(flat, "(?i)" + pattern.replace("{noun}", noun), method.replace("{noun}", noun), confidence, -rank)
-        for rank, (pattern, method, confidence) in enumerate(patterns)
-    ]
-    found = F.filter(F.flatten(F.array(*found_by_pattern)), lambda h: h["value"].between(low, high))
-    top = F.array_max(F.transform(found, lambda h: F.struct(h["confidence"], h["value"], h["order"])))
-    best = F.element_at(
-        F.filter(found, lambda h: (h["confidence"] == top["confidence"]) & (h["value"] == top["value"])), 1
-    )
-    values = F.array_sort(F.array_distinct(F.transform(found, lambda h: h["value"])))
-    conflict = F.size(values) > 1
-    lowered = F.greatest(F.lit(0.4), best["confidence"] - 0.15)
-    notes = F.concat(F.lit("matched snippet: '"), best["snippet"], F.lit("'"))
-    listed = F.concat(
-        notes, F.lit(" | multiple candidates: ["),
-        F.array_join(F.transform(values, lambda v: v.cast("string")), ", "), F.lit("]"),
-    )
-    return F.when(
-        F.size(found) == 0,
-        F.struct(
-            F.lit(None).cast("int").alias("value"), F.lit("no_match").alias("method"),
-            F.lit(0.0).alias("confidence"), F.lit("No count pattern matched").alias("notes"),
-        ),
-    ).otherwise(
-        F.struct(
-            best["value"].alias("value"), best["method"].alias("method"),
-            F.when(conflict, lowered).otherwise(best["confidence"]).alias("confidence"),
-            F.when(conflict, listed).otherwise(notes).alias("notes"),
-        )
-    )
-
-
 def page_score(title, snippet, code) -> Column:
     """How much a page looks like the airport's own article."""
     t, s, k = F.lower(col(title)), F.lower(col(snippet)), F.lower(col(code))

@@ -33,7 +33,7 @@ def topk_similar(requests: DataFrame, flights: DataFrame, k: int = 20, days: int
 
     No request is paired with its whole route. Offers and distinct request times are put into one
     departure order; a running count of offers gives both their position. A request then joins the k
-    offers before and the k after its position. Of offers with one departure time only the k
+    offers before and the k after its position, as far as they are within its days. Of offers with one departure time only the k
     cheapest can matter, and a second position orders those cheapest last, so that the 2k looked at
     always contain the k wanted.
     """
@@ -50,9 +50,11 @@ def topk_similar(requests: DataFrame, flights: DataFrame, k: int = 20, days: int
         .withColumn("__bucket", hour_bucket("departure"))
     )
     earlier = Window.partitionBy(*route).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        line.groupBy(*route, "__bucket").agg(F.sum("__offer").alias("__in"))
-        .select(*route, "__bucket", F.coalesce(F.sum("__in").over(earlier), F.lit(0)).alias("__before"))
+    by_day = Window.partitionBy(*route).orderBy(F.floor(F.col("__bucket") / 24))
+    upto = lambda last: F.coalesce(F.sum("__in").over(by_day.rangeBetween(Window.unboundedPreceding, last)), F.lit(0))
+    offsets = line.groupBy(*route, "__bucket").agg(F.sum("__offer").alias("__in")).select(
+        *route, "__bucket", F.coalesce(F.sum("__in").over(earlier), F.lit(0)).alias("__before"),
+        upto(-days - 1).alias("__low"), upto(days).alias("__high"),
     )
     inside = Window.partitionBy(*route, "__bucket")
     backward_tie = F.when(F.col("__offer") == 1, -F.col("__tie")).otherwise(F.col("__tie"))
@@ -63,16 +65,16 @@ def topk_similar(requests: DataFrame, flights: DataFrame, k: int = 20, days: int
     forward, backward = F.col("__f") + F.col("__before"), F.col("__b") + F.col("__before")
     step = lambda side, position: F.struct(F.lit(side).alias("side"), position.alias("pos"))
     offers = placed.filter("__offer = 1").withColumn("__at", F.explode(F.array(step(1, forward), step(-1, backward))))
+    span = lambda side, first, last: F.when(
+        first <= last, F.transform(F.sequence(first, last), lambda p: step(side, p))
+    ).otherwise(F.array().cast("array<struct<side:int,pos:bigint>>"))
+    ahead = span(1, forward + 1, F.least(forward + k, F.col("__high")))
+    behind = span(-1, F.greatest(forward - (k - 1), F.col("__low") + 1), forward)
     wanted = placed.filter("__offer = 0").select(
-        *route, F.col("departure").alias("requested"),
-        F.explode(
-            F.concat(
-                F.transform(F.sequence(forward + 1, forward + k), lambda p: step(1, p)),
-                F.transform(F.sequence(forward - (k - 1), forward), lambda p: step(-1, p)),
-            )
-        ).alias("__at"),
+        *route, F.col("departure").alias("requested"), F.explode(F.concat(ahead, behind)).alias("__at")
     )
-    near = wanted.join(offers.drop("__offer", "__tie", "__bucket", "__f", "__b", "__before"), [*route, "__at"])
+    used = ["__offer", "__tie", "__bucket", "__f", "__b", "__before", "__low", "__high"]
+    near = wanted.join(offers.drop(*used), [*route, "__at"])
     gap = F.date_diff(F.col("departure").cast("date"), F.col("requested").cast("date"))
     seconds = epoch_seconds("departure") - epoch_seconds("requested")
     minutes = F.floor(seconds / 60.0 + 0.5).cast("long")

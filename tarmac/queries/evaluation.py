@@ -9,7 +9,7 @@ from tarmac import fixtures as X
 from tarmac.functions import numbers as N
 from tarmac.functions import ordinal as O
 from tarmac.functions import text as S
-from tarmac.operators import filters, impute, joins, metrics, rollups, sampling
+from tarmac.operators import extract, filters, impute, joins, metrics, rollups, sampling
 from tarmac.queries.history import requests_from_orders
 from tarmac.queries.registry import on_events, on_flights, on_scored, query, round_columns, rounded
 from tarmac.queries.scalars import _BIN_SQL, _BINS
@@ -337,12 +337,10 @@ FROM documents d LEFT JOIN (SELECT doc_id, arg_max(v, (c, v)) AS value, arg_max(
 
 @query("extract_count_patterns", _COUNT_SQL)
 def extract_count_patterns(spark, sf):
-    d = X.table(spark, sf, "documents")
-    found = S.extract_count_patterns(F.concat(F.col("text"), F.expr(_SENTENCE)), "gates")
-    out = d.select("doc_id", found.alias("g"))
-    return out.select(
-        "doc_id", F.col("g.value").alias("value"), F.col("g.method").alias("method"), rounded("g.confidence").alias("confidence"),
-        F.regexp_extract("g.notes", r"candidates: \[(.*)\]", 1).alias("candidates"),
+    d = X.table(spark, sf, "documents").select("doc_id", F.concat(F.col("text"), F.expr(_SENTENCE)).alias("text"))
+    return extract.extract_count_patterns(d, "text", "gates").select(
+        "doc_id", "value", "method", rounded("confidence").alias("confidence"),
+        F.regexp_extract("notes", r"candidates: \[(.*)\]", 1).alias("candidates"),
     )
 
 

@@ -261,7 +261,7 @@ _TAIL_UTC = "length(Tail_Number) > 0"
     ),
 )
 def leg_number(spark, sf):
-    f = X.flights_utc(spark, sf)
+    f = X.flight_table(spark, sf)
     return legs.leg_number(f, "Tail_Number", "FlightDate", "dep_utc", "flight_id").select("flight_id", "tail_leg_num_day")
 
 
@@ -285,7 +285,7 @@ def leg_number_events(spark, sf):
 )
 def hours_since_first(spark, sf):
     keys = ["Reporting_Airline", "Flight_Number_Reporting_Airline", "FlightDate"]
-    out = legs.hours_since_first(X.flights_utc(spark, sf), keys, "dep_utc")
+    out = legs.hours_since_first(X.flight_table(spark, sf), keys, "dep_utc")
     name = "flightnum_hours_since_first_departure_today"
     return round_columns(out.select("flight_id", name), [name])
 
@@ -322,7 +322,7 @@ def recent_turn_flag(spark, sf):
 )
 def recent_turn_flag_flights(spark, sf):
     out = legs.recent_turn_flag(
-        X.flights_utc(spark, sf), "Tail_Number", "Origin", "Dest", "dep_utc", "arr_utc", "flight_id"
+        X.flight_table(spark, sf), "Tail_Number", "Origin", "Dest", "dep_utc", "arr_utc", "flight_id"
     )
     return out.select("flight_id", "has_recent_arrival_turn_5h")
 
@@ -337,7 +337,7 @@ def recent_turn_flag_flights(spark, sf):
 )
 def turn_time_hours(spark, sf):
     keys = ["Reporting_Airline", "Flight_Number_Reporting_Airline"]
-    out = legs.turn_time_hours(X.flights_utc(spark, sf), keys, "Origin", "Dest", "dep_utc", "arr_utc", "flight_id")
+    out = legs.turn_time_hours(X.flight_table(spark, sf), keys, "Origin", "Dest", "dep_utc", "arr_utc", "flight_id")
     return round_columns(out.select("flight_id", "turn_time_hours"), ["turn_time_hours"])
 
 

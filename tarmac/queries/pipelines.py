@@ -94,16 +94,6 @@ def history_pool_query(spark, sf):
     )
 
 
-def flight_table(spark, sf):
-    """The flights as a written table, once per session and scale."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _flights:
-        _flights[key] = materialize(X.flights_utc(spark, sf), "flights")
-    return _flights[key]
-
-
-_flights: dict = {}
-
 _PRIOR = f""", p AS (SELECT DISTINCT {_KEY_SQL}, FlightDate, dep_utc FROM flights_utc),
 r AS (SELECT p.*, """ + ", ".join(
     f"sum(h.DepDelayMinutes) FILTER (h.FlightDate >= p.FlightDate - {w}) / count(h.DepDelayMinutes) FILTER (h.FlightDate >= p.FlightDate - {w}) AS m{w}" for w in W4
@@ -144,7 +134,7 @@ _DEP_HOURS = ["flightnum_hours_since_first_departure_today", "turn_time_hours"]
     ),
 )
 def departure_features_query(spark, sf):
-    f = flight_table(spark, sf)
+    f = X.flight_table(spark, sf)
     out = departure_features(f, f)
     return round_columns(out.select("flight_id", *_DEP_PLAIN, *_DEP_HOURS, *_DEP_MEANS), [*_DEP_MEANS, *_DEP_HOURS])
 
@@ -182,7 +172,7 @@ def _arr_sql() -> str:
 
 @query("arrival_features", _arr_sql())
 def arrival_features_query(spark, sf):
-    f = flight_table(spark, sf)
+    f = X.flight_table(spark, sf)
     out = arrival_features(f, f)
     names = [c for c in out.columns if c.startswith(("arrdelay_", "airtime_", "wo_slip_")) and c != "wo_slip_min"]
     floats = [c for c in names if "_n_" not in c]
@@ -213,7 +203,7 @@ def training_features(spark, sf):
     """Flights with labels and a planted signal, written once per session and scale."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _features:
-        f = X.flights_utc(spark, sf).withColumns(
+        f = X.flight_table(spark, sf).withColumns(
             {
                 **threshold_labels("DepDelayMinutes"), **threshold_labels("ArrDelayMinutes", "arr"),
                 "level": F.expr("cast(floor((quantity + noise % 15) / 8) as double)"),
@@ -289,7 +279,7 @@ def calibrate_sigmoid(spark, sf):
 def batch_predict_query(spark, sf):
     """A prediction for every order read as a request."""
     model, _ = trained(spark, sf)
-    f = X.flights_utc(spark, sf)
+    f = X.flight_table(spark, sf)
     o = X.table(spark, sf, "orders")
     requests = o.select(
         F.col("o_orderkey").alias("request_id"),

@@ -125,7 +125,7 @@ def validate_dim_for_keys(spark, sf):
 
 
 def schedule_from_flights(spark, sf):
-    return X.flights_utc(spark, sf).select(
+    return X.flight_table(spark, sf).select(
         F.col("Flight_Number_Reporting_Airline").cast("string").alias("flight_number"), F.col("Dest").alias("dest"),
         F.col("FlightDate").alias("date"), F.col("dep_utc").alias("sched_utc"), F.col("Reporting_Airline").alias("carrier"),
     )
@@ -340,7 +340,7 @@ def _near_sql(by: list[str], alias: str) -> str:
     ),
 )
 def interval_count(spark, sf):
-    f = X.flights_utc(spark, sf).withColumn("t", T.epoch_seconds("dep_utc"))
+    f = X.flight_table(spark, sf).withColumn("t", T.epoch_seconds("dep_utc"))
     groups = {
         "origin_congestion_3h_total": ["Origin", "FlightDate"],
         "origin_airline_congestion_3h_total": ["Origin", "FlightDate", "Reporting_Airline"],
@@ -377,7 +377,7 @@ def _arrivals_sql(time: str, by: str) -> str:
     ),
 )
 def interval_count_shifted(spark, sf):
-    f = X.flights(spark, sf).withColumns({"day": F.col("arr_dt_local").cast("date"), "arr": T.epoch_micros("arr_dt_local")})
+    f = X.flight_table(spark, sf).withColumns({"day": F.col("arr_dt_local").cast("date"), "arr": T.epoch_micros("arr_dt_local")})
     out = intervals.interval_count_shifted(f, "Reporting_Airline", "Dest", "day", "arr", F.col("ArrDelayMinutes") / 7)
     names = [f"{a}_{b}" for b in ("sched", "eta") for a in ("dest_arrivals_pm60", "dest_airline_arrivals_pm60")]
     return out.select("flight_id", *names)
@@ -395,7 +395,7 @@ def interval_count_shifted(spark, sf):
     ),
 )
 def schedule_congestion(spark, sf):
-    f = X.flights_utc(spark, sf).withColumn("t", T.epoch_seconds("dep_utc"))
+    f = X.flight_table(spark, sf).withColumn("t", T.epoch_seconds("dep_utc"))
     requests = f.filter("noise < 40").withColumn("t", F.col("t") + F.expr("noise % 3 * 600"))
     out = intervals.schedule_congestion(
         requests, f, "Origin", "FlightDate", "Reporting_Airline", "Flight_Number_Reporting_Airline", "t"

@@ -9,7 +9,7 @@ from tarmac.functions import numbers as N
 from tarmac.functions import ordinal as O
 from tarmac.functions import text as S
 from tarmac.functions import times as T
-from tarmac.operators import dedupe, filters, impute, intervals, joins, legs, metrics, ordered, rolling, sampling, similar
+from tarmac.operators import dedupe, extract, filters, impute, intervals, joins, legs, metrics, ordered, rolling, sampling, similar
 from tarmac.schema import FLIGHT
 from tarmac.sources import payloads, tables
 
@@ -242,12 +242,12 @@ def test_flight_number_forms(spark):
 
 
 def test_count_patterns(spark):
-    text = "The hall has 12 gates. It opened\nwith a  total of 51   Gates and 3000 more."
-    got = one(spark, S.extract_count_patterns("t"), t=("string", text))
-    assert (got["value"], got["method"]) == (51, "total_of_gates") and got["confidence"] == pytest.approx(0.8)
-    assert got["notes"] == "matched snippet: 'total of 51 Gates' | multiple candidates: [12, 51]"
-    none = one(spark, S.extract_count_patterns("t"), t=("string", "has 9000 gates"))
-    assert none["value"] is None and none["method"] == "no_match"
+    texts = ["The hall has 12 gates. It opened\nwith a  total of 51   Gates and 3000 more.", "has 9000 gates", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r for r in extract.extract_count_patterns(df, "t").collect()}
+    assert (got[0]["value"], got[0]["method"]) == (51, "total_of_gates") and got[0]["confidence"] == pytest.approx(0.8)
+    assert got[0]["notes"] == "matched snippet: 'total of 51 Gates' | multiple candidates: [12, 51]"
+    assert [(got[i]["value"], got[i]["method"], got[i]["confidence"]) for i in (1, 2)] == [(None, "no_match", 0.0)] * 2
 
 
 def test_hourly_weather_clock_changes(spark):
