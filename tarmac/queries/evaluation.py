@@ -78,7 +78,7 @@ gr AS (SELECT a.as_of_date, a.group_type, a.group_value, {_group_rollup_sql()} F
 
 def group_rollup_table(spark, sf):
     return rollups.group_rollups(
-        X.flights(spark, sf), "FlightDate", _GROUPS, {"dep": "DepDelayMinutes", "arr": "ArrDelayMinutes"}
+        X.flight_table(spark, sf), "FlightDate", _GROUPS, {"dep": "DepDelayMinutes", "arr": "ArrDelayMinutes"}
     )
 
 

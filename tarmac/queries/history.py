@@ -102,7 +102,7 @@ _BASELINE_COLS = ["carrier_depdelay_mean_last", "carrier_origin_depdelay_mean_la
     ),
 )
 def join_history_features(spark, sf):
-    f = X.flights(spark, sf)
+    f = X.flight_table(spark, sf)
     out = rolling.add_baselines(f, f, W4, FLIGHT)
     names = [n for p in _BASELINE_COLS for n in _means(p)]
     return round_columns(out.select("flight_id", *names), names)
@@ -162,7 +162,7 @@ _SAME = " AND ".join(f"h.{k} = p.{k}" for k in KEY)
     ),
 )
 def rolling_prior_events(spark, sf):
-    f = X.flights(spark, sf)
+    f = X.flight_table(spark, sf)
     out = rolling.rolling_prior_events(f, f, KEY, "FlightDate", "dep_dt_local", "DepDelayMinutes", W4, low_support_lt=3)
     names = [f"flightnum_od_depdelay_mean_last{w}" for w in W4]
     return round_columns(
@@ -219,7 +219,7 @@ _FN = {"arrdelay": "ArrDelayMinutes", "airtime": "AirTime", "wo_slip": "wo_slip_
 def _register_mean_count(name, keys, measures, suffix):
     @query(name, _asof_sql(keys, measures, suffix, "slip", SLIP_SQL))
     def run(spark, sf):
-        f = with_slip(X.flights(spark, sf))
+        f = with_slip(X.flight_table(spark, sf))
         out = rolling.rolling_days_mean_count(f, f, keys, "FlightDate", measures, suffix)
         means = [f"{p}_mean_{w}d_{suffix}" for p in measures for w in (7, 14)]
         counts = [f"{p}_n_{w}d_{suffix}" for p in measures for w in (7, 14)]
@@ -245,7 +245,7 @@ _register_mean_count("rolling_days_mean_count_block", ["Origin", "blk"], {"wo_sl
 )
 def rolling_days_median(spark, sf):
     out = rolling.rolling_days_median(
-        X.flights(spark, sf), FLIGHT.route_key, "FlightDate", "ArrDelayMinutes", 7, "arrdelay_median_7d"
+        X.flight_table(spark, sf), FLIGHT.route_key, "FlightDate", "ArrDelayMinutes", 7, "arrdelay_median_7d"
     )
     return round_columns(out, ["arrdelay_median_7d"])
 
@@ -361,7 +361,7 @@ def turn_time_hours(spark, sf):
 def history_window_means(spark, sf):
     requests = requests_from_orders(spark, sf)
     keys = ["Reporting_Airline", "Flight_Number_Reporting_Airline", "Origin"]
-    out = rolling.history_window_means(requests, X.flights(spark, sf), keys, "FlightDate", "DepDelayMinutes")
+    out = rolling.history_window_means(requests, X.flight_table(spark, sf), keys, "FlightDate", "DepDelayMinutes")
     names = [f"flightnum_od_depdelay_mean_last{w}" for w in W4]
     return round_columns(
         out.select("o_orderkey", *names, "flightnum_od_support_count_last28d", "flightnum_od_low_support_last28d"), names
@@ -393,7 +393,7 @@ def requests_from_orders(spark, sf):
 )
 def history_window_means_exclusive(spark, sf):
     out = rolling.history_window_means(
-        requests_from_orders(spark, sf), X.flights(spark, sf), ["Reporting_Airline", "Origin"], "FlightDate",
+        requests_from_orders(spark, sf), X.flight_table(spark, sf), ["Reporting_Airline", "Origin"], "FlightDate",
         "DepDelayMinutes", (28,), include_today=False,
     )
     names = ["flightnum_od_depdelay_mean_last28"]
