@@ -19,7 +19,7 @@ CAPACITY = 1024
 END = (2).to_bytes(4, "little")
 ROUNDS = 300
 RATE = 0.05
-BENT = 0.05
+BENT = 1.0
 LENGTHS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
