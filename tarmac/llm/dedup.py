@@ -90,13 +90,16 @@ def keep_one(docs: DataFrame, keep: str = "max") -> DataFrame:
     decided = materialize(decided.select("doc_id", "text_sha256", "kept"), "kept")
     marks = decided.filter("kept").select("doc_id", "text_sha256")
     again = decided.filter("not kept").select("doc_id", "text_sha256").distinct()
-    named = docs.withColumn("_text_sha256", F.sha2(text_of(docs).cast("binary"), 256))
+    digest = "_text_sha256"
+    while digest in map(str.lower, docs.columns):
+        digest += "_"
+    named = docs.withColumn(digest, F.sha2(text_of(docs).cast("binary"), 256))
 
     def among(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        return left.join(right, left["doc_id"].eqNullSafe(right["doc_id"]) & (left["_text_sha256"] == right["text_sha256"]), how)
+        return left.join(right, left["doc_id"].eqNullSafe(right["doc_id"]) & (left[digest] == right["text_sha256"]), how)
 
     stay = among(named, marks, "left_semi")
     if not again.isEmpty():
-        once = among(named, again, "left_semi").dropDuplicates(["doc_id", "_text_sha256"])
+        once = among(named, again, "left_semi").dropDuplicates(["doc_id", digest])
         stay = among(stay, again, "left_anti").unionByName(once)
-    return stay.drop("_text_sha256")
+    return stay.drop(digest)
