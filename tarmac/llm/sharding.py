@@ -67,7 +67,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, sample: int = 4096, large:
     if not n_rows:
         return spark.createDataFrame([], OUT)
     share = total / shards
-    slice_rows = min(slice_rows, max(1000, n_rows // 1024))
+    slice_rows = min(slice_rows, max(256, n_rows // 1024))
 
     counted = rows.groupBy("key", "size").agg(F.count("*").alias("n")).filter(F.col("size") * F.col("n") > large * share)
     groups = [tuple(g) for g in counted.collect()]
@@ -97,7 +97,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, sample: int = 4096, large:
     sliced = ranged.select(
         "doc_id", "size", "text_crc32", "key", "g",
         F.coalesce(F.col("range"), F.lit(len(parts)) + F.col("g")).alias("range"),
-        F.coalesce(sub, F.pmod(F.xxhash64("doc_id"), "parts")).alias("sub"),
+        F.when(F.col("g").isNull(), sub).otherwise(F.pmod(F.xxhash64("doc_id"), "parts")).alias("sub"),
     )
 
     # Rows and bytes before each slice: one row per slice, in order; large groups count from 0 each.
