@@ -80,22 +80,21 @@ PRUNED_COLUMNS = (
 )
 
 # Columns kept from a monthly flight file.
-MONTHLY_COLUMNS = tuple(
-    """
-    Year Quarter Month DayofMonth DayOfWeek FlightDate Marketing_Airline_Network
-    Operated_or_Branded_Code_Share_Partners DOT_ID_Marketing_Airline IATA_Code_Marketing_Airline
-    Flight_Number_Marketing_Airline Originally_Scheduled_Code_Share_Airline
-    DOT_ID_Originally_Scheduled_Code_Share_Airline IATA_Code_Originally_Scheduled_Code_Share_Airline
-    Flight_Num_Originally_Scheduled_Code_Share_Airline Operating_Airline DOT_ID_Operating_Airline
-    IATA_Code_Operating_Airline Tail_Number Flight_Number_Operating_Airline OriginAirportID
-    OriginAirportSeqID OriginCityMarketID Origin OriginCityName OriginState OriginStateFips
-    OriginStateName OriginWac DestAirportID DestAirportSeqID DestCityMarketID Dest DestCityName
-    DestState DestStateFips DestStateName DestWac CRSDepTime DepTime DepDelay DepDelayMinutes DepDel15
-    DepartureDelayGroups DepTimeBlk TaxiOut WheelsOff WheelsOn TaxiIn CRSArrTime ArrTime ArrDelay
-    ArrDelayMinutes ArrDel15 ArrivalDelayGroups ArrTimeBlk Cancelled CancellationCode Diverted
-    CRSElapsedTime ActualElapsedTime AirTime Flights Distance DistanceGroup CarrierDelay WeatherDelay
-    NASDelay SecurityDelay LateAircraftDelay FirstDepTime TotalAddGTime LongestAddGTime
-    """.split()
+MONTHLY_COLUMNS = (
+    "Year", "Quarter", "Month", "DayofMonth", "DayOfWeek", "FlightDate", "Marketing_Airline_Network",
+    "Operated_or_Branded_Code_Share_Partners", "DOT_ID_Marketing_Airline", "IATA_Code_Marketing_Airline",
+    "Flight_Number_Marketing_Airline", "Originally_Scheduled_Code_Share_Airline",
+    "DOT_ID_Originally_Scheduled_Code_Share_Airline", "IATA_Code_Originally_Scheduled_Code_Share_Airline",
+    "Flight_Num_Originally_Scheduled_Code_Share_Airline", "Operating_Airline", "DOT_ID_Operating_Airline",
+    "IATA_Code_Operating_Airline", "Tail_Number", "Flight_Number_Operating_Airline", "OriginAirportID",
+    "OriginAirportSeqID", "OriginCityMarketID", "Origin", "OriginCityName", "OriginState", "OriginStateFips",
+    "OriginStateName", "OriginWac", "DestAirportID", "DestAirportSeqID", "DestCityMarketID", "Dest",
+    "DestCityName", "DestState", "DestStateFips", "DestStateName", "DestWac", "CRSDepTime", "DepTime",
+    "DepDelay", "DepDelayMinutes", "DepDel15", "DepartureDelayGroups", "DepTimeBlk", "TaxiOut", "WheelsOff",
+    "WheelsOn", "TaxiIn", "CRSArrTime", "ArrTime", "ArrDelay", "ArrDelayMinutes", "ArrDel15",
+    "ArrivalDelayGroups", "ArrTimeBlk", "Cancelled", "CancellationCode", "Diverted", "CRSElapsedTime",
+    "ActualElapsedTime", "AirTime", "Flights", "Distance", "DistanceGroup", "CarrierDelay", "WeatherDelay",
+    "NASDelay", "SecurityDelay", "LateAircraftDelay", "FirstDepTime", "TotalAddGTime", "LongestAddGTime",
 )
 
 # Where carrier and flight number come from when the plain columns are absent.
@@ -132,3 +131,11 @@ COUNT_PATTERNS = (
 # Collector slots (local time) and the spread after each in minutes.
 COLLECTOR_SLOTS = ("08:00", "16:00", "23:50")
 COLLECTOR_SPREAD_MINUTES = 20
+
+# Columns of the airport table.
+AIRPORT_COLUMNS = ("IATA", "ICAO", "AirportName", "City", "State", "Country", "Latitude", "Longitude", "Timezone")
+
+# Columns that departure and arrival features are matched by when there is no row id.
+MERGE_KEYS = (
+    "FlightDate", "Reporting_Airline", "Flight_Number_Reporting_Airline", "Origin", "Dest", "CRSDepTime", "CRSArrTime",
+)

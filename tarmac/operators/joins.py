@@ -98,13 +98,13 @@ def asof_global(requests: DataFrame, rollups: DataFrame, date: str, value: str,
 def nearest(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str]) -> DataFrame:
     """The right row of the key with the smallest time distance; the earlier one on ties.
 
+    Of several rows at one time the one whose ``columns`` are greatest, in their order, counts.
     Looks one row back and one ahead in a single window over distinct times. Put the day into ``by``
     to hold a key's window to one day.
     """
     record = F.struct(F.col(right_on).alias("__at"), *columns)
-    stats = right.dropna(subset=[*by, right_on]).groupBy(*by, right_on).agg(
-        *[F.first(c, True).alias(c) for c in columns]
-    )
+    stats = right.dropna(subset=[*by, right_on]).groupBy(*by, right_on).agg(F.max(F.struct(*columns)).alias("__c"))
+    stats = stats.select(*by, right_on, "__c.*")
     stats = stats.select(*by, F.col(right_on).alias("__on"), record.alias("__row"), F.lit(0).alias("__q"))
     asked = left.dropna(subset=[*by, left_on]).select(*by, F.col(left_on).alias("__on")).distinct()
     points = stats.unionByName(asked.withColumn("__q", F.lit(1)), allowMissingColumns=True)
@@ -173,8 +173,8 @@ def filter_both_in_set(df: DataFrame, codes: DataFrame, origin: str, dest: str)
 def merge_feature_sets(left: DataFrame, right: DataFrame, keys: list[str], on_duplicates: str = "error") -> DataFrame:
     """Left join on the keys both sides have; only columns new to the left side are added.
 
-    A right side with several rows per key would multiply facts: ``error`` fails the query, ``first``
-    keeps one of them, ``expand`` lets it happen.
+    A right side with several rows per key would multiply facts: ``error`` fails the query, ``least``
+    keeps the row that is smallest by its new columns in order, ``expand`` lets it happen.
     """
     shared = [k for k in keys if k in left.columns and k in right.columns]
     if not shared:
@@ -182,7 +182,7 @@ def merge_feature_sets(left: DataFrame, right: DataFrame, keys: list[str], on_du
     added = [c for c in right.columns if c not in left.columns]
     side = right.select(*shared, *added)
     if on_duplicates != "expand":
-        packed = side.groupBy(*shared).agg(F.first(F.struct(*added)).alias("__row"), F.count("*").alias("__n"))
+        packed = side.groupBy(*shared).agg(F.min(F.struct(*added)).alias("__row"), F.count("*").alias("__n"))
         if on_duplicates == "error":
             fail = F.raise_error(F.lit("several feature rows for one key")).cast("boolean")
             packed = packed.filter(F.when(F.col("__n") > 1, fail).otherwise(True))

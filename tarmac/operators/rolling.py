@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from tarmac.functions.times import col, epoch_seconds
 from tarmac.operators.joins import asof_backward
 
-INT16_MAX = 32767
-
 
 def _day(date: str) -> Column:
     return F.unix_date(F.col(date)).cast("long")
@@ -144,13 +142,12 @@ def window_means_at(points, hist, keys, date, value, windows, include_today, pre
     )
 
 
-def support_flags(windows, low_support_lt: int, prefix: str = "flightnum_od_", cap: int | None = None) -> dict[str, Column]:
+def support_flags(windows, low_support_lt: int, prefix: str = "flightnum_od_") -> dict[str, Column]:
     """Support count (0 when there is no history) and low-support flag, after the join."""
     longest = max(windows)
     name = f"{prefix}support_count_last{longest}d"
     support = F.coalesce(F.col(name), F.lit(0).cast("long"))
-    shown = support if cap is None else F.least(support, F.lit(cap)).cast("int")
-    return {name: shown, f"{prefix}low_support_last{longest}d": (support < low_support_lt).cast("int")}
+    return {name: support, f"{prefix}low_support_last{longest}d": (support < low_support_lt).cast("int")}
 
 
 def prior_events_at(
@@ -197,7 +194,7 @@ def rolling_prior_events(
     """Facts with the means and support of ``prior_events_at``; null keys get null, 0 and 1."""
     table = prior_events_at(df, hist, keys, date, time, value, windows, prefix)
     joined = df.join(table, [*keys, date, time], "left")
-    return joined.withColumns(support_flags(windows, low_support_lt, prefix, INT16_MAX))
+    return joined.withColumns(support_flags(windows, low_support_lt, prefix))
 
 
 def rolling_days_stats(hist: DataFrame, keys: list[str], date: str, measures: dict[str, str], windows=(7, 14)) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIX = 4  # hex digits: 65536 buckets per class
-BROADCAST_ROWS = 1_000_000  # id rows; more are joined by shuffle
 
 
 def hash_order(seed, key_columns: list[str]) -> Column:
@@ -109,8 +108,8 @@ def balance_thresholds(
     """``balance_classes`` for several labels at once; column ``thr`` tells which label a row is for.
 
     Rows are chosen on ids and labels alone, for all labels in the same passes; the wide rows are
-    read once, to join the chosen ids. With a row limit those are at most ``max_rows`` per label; they
-    are broadcast if that is few enough.
+    read once, to join the chosen ids. Spark's size check decides whether
+    those are broadcast.
     """
     if not 0.0 < pos_frac < 1.0:
         raise ValueError("pos_frac must be in (0, 1)")
@@ -124,8 +123,7 @@ def balance_thresholds(
     limited = _lowest(
         _with_bucket(chosen, f"{seed}-cap", key_columns), ["thr"], lambda c: c.withColumn("__quota", F.lit(max_rows))
     )
-    small = max_rows * len(labels) <= BROADCAST_ROWS
-    return df.join(F.broadcast(limited) if small else limited, key_columns)
+    return df.join(limited, key_columns)
 
 
 def stratified_cap(df: DataFrame, label: str, key_columns: list[str], max_rows: int, seed=42) -> DataFrame:
@@ -152,15 +150,15 @@ def trailing_split(df: DataFrame, date: str, last_days: int, inclusive: bool = F
 
 def stratified_split(
     df: DataFrame, label: str, key_columns: list[str], parts: dict[str, float], seed=42, out: str = "part",
-    clip: tuple[float, float] = (0.05, 0.95), small: int = 0,
+    clip: tuple[float, float] = (0.05, 0.95),
 ) -> DataFrame:
     """Assigns each row to a part so that every part has the same class shares.
 
     ``parts`` maps all parts but the last (given with share 0) to a share of the rows; shares are
-    held inside ``clip``. Each class is cut at rounded counts of its hash order. Below ``small`` rows
-    every row gets the name of all parts, joined by ``+``.
+    held inside ``clip``. Each class is cut at rounded counts of its hash order, whatever its size; a small class
+    may leave a part empty. Parts are decided on ids and labels; the wide rows are joined once, at the end.
     """
-    hashed = _with_bucket(df, seed, key_columns)
+    hashed = _with_bucket(df.select(*key_columns, label), seed, key_columns)
     counts = hashed.groupBy(label, "__b").agg(F.count("*").alias("__n"))
     order = Window.partitionBy(label).orderBy("__b")
     offsets = counts.select(
@@ -178,7 +176,4 @@ def stratified_split(
         test = position <= F.round(F.col("__size") * share, 0)
         choice = F.when(test, name) if choice is None else choice.when(test, name)
     choice = choice.otherwise(names[-1])
-    if small:
-        total = df.agg(F.count("*")).scalar()
-        choice = F.when(total < small, "+".join(names)).otherwise(choice)
-    return placed.withColumn(out, choice).drop("__h", "__b", "__r", "__before", "__size")
+    return df.join(placed.select(*key_columns, choice.alias(out)), key_columns)

@@ -12,10 +12,6 @@ from tarmac.plans.config import PipelineConfig
 from tarmac.schema import FLIGHT
 from tarmac.session import materialize
 
-MERGE_KEYS = (
-    "FlightDate", "Reporting_Airline", "Flight_Number_Reporting_Airline", "Origin", "Dest", "CRSDepTime", "CRSArrTime",
-)
-
 
 def _with_slip(df: DataFrame) -> DataFrame:
     slip = T.wrap_minute_diff(T.hhmm_to_minutes(FLIGHT.wheels_off), T.hhmm_to_minutes(FLIGHT.dep_hhmm))
@@ -81,5 +77,5 @@ def arrival_features(
         .join(congestion.select(c.row_id, *counts), c.row_id, "left").drop("__us")
     )
     if departure is not None:
-        out = joins.merge_feature_sets(out, departure, list(MERGE_KEYS), on_duplicates="first")
+        out = joins.merge_feature_sets(out, departure, [c.row_id])
     return out.withColumns(N.threshold_labels(c.arr_delay, "arr", cfg.thresholds))

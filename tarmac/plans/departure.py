@@ -54,7 +54,7 @@ def departure_features(df: DataFrame, hist: DataFrame, cfg: PipelineConfig = Pip
         **{name: intervals.neighbours(name) for name in levels},
         "has_recent_arrival_turn_5h": F.coalesce("has_recent_arrival_turn_5h", F.lit(0)),
         "flightnum_hours_since_first_departure_today": legs.hours_between("__first", c.dep_utc),
-        **rolling.support_flags(cfg.windows, cfg.low_support_lt, cap=rolling.INT16_MAX),
+        **rolling.support_flags(cfg.windows, cfg.low_support_lt),
         **N.threshold_labels(cfg.delay_column, "dep", cfg.thresholds),
     }
     if "aircraft_type" not in df.columns:

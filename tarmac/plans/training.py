@@ -26,7 +26,7 @@ def train_departure(
     any_table = next(iter(balanced.values()))
     cats, nums, _ = filters.select_feature_columns(any_table, cfg.categorical, cfg.numeric_features(), cfg.exclude_feature_prefixes)
     halves = sampling.stratified_split(
-        evaluation, "y_dep_ge15", [FLIGHT.row_id], {"cal": 0.5, "eval": 0.0}, cfg.seed, "__half", small=20
+        evaluation, "y_dep_ge15", [FLIGHT.row_id], {"cal": 0.5, "eval": 0.0}, cfg.seed, "__half"
     )
     calibration = halves.filter("__half <> 'eval'").drop("__half")
     held_out = halves.filter("__half <> 'cal'").drop("__half")
@@ -53,9 +53,9 @@ def train_arrival(
     out = models.DelayModel(cats, nums)
     for thr in cfg.thresholds:
         y = f"y_arr_ge{thr}"
-        rows = sampling.stratified_cap(period, y, [FLIGHT.row_id], cfg.max_rows or 20000, cfg.seed + thr)
+        rows = period if cfg.max_rows is None else sampling.stratified_cap(period, y, [FLIGHT.row_id], cfg.max_rows, cfg.seed + thr)
         parts = sampling.stratified_split(
-            rows, y, [FLIGHT.row_id], {"cal": calibration_share, "fit": 0.0}, cfg.seed + thr, "__part", small=50
+            rows, y, [FLIGHT.row_id], {"cal": calibration_share, "fit": 0.0}, cfg.seed + thr, "__part"
         )
         parts = materialize(parts, "parts")
         fit = parts.filter("__part <> 'cal'").drop("__part")

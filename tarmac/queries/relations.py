@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarmac import fixtures as X
@@ -9,6 +10,7 @@ from tarmac.functions import times as T
 from tarmac.operators import dedupe, filters, intervals, joins, lookup, ordered, similar
 from tarmac.queries.history import SLIP_SQL, requests_from_orders, with_slip
 from tarmac.queries.registry import on_events, on_flights, on_flights_utc, query, round_columns, rounded
+from tarmac.session import materialize
 
 CODES = X._sql_list(X.AIRPORTS)
 
@@ -544,20 +546,44 @@ def dedupe_candidates(spark, sf):
     return similar.dedupe_candidates(offers(spark, sf), ["offer_id"])
 
 
+def with_position(ordered):
+    """The place of each row in a globally sorted table, from its partition and its place there."""
+    marked = materialize(ordered.withColumn("m", F.monotonically_increasing_id()), "ordered").withColumn("part", F.shiftright("m", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = marked.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return marked.join(starts, "part").withColumn("position", F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).drop("m", "part", "start")
+
+
+_SORT_SQL = {
+    "date": "departure {d} NULLS {n}, offer_id",
+    "price": "price {d} NULLS {n}, offer_id",
+    "airline": "lower(coalesce(marketing_carrier, airline, '')) {d}, departure NULLS LAST, offer_id",
+}
+
+
 def _register_sort(mode):
-    @query(f"sort_modes_{mode}", on_flights("SELECT offer_id, airline, departure, price FROM of", _OFFERS_SQL))
+    column, direction = mode.split("_")
+    first = {"date": "departure", "price": "price", "airline": "airline"}[column]
+    order = _SORT_SQL[column].format(d=direction, n="LAST" if direction == "asc" else "FIRST")
+
+    @query(f"sort_modes_{mode}", on_flights(f"SELECT offer_id, {first}, row_number() OVER (ORDER BY {order}) - 1 AS position FROM of", _OFFERS_SQL))
     def run(spark, sf):
-        return similar.sort_modes(offers(spark, sf), mode).select("offer_id", "airline", "departure", "price")
+        return with_position(similar.sort_modes(offers(spark, sf), mode).select("offer_id", first))
 
 
 for _mode in ("date_asc", "date_desc", "price_asc", "price_desc", "airline_asc", "airline_desc"):
     _register_sort(_mode)
 
 
-@query("sort_stable", on_flights("SELECT flight_id, Origin, FlightDate, dep_dt_local FROM flights"))
+@query(
+    "sort_stable",
+    on_flights(
+        "SELECT flight_id, Origin, FlightDate, dep_dt_local, row_number() OVER (ORDER BY Origin NULLS FIRST, FlightDate NULLS FIRST, dep_dt_local NULLS FIRST, flight_id) - 1 AS position FROM flights"
+    ),
+)
 def sort_stable(spark, sf):
     f = X.flights(spark, sf)
-    return f.orderBy("Origin", "FlightDate", "dep_dt_local", "flight_id").select("flight_id", "Origin", "FlightDate", "dep_dt_local")
+    return with_position(f.orderBy("Origin", "FlightDate", "dep_dt_local", "flight_id").select("flight_id", "Origin", "FlightDate", "dep_dt_local"))
 
 
 # Duplicates and unions

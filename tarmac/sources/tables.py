@@ -59,7 +59,7 @@ def ingest_month_csv(spark: SparkSession, path: str, out: str, schema: T.StructT
     """Monthly CSV to parquet partitioned by Year and Month; a month that comes again replaces itself."""
     df = scan_month_csv(spark, path, schema, keep)
     (
-        df.repartition("Year", "Month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", "Year", "Month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("Year", "Month").parquet(out)
     )
 
@@ -88,9 +88,6 @@ def unusual_codes(codes: DataFrame) -> DataFrame:
     return codes.filter(F.length("code") != 3)
 
 
-AIRPORT_COLUMNS = ("IATA", "ICAO", "AirportName", "City", "State", "Country", "Latitude", "Longitude", "Timezone")
-
-
 def scan_airport_dim(spark: SparkSession, path: str, require_position: bool = False) -> DataFrame:
     """Airports with coordinates and zone; blank zones are null, rows without code are dropped.
 
@@ -107,7 +104,7 @@ def scan_airport_dim(spark: SparkSession, path: str, require_position: bool = Fa
             "Timezone": F.when(~F.lower(zone).isin("nan", "none", ""), zone),
         }
     ).filter("IATA <> ''")
-    texts = [c for c in AIRPORT_COLUMNS if c in df.columns and c not in ("IATA", "Latitude", "Longitude", "Timezone")]
+    texts = [c for c in C.AIRPORT_COLUMNS if c in df.columns and c not in ("IATA", "Latitude", "Longitude", "Timezone")]
     df = df.withColumns({c: F.trim(c) for c in texts})
     return df.dropna(subset=["Latitude", "Longitude"]) if require_position else df
 

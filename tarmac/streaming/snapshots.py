@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,11 +17,17 @@ from tarmac.operators.dedupe import dedupe_latest
 from tarmac.operators.rollups import daily_rollup
 from tarmac.sources.snapshots import SNAPSHOT, explode_snapshots, with_path_parts
 
+#: Partitions of a batch that are read by name; a batch that touches more joins its keys instead.
+TOUCHED = 2000
+
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    """Whether a folder holds a parquet table."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def stream_snapshots(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -39,21 +46,32 @@ def upsert_partitions(
     """Merge a batch into the partitions it touches and replace those.
 
     The merged partitions are staged under the batch number first. A batch that is repeated finds
-    its staged result and only swaps it in again, also when the swap had been interrupted.
+    its staged result and only swaps it in again, also when the swap had been interrupted. Only the
+    touched partitions are read, up to TOUCHED by a partition filter. When a batch starts, the ones
+    before are done: the staged rows of the batch before the last are replaced by an empty table.
     """
     spark = batch.sparkSession
     staged = f"{staging}/batch={batch_id}"
-    if not exists(spark, f"{staged}/_SUCCESS"):
+    if not exists(spark, f"{staged}-done"):
         rows = batch
         if exists(spark, table):
-            touched = batch.select(partition).distinct()
+            touched = [r[0] for r in batch.select(partition).distinct().limit(TOUCHED + 1).collect()]
             current = spark.read.schema(batch.schema).parquet(table)
-            rows = current.join(touched, partition, "left_semi").select(*batch.columns).unionByName(batch)
+            if len(touched) <= TOUCHED:  # read these folders only
+                found = F.col(partition).isin([t for t in touched if t is not None])
+                current = current.filter(found | F.col(partition).isNull() if None in touched else found)
+            else:
+                current = current.join(batch.select(partition).distinct(), partition, "left_semi")
+            rows = current.select(*batch.columns).unionByName(batch)
         merge(rows).write.mode("overwrite").parquet(staged)
+        spark.range(1).write.mode("overwrite").parquet(f"{staged}-done")
     (
         spark.read.schema(batch.schema).parquet(staged)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(table)
     )
+    old = f"{staging}/batch={batch_id - 2}"
+    if exists(spark, old):
+        spark.createDataFrame([], batch.schema).write.mode("overwrite").parquet(old)
 
 
 def stream_dedupe_daily(

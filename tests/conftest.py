@@ -12,6 +12,6 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 def spark():
     from tarmac.session import local_session
 
-    session = local_session("8", "tarmac-tests")
+    session = local_session(os.environ.get("TARMAC_TEST_CPUS", "8"), "tarmac-tests")
     session.sparkContext.setLogLevel("ERROR")
     return session
