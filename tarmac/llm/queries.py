@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,12 +25,26 @@ URL_RULES = (
 )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it; a cluster has it by --py-files as well."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def query(sql: str | None = None):
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = run
         if sql:
             ORACLES[fn.__name__] = sql
-        return fn
+        return run
 
     return register
 

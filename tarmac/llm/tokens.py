@@ -15,11 +15,14 @@ WORDS = "word_bpe_49k.json"
 
 
 def frequent_lengths(docs: DataFrame, vocab: str = WORDS, sample: int = 2000, entries: int = 50_000) -> dict[str, int]:
-    """Token counts of the most frequent pieces among the first ``sample`` rows that Spark reads.
+    """Token counts of the most frequent pieces among about ``sample`` rows, chosen by a hash.
 
     The table only saves work: any other table gives the same counts, so it may come from a bounded
-    sample. It has ``entries`` entries at most (some 5 MB), which bounds the broadcast.
+    sample. It has ``entries`` entries at most (some 5 MB), which bounds the broadcast. Each task counts
+    the pieces of its own sampled rows; only these counts are summed up.
     """
+    every = max(1, docs.count() // sample)
+    chosen = docs.filter(F.pmod(F.xxhash64(docs["doc_id"], F.lit(5)), F.lit(every)) == 0)
 
     def tally(batches):
         seen: Counter = Counter()
@@ -29,7 +32,7 @@ def frequent_lengths(docs: DataFrame, vocab: str = WORDS, sample: int = 2000, en
                     seen.update(text.lower().split())
         yield from counted(dict(seen.most_common(entries)), "piece")
 
-    pieces = docs.select(text_of(docs).alias("text")).limit(sample).mapInPandas(tally, "piece string, n long")
+    pieces = chosen.select(text_of(chosen).alias("text")).mapInPandas(tally, "piece string, n long")
     top = [r[0] for r in pieces.groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "piece").limit(entries).collect()]
     encode = Lengths(vocabulary(vocab))
     return {p: encode.whole(p) for p in top}
