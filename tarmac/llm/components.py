@@ -43,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         seen = mark
 
 
-def nearby_labels(links: DataFrame, rounds: int = 3) -> DataFrame:
+def nearby_labels(links: DataFrame, rounds: int = 2) -> DataFrame:
     """(a, label): the smallest node within ``rounds`` links. Equal labels mean connected, not the reverse."""
     ways = both_ways(links)
     label = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"))

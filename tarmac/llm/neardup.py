@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +15,10 @@ from tarmac.session import materialize
 SET = ("set_a", "set_b", "n_shingles")
 TREES = 12
 LEAF = 32
-DEPTHS = (3, 5, 8, 12, 18, 26)
+DEPTHS = (3, 6, 12, 24)
 PIVOTS = 8
 #: Comparisons that are made in one node without branching on.
-FEW = 16_384
+FEW = 4_096
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -35,48 +36,64 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return materialize(pairs.mapInPandas(read, "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "fingerprints")
 
 
+def id_bits(ids: DataFrame, per_id: int = 16, most: int = 1 << 27) -> np.ndarray:
+    """A bitmap of hashed ids: ``per_id`` bits for each, ``most`` bits (16 MB) at most whatever their number."""
+    size = min(most, max(1 << 15, per_id * ids.count()) + (1 << 15) - 1 >> 15 << 15)
+    at = F.pmod(F.xxhash64("id"), F.lit(size))
+    words = ids.groupBy((at / (1 << 15)).cast("long").alias("w")).agg(F.bitmap_construct_agg((at % (1 << 15)).cast("long")).alias("bits"))
+    out = np.zeros((size >> 15, 1 << 12), dtype=np.uint8)
+    for r in words.toLocalIterator():
+        out[r["w"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out.ravel()
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, hashes): the full shingle sets of the documents in ``ids``, from their whole texts."""
+    """(id, hashes): the full shingle sets of the documents in ``ids`` and of few others, from whole texts; written.
+
+    Texts are not shuffled: each task keeps the rows whose id has its bit set.
+    """
+    shared_bits = docs.sparkSession.sparkContext.broadcast(id_bits(ids))
 
     def read(batches):
+        bits = shared_bits.value
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "hashes": [shingle_set(t, words).astype("<u8").tobytes() for t in pdf["text"]]})
+            at = pdf["h"].to_numpy() % (8 * len(bits))
+            own = pdf[(bits[at >> 3] >> (at & 7) & 1).astype(bool)]
+            for start in range(0, len(own), 500):
+                part = own.iloc[start : start + 500]
+                yield pd.DataFrame({"id": part["id"], "hashes": [shingle_set(t, words).astype("<u8").tobytes() for t in part["text"]]})
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text")).join(ids, "id", "left_semi")
-    return materialize(texts.mapInPandas(read, "id long, hashes binary"), "sets")
+    texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text")).filter("id is not null")
+    return materialize(texts.withColumn("h", F.xxhash64("id")).mapInPandas(read, "id long, hashes binary"), "sets")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough; written."""
-    pairs = materialize(pairs, "pairs")
-    sets = sets_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), words)
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([100 * both >= percent * all_ for both, all_ in map(shared, x, y)], dtype="bool")
 
     left, right = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
-    return materialize(pairs.join(left, "a").join(right, "b").filter(similar("hashes_a", "hashes_b")).select("a", "b").distinct(), "similar")
+    return materialize(pairs.distinct().join(left, "a").join(right, "b").filter(similar("hashes_a", "hashes_b")).select("a", "b"), "similar")
 
 
 def in_order(a: str, b: str) -> tuple:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def branch(rows: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
-    """Moves each (tree, doc) to its node at ``depth``: the tree's first ``depth`` minwise tokens.
+def node(depth: int):
+    """The node of (tree, sig) at ``depth``: the tree's first ``depth`` minwise tokens.
 
     Tree t starts at token 3 t and goes on from there, so trees share no token at the first depth.
     """
-    twice = F.concat("sig", "sig")
-    path = F.substring(twice, F.col("tree") * 12 + 1, F.lit(4 * depth))
-    return rows.join(reps, "doc").select("tree", "doc", F.xxhash64("tree", path).alias("node"))
+    return F.xxhash64("tree", F.substring(F.concat("sig", "sig"), F.col("tree") * 12 + 1, F.lit(4 * depth))).alias("node")
 
 
-def sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with two documents at least, and the number ``n`` of the node."""
-    counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(counts, "node")
+def first_nodes(reps: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(tree, doc, node, n): the documents of nodes that have two at least, and the number in the node."""
+    every = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", "doc", node(depth))
+    return every.join(every.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node")
 
 
 def leaf_pairs(rows: DataFrame) -> DataFrame:
@@ -87,25 +104,32 @@ def leaf_pairs(rows: DataFrame) -> DataFrame:
     return pairs.select(*in_order("x.doc", "y.doc"))
 
 
-def pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Each document of a large node with the node's PIVOTS most central ones.
+def pivot_pairs(rows: DataFrame, level: int, levels: int) -> DataFrame:
+    """Each document of a large node with PIVOTS central ones, the most central of each part of the node.
 
     Central documents lie in large nodes of many trees, as they hold the tokens that most of the node has.
+    The first level takes them from all documents, each later one from a share of its own.
     """
     central = rows.groupBy("doc").agg(F.sum("n").alias("score"))
     scored = rows.join(central, "doc").withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)))
+    if level:
+        scored = scored.filter(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(levels - 1)) == level - 1)
     top = scored.groupBy("node", "part").agg(F.max(F.struct("score", "doc", "label")).alias("top"))
     tops = top.groupBy("node").agg(F.collect_list("top").alias("tops"))  # PIVOTS at most
     pairs = rows.join(tops, "node").select("doc", "label", F.explode("tops").alias("p"))
     return pairs.filter((F.col("p.doc") != F.col("doc")) & (F.col("p.label") != F.col("label"))).select(*in_order("doc", "p.doc"))
 
 
-def outside(rows: DataFrame) -> DataFrame:
-    """Rows with the node's largest label ``main`` and its number of documents outside that, ``minor``; pure nodes go."""
-    labels = rows.groupBy("node", "label").agg(F.count("*").alias("k"))
+def next_nodes(rows: DataFrame, reps: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+    """(tree, doc) moved on to ``depth``: node, label, the node's size ``n``, its largest label ``main`` and the
+    number of documents outside that, ``minor``. Nodes of one label go.
+    """
+    known = nearby_labels(links).withColumnRenamed("a", "doc")
+    moved = rows.join(reps, "doc").select("tree", "doc", node(depth)).join(known, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    labels = moved.groupBy("node", "label").agg(F.count("*").alias("k"))
     nodes = labels.groupBy("node").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"))
-    nodes = nodes.select("node", F.col("top.label").alias("main"), (F.col("n") - F.col("top.k")).alias("minor")).filter("minor > 0")
-    return rows.join(nodes, "node")
+    nodes = nodes.select("node", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.k")).alias("minor")).filter("minor > 0")
+    return moved.join(nodes, "node")
 
 
 def rest_pairs(rows: DataFrame) -> DataFrame:
@@ -123,25 +147,20 @@ def similar_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, tr
     times all its documents), and at the last depth in any case, all of these are made. Documents known to
     be connected are not compared again, so this keeps components, not every link.
     """
-    rows = reps.select("doc").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    links = None
-    for depth in depths:
-        rows = materialize(sized(branch(rows, reps, depth)), "nodes")
-        if links is None:
-            rows = rows.withColumn("label", F.col("doc"))
-            large = rows.filter(F.col("n") > leaf)
-            pairs = leaf_pairs(rows.filter(F.col("n") <= leaf)).unionByName(pivot_pairs(large))
-        else:
-            known = nearby_labels(links).withColumnRenamed("a", "doc")
-            rows = materialize(outside(rows.join(known, "doc", "left").withColumn("label", F.coalesce("label", "doc"))), "mixed")
-            few = (F.col("minor") * F.col("n") <= FEW) | F.lit(depth == depths[-1])
-            large = rows.filter(~few)
-            pairs = rest_pairs(rows.filter(few)).unionByName(pivot_pairs(large))
-        more = confirmed(docs, pairs.distinct(), words, percent)
-        links = more if links is None else materialize(links.unionByName(more).distinct(), "links")
-        rows = large.select("doc", "tree")
+    rows = materialize(first_nodes(reps, trees, depths[0]), "nodes").withColumn("label", F.col("doc"))
+    small, large = rows.filter(F.col("n") <= leaf), rows.filter(F.col("n") > leaf)
+    pairs = materialize(leaf_pairs(small).unionByName(pivot_pairs(large, 0, len(depths))), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select(F.col("doc").alias("id")))
+    sets = sets_of(docs, ids.distinct(), words)
+    links = confirmed(pairs, sets, percent)
+    for level, depth in enumerate(depths[1:], 1):
         if large.isEmpty():
             break
+        rows = materialize(next_nodes(large.select("doc", "tree"), reps, links, depth), "mixed")
+        few = (F.col("minor") * F.col("n") <= FEW) | F.lit(depth == depths[-1])
+        large = rows.filter(~few)
+        more = confirmed(rest_pairs(rows.filter(few)).unionByName(pivot_pairs(large, level, len(depths))), sets, percent)
+        links = links.unionByName(more)
     return links
 
 
