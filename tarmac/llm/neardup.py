@@ -135,7 +135,7 @@ def next_nodes(rows: DataFrame, reps: DataFrame, links: DataFrame, depth: int) -
 def rest_pairs(rows: DataFrame) -> DataFrame:
     """Every document outside its node's largest label with all documents of other labels."""
     others = rows.filter("label <> main").select("node", F.col("doc").alias("other"), F.col("label").alias("other_label"))
-    return rows.join(others, "node").filter("doc <> other and label <> other_label").select(*in_order("doc", "other"))
+    return rows.join(others, "node").filter("doc <> other and label <> other_label and (label = main or doc < other)").select(*in_order("doc", "other"))
 
 
 def similar_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, trees: int = TREES, leaf: int = LEAF, depths=DEPTHS) -> DataFrame:
