@@ -65,14 +65,15 @@ def search_topk(queries: DataFrame, query_id: str, text: str, names: DataFrame,
     """The first k names, in ``name_id`` order, whose text contains the query; empty queries match all.
 
     Instead of testing every pair, names are indexed by their 1- to 3-character pieces. A query is
-    joined on the rarest of its pieces and verified. Equal queries are searched once.
+    joined on the rarest of its pieces and verified; the index holds ids, and texts are joined to the
+    candidates only. Equal queries are searched once. ``name_id`` must be unique.
     """
     asked = queries.withColumn("__q", alias_normalize(text))
     unique = asked.select("__q").distinct()
     normal = alias_normalize(search_text)
     entries = names.select(F.col(name_id).alias("__id"), normal.alias("__text"))
     pieces = F.array_distinct(F.flatten(F.array(*[_grams(F.col("__text"), n) for n in (1, 2, 3)])))
-    index = entries.select("__id", "__text", F.explode(pieces).alias("__g"))
+    index = entries.select("__id", F.explode(pieces).alias("__g"))
     frequency = index.groupBy("__g").agg(F.count("*").alias("__f"))
     size = F.least(F.length("__q"), F.lit(3))
     own = F.when(size == 3, _grams(F.col("__q"), 3)).when(size == 2, _grams(F.col("__q"), 2)).otherwise(_grams(F.col("__q"), 1))
@@ -81,7 +82,8 @@ def search_topk(queries: DataFrame, query_id: str, text: str, names: DataFrame,
     rarest = known.groupBy("__q").agg(
         F.min_by("__g", F.struct(F.coalesce("__f", F.lit(0)), "__g")).alias("__g")
     )
-    hits = rarest.join(index, "__g").filter(F.contains(F.col("__text"), F.col("__q"))).select("__q", "__id")
+    near = rarest.join(index, "__g").select("__q", "__id").join(entries, "__id")
+    hits = near.filter(F.contains(F.col("__text"), F.col("__q"))).select("__q", "__id")
     order = Window.partitionBy("__q").orderBy("__id")
     top = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     every = entries.select("__id").orderBy("__id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("__id")))

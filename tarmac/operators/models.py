@@ -47,6 +47,7 @@ class DelayModel:
     categorical: list[str]
     numeric: list[str]
     models: list[ThresholdModel] = field(default_factory=list)
+    dropped: list[str] = field(default_factory=list)  # wanted, but the training table does not have them
 
     def save(self, path: str) -> None:
         """Every model below the path, and a registry table of what is there."""
@@ -57,8 +58,8 @@ class DelayModel:
             if m.calibrator is not None:
                 kind = "isotonic" if isinstance(m.calibrator, IsotonicRegressionModel) else "sigmoid"
                 m.calibrator.write().overwrite().save(f"{path}/calibrators/{m.threshold}")
-            rows.append((m.threshold, kind, self.categorical, self.numeric))
-        schema = "threshold int, calibrator string, categorical array<string>, numeric array<string>"
+            rows.append((m.threshold, kind, self.categorical, self.numeric, self.dropped))
+        schema = "threshold int, calibrator string, categorical array<string>, numeric array<string>, dropped array<string>"
         spark = SparkSession.getActiveSession()
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/registry")
 
@@ -66,7 +67,7 @@ class DelayModel:
     def load(cls, spark: SparkSession, path: str) -> "DelayModel":
         rows = spark.read.parquet(f"{path}/registry").orderBy("threshold").collect()
         kinds = {"isotonic": IsotonicRegressionModel, "sigmoid": LogisticRegressionModel}
-        out = cls(list(rows[0]["categorical"]), list(rows[0]["numeric"]))
+        out = cls(list(rows[0]["categorical"]), list(rows[0]["numeric"]), dropped=list(rows[0]["dropped"]))
         for r in rows:
             loader = kinds.get(r["calibrator"])
             out.models.append(
@@ -214,12 +215,14 @@ def add_distribution(df: DataFrame) -> DataFrame:
 def feature_importance(spark: SparkSession, model: DelayModel) -> DataFrame:
     """Split-gain importance per threshold and feature, largest first within a threshold.
 
-    (The reference ranks by loss change, which MLlib does not report.)
+    A wanted feature that the training table did not have has a null importance. (Ranked by split gain,
+    as MLlib does not report the loss change.)
     """
     names = [*model.categorical, *model.numeric]
     rows = []
     for m in model.models:
         trees = next(s for s in m.trees.stages if isinstance(s, GBTClassificationModel))
         rows += [(m.threshold, n, float(v)) for n, v in zip(names, trees.featureImportances.toArray())]
+        rows += [(m.threshold, n, None) for n in model.dropped]
     table = spark.createDataFrame(rows, "threshold int, feature string, importance double")
     return table.orderBy("threshold", F.desc("importance"))

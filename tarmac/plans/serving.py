@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Mapping
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from tarmac.functions import times as T
 from tarmac.functions.ordinal import risk_band, risk_score, severity_band
 from tarmac.functions.text import carrier_name_to_code, key_text, normalize_flight_number
 from tarmac.operators import intervals, joins, models, rolling
+from tarmac.schema import FLIGHT
 from tarmac.session import materialize
 
 
@@ -79,7 +84,13 @@ def request_features(
     route = ["Reporting_Airline", "flight_number", "Origin", "Dest", "date"]
     windows = C.DEPARTURE_WINDOWS
     past = rolling.window_means_at(base, history, route[:4], "date", "delay", windows, include_today=True)
-    df = base.join(counted, near, "left").join(own, [*near, "flight_number"], "left").join(past, route, "left")
+    baselines = rolling.baselines_at(base, history, windows, replace(FLIGHT, date="date", number="flight_number", dep_delay="delay"))
+    df = (
+        base.join(counted, near, "left").join(own, [*near, "flight_number"], "left").join(past, route, "left")
+        .join(baselines, ["Reporting_Airline", "Origin", "date"], "left")
+    )
+    known = F.coalesce("flight_history", F.lit(True))
+    df = df.withColumns({c: F.when(known, F.col(c)) for c in past.columns if c not in route})
     zero = F.lit(0).cast("long")
     df = df.withColumns(
         {
@@ -100,41 +111,82 @@ def request_features(
     )
     return df.withColumns(
         {
-            "od_pair": F.concat_ws("_", "Origin", "Dest"), "dep_dow": F.weekday(F.col("dep_utc").cast("date")),
-            "sched_dep_hour": F.hour("dep_utc"), "is_holiday": F.lit(0), "aircraft_type": F.lit("UNKNOWN"),
+            "od_pair": F.concat_ws("_", "Origin", "Dest"), "dep_dow": F.weekday(T.utc_to_local("dep_utc", "Origin_TZ").cast("date")),
+            "sched_dep_hour": F.hour(T.utc_to_local("dep_utc", "Origin_TZ")), "is_holiday": T.holiday_flag("date"), "aircraft_type": F.lit("Unknown"),
             "has_recent_arrival_turn_5h": F.lit(0), "tail_leg_num_day": F.lit(0),
             "flightnum_hours_since_first_departure_today": F.lit(0.0), "turn_time_hours": F.lit(0.0),
         }
     )
 
 
+SWITCHES = ("include_weather", "flight_history", "airport_stats", "airline_stats")
+RESULTS = ("bin_proba", "predicted_bin", "expected_delay_minutes", "severity_score", "severity_band", "risk_score", "risk_band")
+
+
+def check_rankings(df: DataFrame, rankings: DataFrame, airports_n: int) -> DataFrame:
+    """Requests with an airport outside the airline's list of that size get a problem.
+
+    ``rankings`` has airline, n and code, as ``scan_ranking_lists`` reads them.
+    """
+    listed = rankings.filter(F.col("n") == airports_n).select("airline", "code").distinct()
+    for end in ("Origin", "Dest"):
+        side = listed.select(F.col("airline").alias("Reporting_Airline"), F.col("code").alias(end), F.lit(True).alias(f"__{end}"))
+        df = df.join(side, ["Reporting_Airline", end], "left")
+    outside = F.col("__Origin").isNull() | F.col("__Dest").isNull()
+    return df.withColumn("problem", F.coalesce("problem", F.when(outside, "airport_not_in_ranking"))).drop("__Origin", "__Dest")
+
+
+def score_by_key(df: DataFrame, registry: Mapping[str, models.DelayModel]) -> DataFrame:
+    """Each row scored by the model its ``model_id`` names; rows without one keep null results.
+
+    The registry has a model per key, so the number of scans is the number of models in use.
+    """
+    if not registry:
+        raise ValueError("the registry has no model")
+    scored = [models.add_distribution(models.score_ge(df.filter(F.col("model_id") == key), model)) for key, model in sorted(registry.items())]
+    known = F.col("model_id").isin(list(registry)) if registry else F.lit(False)
+    rest = df.filter(~F.coalesce(known, F.lit(False)))
+    rest = rest.withColumn("problem", F.coalesce("problem", F.when(F.col("model_family").isNotNull(), "no_model")))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*scored, rest])
+
+
 def batch_predict(
     requests: DataFrame, airports: DataFrame, schedule: DataFrame, history: DataFrame, weather_daily: DataFrame,
-    weather_hourly: DataFrame, rollups: DataFrame, model: models.DelayModel, airports_n: int = 50, years: str = "23-25",
+    weather_hourly: DataFrame, rollups: DataFrame, registry: Mapping[str, models.DelayModel], airports_n: int = 50, years: str = "23-25",
+    rankings: DataFrame | None = None,
 ) -> DataFrame:
     """Requests with distribution, bands, model key, rollup stats of both airports and the airline.
 
-    Requests that cannot be predicted keep their problem and null results; none is dropped. The
-    matched requests are written, because every group of features reads them.
+    A request is predicted by the model that its key (airline, list size, years, weather, history) names.
+    Requests that cannot be predicted say why in ``problem`` and have null results; none is dropped. The
+    switches of ``SWITCHES`` are columns of the requests; a missing or null one is on. The matched requests
+    and their features are written, because every group of features and every model reads them.
     """
-    asked = materialize(match_or_fall_back(resolve_requests(requests, airports), schedule), "requests")
+    requests = requests.withColumns({s: F.lit(True) for s in SWITCHES if s not in requests.columns})
+    asked = resolve_requests(requests, airports)
+    if rankings is not None:
+        asked = check_rankings(asked, rankings, airports_n)
+    asked = materialize(match_or_fall_back(asked, schedule), "requests")
     df = request_features(asked, schedule, history, weather_daily, weather_hourly)
-    df = models.add_distribution(models.score_ge(df, model))
     no_history = F.lit(False)
+    key = tiers.model_locator("Reporting_Airline", F.lit(airports_n), F.lit(years), "has_hourly", no_history)
     df = df.withColumns(
         {
             "model_family": tiers.choose_tier_by_weather("has_hourly", "has_daily", no_history),
-            "model_id": tiers.model_locator("Reporting_Airline", F.lit(airports_n), F.lit(years), "has_hourly", no_history),
-            "severity_band": severity_band("severity_score"), "risk_score": risk_score("bin_proba"),
+            "model_id": F.when(F.col("Reporting_Airline").isNotNull(), key),
             "flight": normalize_flight_number("Reporting_Airline", "flight_number"),
         }
     )
+    df = df.withColumn("problem", F.coalesce("problem", F.when(F.col("model_family").isNull(), "no_model_family")))
+    df = score_by_key(materialize(df, "request-features"), registry)
+    df = df.withColumns({"severity_band": severity_band("severity_score"), "risk_score": risk_score("bin_proba")})
     df = df.withColumn("risk_band", risk_band("risk_score"))
     df = df.join(joins.asof_dates(asked, rollups, "date", "stats_as_of_date"), "date", "left")
-    for column, kind, prefix in (
-        ("Origin", "airport_total", "origin_stats_"), ("Dest", "airport_total", "dest_stats_"),
-        ("Reporting_Airline", "airline_total", "airline_stats_"),
+    for column, kind, prefix, switch in (
+        ("Origin", "airport_total", "origin_stats_", "airport_stats"), ("Dest", "airport_total", "dest_stats_", "airport_stats"),
+        ("Reporting_Airline", "airline_total", "airline_stats_", "airline_stats"),
     ):
         df = joins.rollup_stats(df, rollups, column, kind, prefix, "stats_as_of_date")
-    results = ("bin_proba", "predicted_bin", "expected_delay_minutes", "severity_score", "severity_band", "risk_score", "risk_band")
-    return df.withColumns({r: F.when(F.col("problem").isNull(), F.col(r)) for r in results})
+        wanted = F.coalesce(switch, F.lit(True))
+        df = df.withColumns({c: F.when(wanted, F.col(c)) for c in df.columns if c.startswith(prefix)})
+    return df.withColumns({r: F.when(F.col("problem").isNull(), F.col(r)) for r in RESULTS})

@@ -24,7 +24,7 @@ def train_departure(
     again because fitting passes over them several times.
     """
     any_table = next(iter(balanced.values()))
-    cats, nums, _ = filters.select_feature_columns(any_table, cfg.categorical, cfg.numeric_features(), cfg.exclude_feature_prefixes)
+    cats, nums, dropped = filters.select_feature_columns(any_table, cfg.categorical, cfg.numeric_features(), cfg.exclude_feature_prefixes)
     halves = sampling.stratified_split(
         evaluation, "y_dep_ge15", [FLIGHT.row_id], {"cal": 0.5, "eval": 0.0}, cfg.seed, "__half"
     )
@@ -39,6 +39,7 @@ def train_departure(
     model = models.train_threshold_models(
         tables, calibration, "y_dep_ge{thr}", cats, nums, settings, held_out="__stop", method="isotonic"
     )
+    model.dropped = dropped
     return model, held_out
 
 
@@ -49,8 +50,8 @@ def train_arrival(
     """Models with sigmoid calibration from the training period; the last days are evaluation."""
     marked = sampling.trailing_split(features, FLIGHT.date, cfg.eval_last_days, inclusive=True)
     period, evaluation = marked.filter("not is_eval").drop("is_eval"), marked.filter("is_eval").drop("is_eval")
-    cats, nums, _ = filters.select_feature_columns(features, categorical, numeric, cfg.exclude_feature_prefixes)
-    out = models.DelayModel(cats, nums)
+    cats, nums, dropped = filters.select_feature_columns(features, categorical, numeric, cfg.exclude_feature_prefixes)
+    out = models.DelayModel(cats, nums, dropped=dropped)
     for thr in cfg.thresholds:
         y = f"y_arr_ge{thr}"
         rows = period if cfg.max_rows is None else sampling.stratified_cap(period, y, [FLIGHT.row_id], cfg.max_rows, cfg.seed + thr)
@@ -83,15 +84,21 @@ def evaluate(model: models.DelayModel, rows: DataFrame, label: str = "y_dep_ge{t
 
 
 def explain(scored: DataFrame, cfg: PipelineConfig = PipelineConfig(), delay: str = "DepDelayMinutes") -> DataFrame:
-    """Evaluation rows with distribution, true bin, reasons and printed probabilities."""
-    longest = max(cfg.windows)
+    """Evaluation rows with distribution, true bin, reasons and printed probabilities.
+
+    The load factor and the weather code are optional inputs of the reasons; all others must be there.
+    """
+    longest, shortest = max(cfg.windows), cfg.windows[0]
     out = models.add_distribution(scored)
-    absent = lambda c: F.col(c) if c in out.columns else F.lit(None)
-    reason = explain_reasons(
-        absent(f"flightnum_od_low_support_last{longest}d"), absent(f"flightnum_od_depdelay_mean_last{longest}"),
-        absent(f"carrier_depdelay_mean_last{cfg.windows[0]}"), absent(f"carrier_origin_depdelay_mean_last{cfg.windows[0]}"),
-        absent("origin_congestion_3h_total"), absent("od_month_load_factor_prev1"), absent("origin_daily_weathercode"),
+    needed = (
+        f"flightnum_od_low_support_last{longest}d", f"flightnum_od_depdelay_mean_last{longest}", f"carrier_depdelay_mean_last{shortest}",
+        f"carrier_origin_depdelay_mean_last{shortest}", "origin_congestion_3h_total",
     )
+    missing = [c for c in needed if c not in out.columns]
+    if missing:
+        raise ValueError(f"the reasons need the features {missing}")
+    optional = [F.col(c) if c in out.columns else F.lit(None) for c in ("od_month_load_factor_prev1", "origin_daily_weathercode")]
+    reason = explain_reasons(*needed, *optional)
     return out.withColumns(
         {
             "true_bin": delay_bin(delay), "delay_explanation": reason,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarmac import fixtures as X
-from tarmac.constants import DEPARTURE_WINDOWS
+from tarmac.constants import DEPARTURE_WINDOWS, THRESHOLDS
 from tarmac.functions.numbers import threshold_labels
 from tarmac.operators import models, sampling
 from tarmac.plans.arrival import arrival_features
@@ -179,105 +180,204 @@ def arrival_features_query(spark, sf):
     return round_columns(out.select("flight_id", "y_arr_ge30", *names), floats)
 
 
-@query("departure_training_tables", None)
+def _training_sql() -> str:
+    """Rows per threshold and class: equal classes, at most 20,000 rows in all; evaluation rows as threshold 0."""
+    parts = [
+        """SELECT 0 AS thr, CAST(coalesce(DepDelayMinutes >= 15, false) AS INTEGER) AS y, count(*) AS n FROM flights
+        WHERE FlightDate > (SELECT max(FlightDate) FROM flights) - 90 GROUP BY ALL"""
+    ]
+    for thr in THRESHOLDS:
+        parts.append(
+            f"""SELECT {thr}, NULL, CAST(CASE WHEN least(pos, neg) = 0 THEN least(pos + neg, 20000) ELSE least(2 * least(pos, neg), 20000) END AS BIGINT) FROM
+            (SELECT count(*) FILTER (DepDelayMinutes >= {thr}) AS pos, count(*) FILTER (NOT coalesce(DepDelayMinutes >= {thr}, false)) AS neg
+             FROM flights WHERE FlightDate <= (SELECT max(FlightDate) FROM flights) - 90)"""
+        )
+    return on_flights(" UNION ALL ".join(parts))
+
+
+@query("departure_training_tables", _training_sql())
 def departure_training_tables(spark, sf):
-    """Rows per threshold and label of the balanced tables, and of the evaluation rows."""
-    features = training_features(spark, sf)
-    evaluation, balanced = split_and_balance(features, PipelineConfig(max_rows=5000))
+    """Rows of the balanced table per threshold (y null), and of the evaluation rows per label (threshold 0)."""
+    evaluation, balanced = split_and_balance(training_features(spark, sf), PipelineConfig())
     out = evaluation.groupBy(F.lit(0).alias("thr"), F.col("y_dep_ge15").alias("y")).agg(F.count("*").alias("n"))
     for thr, table in balanced.items():
-        out = out.unionByName(table.groupBy(F.lit(thr).alias("thr"), F.col(f"y_dep_ge{thr}").alias("y")).agg(F.count("*").alias("n")))
+        out = out.unionByName(table.agg(F.count("*").alias("n")).select(F.lit(thr).alias("thr"), F.lit(None).cast("int").alias("y"), "n"))
     return out
 
 
-# Training: the models of one session and scale are fitted once and shared by the queries below
+# Training: features and models of one session and scale are made once and shared by the queries below
 
-_SETTINGS = models.TrainingSettings(iterations=4, depth=3, max_bins=64)
-_CATS = ["Origin", "Dest", "Reporting_Airline"]
-_NUMS = ["CRSDepTime", "AirTime", "level", "noise"]
+#: Rounds and depth of the registered queries; the library's default is 60 rounds.
+_SETTINGS = models.TrainingSettings(iterations=10, depth=5)
 _features: dict = {}
 _trained: dict = {}
 
 
+def model_weather(spark, sf):
+    """Daily and hourly weather from the orders, with the columns that models read."""
+    o = X.table(spark, sf, "orders").withColumn("airport", X._pick(X.AIRPORTS, F.expr("o_custkey % 10")))
+    value = F.max("o_totalprice") / 10000.0
+    daily = o.groupBy("airport", F.col("o_orderdate").cast("date").alias("date")).agg(
+        value.alias("temperature_2m_max"), (value - 8).alias("temperature_2m_min"), F.max(F.expr("o_custkey % 30 / 10.0D")).alias("precipitation_sum"),
+        F.max(F.expr("o_custkey % 70 * 1.0D")).alias("windspeed_10m_max"), F.max(F.expr("o_custkey % 4")).alias("weathercode"),
+    )
+    hours = daily.select("airport", "date", "temperature_2m_max", "precipitation_sum", "windspeed_10m_max", "weathercode", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("h"))
+    hourly = hours.select(
+        "airport", (F.col("date").cast("timestamp_ntz") + F.expr("make_dt_interval(0, h)")).alias("hour_utc"),
+        (F.col("temperature_2m_max") - F.abs(F.col("h") - 14) / 2.0).alias("temperature_2m"), (F.col("precipitation_sum") / 24.0).alias("precipitation"),
+        (F.col("windspeed_10m_max") / 2.0).alias("windspeed_10m"), "weathercode",
+    )
+    return daily, hourly
+
+
 def training_features(spark, sf):
-    """Flights with labels and a planted signal, written once per session and scale."""
+    """Departure features and labels of the enriched flights, and arrival labels; written once per session and scale."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _features:
-        f = X.flight_table(spark, sf).withColumns(
-            {
-                **threshold_labels("DepDelayMinutes"), **threshold_labels("ArrDelayMinutes", "arr"),
-                "level": F.expr("cast(floor((quantity + noise % 15) / 8) as double)"),
-            }
-        )
-        _features[key] = materialize(f, "features")
+        daily, hourly = model_weather(spark, sf)
+        enriched = enrich(raw_flights(spark, sf), airport_table(spark, sf), PipelineConfig(), weather_daily=daily, weather_hourly=hourly)
+        enriched = materialize(enriched, "enriched")
+        features = departure_features(enriched, enriched).withColumns(threshold_labels("ArrDelayMinutes", "arr"))
+        _features[key] = materialize(features, "features")
     return _features[key]
 
 
 def trained(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _trained:
-        cfg = PipelineConfig(max_rows=4000, categorical=tuple(_CATS), extra_numeric=tuple(_NUMS))
-        evaluation, balanced = split_and_balance(training_features(spark, sf), cfg)
-        _trained[key] = train_departure(balanced, materialize(evaluation, "evaluation"), cfg, _SETTINGS)
+        evaluation, balanced = split_and_balance(training_features(spark, sf), PipelineConfig())
+        _trained[key] = train_departure(balanced, materialize(evaluation, "evaluation"), PipelineConfig(), _SETTINGS)
     return _trained[key]
 
 
-@query("train_threshold_models")
+def scored_features(spark, sf):
+    key = ("scored", spark.sparkContext.applicationId, sf)
+    if key not in _features:
+        model, _ = trained(spark, sf)
+        scored = models.add_distribution(models.score_ge(training_features(spark, sf), model))
+        _features[key] = materialize(scored, "scored")
+    return _features[key]
+
+
+def checks(df, **tests):
+    """One row per property with whether it holds on all rows."""
+    found = df.agg(*[F.coalesce(F.min(t.cast("int")), F.lit(0)).alias(n) for n, t in tests.items()])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("property"), F.col(n).alias("holds")) for n in tests])).alias("c")).select("c.*")
+
+
+def _holds(*names: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS property, 1 AS holds" for n in names)
+
+
+_EVAL_PROPERTIES = ("auc_in_range", "ap_in_range", "brier_in_range", "threshold_known", "rows")
+
+
+def _evaluation_checks(table, rows):
+    share = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    return checks(
+        table, auc_in_range=share("auc"), ap_in_range=share("average_precision"), brier_in_range=share("brier"),
+        threshold_known=F.col("threshold").isin(*THRESHOLDS), rows=F.lit(table.count() == len(THRESHOLDS) and rows > 0),
+    )
+
+
+@query("train_threshold_models", _holds(*_EVAL_PROPERTIES))
 def train_threshold_models(spark, sf):
-    """Evaluation of the departure models, one row per threshold."""
+    """Properties of the departure models' evaluation on the held-out half, one row per threshold."""
     model, held_out = trained(spark, sf)
-    return evaluate(model, held_out)
+    return _evaluation_checks(materialize(evaluate(model, held_out), "evaluated"), held_out.count())
 
 
-@query("train_arrival_models")
+@query("train_arrival_models", _holds(*_EVAL_PROPERTIES))
 def train_arrival_models(spark, sf):
-    cfg = PipelineConfig(target="arr", max_rows=3000, seed=1337, thresholds=(15, 60))
-    model, evaluation = train_arrival(training_features(spark, sf), _CATS, _NUMS, cfg, _SETTINGS)
-    return evaluate(model, evaluation, "y_arr_ge{thr}")
+    cfg = PipelineConfig(target="arr", seed=1337, exclude_feature_prefixes=("y_dep_ge", "y_arr_ge"))
+    model, evaluation = train_arrival(training_features(spark, sf), cfg.categorical, cfg.numeric_features(), cfg, _SETTINGS)
+    return _evaluation_checks(materialize(evaluate(model, evaluation, "y_arr_ge{thr}"), "evaluated"), evaluation.count())
 
 
-@query("feature_importance")
+@query("feature_importance", _holds("known_or_dropped", "sums_to_one_or_zero", "every_feature"))
 def feature_importance(spark, sf):
-    return models.feature_importance(spark, trained(spark, sf)[0])
+    """Properties of the split gains: all configured features appear, those the table lacks with null."""
+    table = models.feature_importance(spark, trained(spark, sf)[0])
+    sums = table.groupBy("threshold").agg(F.sum("importance").alias("total"), F.count("*").alias("n"))
+    wanted = [*PipelineConfig().categorical, *PipelineConfig().numeric_features()]
+    known = checks(table, known_or_dropped=F.col("feature").isin(wanted))
+    total = F.round("total", 6)
+    return known.unionByName(checks(sums, sums_to_one_or_zero=(total == 1) | (total == 0), every_feature=F.col("n") == len(wanted)))
 
 
-@query("score_ge")
+@query("score_ge", _holds("bins_sum_to_one", "probabilities_in_range", "minutes_in_range") + " UNION ALL SELECT 'rows ' || count(*), 1 FROM lineitem")
 def score_ge(spark, sf):
-    """All flights with the four probabilities and the distribution."""
-    model, _ = trained(spark, sf)
-    out = models.add_distribution(models.score_ge(training_features(spark, sf), model))
-    return out.select("flight_id", "p_ge15", "p_ge30", "p_ge45", "p_ge60", "predicted_bin", "expected_delay_minutes", "severity_score")
+    """Properties of the scores of all flights."""
+    scored = scored_features(spark, sf)
+    probabilities = F.least(*[F.col(f"p_ge{t}") for t in THRESHOLDS]) >= 0
+    out = checks(
+        scored, bins_sum_to_one=F.round(F.aggregate("bin_proba", F.lit(0.0), lambda a, x: a + x), 6) == 1,
+        probabilities_in_range=probabilities & (F.greatest(*[F.col(f"p_ge{t}") for t in THRESHOLDS]) <= 1),
+        minutes_in_range=F.col("expected_delay_minutes").between(0, 1000),
+    )
+    return out.unionByName(scored.agg(F.concat(F.lit("rows "), F.count("*")).alias("property"), F.lit(1).alias("holds")))
 
 
-@query("explain_predictions")
+@query("explain_predictions", _holds("reason_given", "four_reasons", "probabilities_printed", "bins_known"))
 def explain_predictions(spark, sf):
+    """Properties of the explained held-out flights."""
     model, held_out = trained(spark, sf)
-    out = explain(models.score_ge(held_out, model))
-    return out.select("flight_id", "true_bin", "predicted_bin", "delay_explanation", "delay_probabilities")
+    out = materialize(explain(models.score_ge(held_out, model)), "explained")
+    reasons = out.select(F.explode(F.split("delay_explanation", "; ")).alias("r")).distinct().count()
+    return checks(
+        out, reason_given=F.length("delay_explanation") > 0, four_reasons=F.lit(reasons >= 4),
+        probabilities_printed=F.col("delay_probabilities").rlike("^P≥15=[0-9.]+, P≥30=[0-9.]+, P≥45=[0-9.]+, P≥60=[0-9.]+$"),
+        bins_known=F.col("true_bin").isNotNull() & F.col("predicted_bin").isNotNull(),
+    )
+
+
+_RAW = "floor((quantity + noise % 15) / 8) / 10.0"
+
+_ISOTONIC_SQL = f""", h AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || flight_id)) AS r, count(*) OVER (PARTITION BY y) AS c FROM
+  (SELECT flight_id, {_RAW} AS raw, CAST(coalesce(DepDelayMinutes >= 15, false) AS INTEGER) AS y FROM flights)),
+cal AS (SELECT raw, avg(y) AS rate, count(*) AS w FROM h WHERE r <= round(c * 0.5) GROUP BY raw),
+spans AS (SELECT s.raw AS lo, e.raw AS hi, sum(c.rate * c.w) / sum(c.w) AS m FROM cal s JOIN cal e ON s.raw <= e.raw JOIN cal c ON c.raw BETWEEN s.raw AND e.raw GROUP BY ALL),
+fit AS (SELECT raw, max(m) AS p FROM (SELECT i.raw, lo, min(m) AS m FROM cal i JOIN spans ON i.raw BETWEEN lo AND hi GROUP BY ALL) GROUP BY raw)"""
 
 
 def _calibrated(spark, sf, method):
-    f = training_features(spark, sf).withColumn("raw", F.expr("level / 10.0D"))
+    """Observed rate and calibrated probability per raw score, on the half the fit has not seen."""
+    f = X.flight_table(spark, sf).withColumns({**threshold_labels("DepDelayMinutes"), "raw": F.expr(_RAW).cast("double")})
     halves = sampling.stratified_split(f, "y_dep_ge15", ["flight_id"], {"cal": 0.5, "eval": 0.0}, out="half")
     fit = models.calibrate_isotonic if method == "isotonic" else models.calibrate_sigmoid
     calibrator = fit(halves.filter("half = 'cal'"), "y_dep_ge15", "raw")
     scored = models.apply_calibrator(halves.filter("half = 'eval'"), calibrator, "raw", "p")
-    return scored.groupBy("raw").agg(F.first("p").alias("p"), F.avg("y_dep_ge15").alias("rate"), F.count("*").alias("n"))
+    return scored.groupBy("raw").agg(F.round(F.max("p"), 6).alias("p"), F.round(F.avg("y_dep_ge15"), 6).alias("rate"), F.count("*").alias("n"))
 
 
-@query("calibrate_isotonic")
+@query(
+    "calibrate_isotonic",
+    on_flights("SELECT raw, round(p, 6) AS p, round(avg(y), 6) AS rate, count(*) AS n FROM h JOIN fit USING (raw) WHERE r > round(c * 0.5) GROUP BY raw, p", _ISOTONIC_SQL),
+)
 def calibrate_isotonic(spark, sf):
     return _calibrated(spark, sf, "isotonic")
 
 
-@query("calibrate_sigmoid")
+@query("calibrate_sigmoid", _holds("in_range", "rises_with_the_score", "mean_near_the_rate"))
 def calibrate_sigmoid(spark, sf):
-    return _calibrated(spark, sf, "sigmoid")
+    """Properties of the sigmoid: between 0 and 1, rising, and right on average."""
+    points = materialize(_calibrated(spark, sf, "sigmoid"), "points")
+    order = Window.orderBy("raw")  # one row per distinct raw score
+    rising = checks(points.withColumn("before", F.lag("p").over(order)), in_range=F.col("p").between(0, 1), rises_with_the_score=F.coalesce(F.col("p") >= F.col("before"), F.lit(True)))
+    mean = points.agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("p"), (F.sum(F.col("rate") * F.col("n")) / F.sum("n")).alias("rate"))
+    return rising.unionByName(checks(mean, mean_near_the_rate=F.abs(F.col("p") - F.col("rate")) < 0.05))
+
+
+_KEYS = tuple(f"{a}_50_23-25_weather+_minhist" for a in ("WN", "DL", "UA"))
 
 
-@query("batch_predict")
+@query(
+    "batch_predict",
+    _holds("result_or_problem", "results_have_a_family", "results_have_their_model", "unknown_airline_has_no_key", "results_differ", "switches_obeyed", "ranking_obeyed")
+    + " UNION ALL SELECT 'rows ' || count(*), 1 FROM orders",
+)
 def batch_predict_query(spark, sf):
-    """A prediction for every order read as a request."""
+    """Properties of the predictions for every order read as a request."""
     model, _ = trained(spark, sf)
     f = X.flight_table(spark, sf)
     o = X.table(spark, sf, "orders")
@@ -288,7 +388,7 @@ def batch_predict_query(spark, sf):
         X._pick(X.AIRPORTS, F.expr("o_custkey % 10")).alias("origin"), X._pick(X.AIRPORTS, F.expr("(o_custkey + 1 + o_orderkey % 7) % 10")).alias("dest"),
         F.expr("case when o_orderkey % 3 <> 0 then concat(lpad(o_orderkey % 24, 2, '0'), ':30') end").alias("sched_dep_time_24h"),
         F.expr("case when o_orderkey % 3 <> 0 then concat(lpad((o_orderkey + 3) % 24, 2, '0'), ':10') end").alias("sched_arr_time_24h"),
-        F.expr("o_custkey % 4 <> 0").alias("include_weather"),
+        F.expr("o_custkey % 4 <> 0").alias("include_weather"), F.expr("o_orderkey % 5 <> 0").alias("airline_stats"),
     )
     schedule = f.select(
         F.col("Origin").alias("origin"), F.col("Flight_Number_Reporting_Airline").cast("string").alias("flight_number"),
@@ -298,15 +398,26 @@ def batch_predict_query(spark, sf):
         "Reporting_Airline", F.col("Flight_Number_Reporting_Airline").cast("string").alias("flight_number"), "Origin", "Dest",
         F.col("FlightDate").alias("date"), F.col("DepDelayMinutes").alias("delay"),
     )
-    daily, hourly = weather_tables(spark, sf)
+    daily, hourly = model_weather(spark, sf)
+    daily = daily.select("airport", "date", F.col("temperature_2m_max").alias("origin_temp_max_K"), F.col("weathercode").alias("origin_daily_weathercode"))
+    hourly = hourly.select("airport", "hour_utc", F.col("temperature_2m").alias("origin_dep_temp_K"), F.col("weathercode").alias("origin_dep_hour_weathercode"))
+    codes = airport_table(spark, sf).select(F.col("IATA").alias("code"))
+    lists = codes.select(F.explode(F.array(*[F.lit(a) for a in ("WN", "AA", "DL", "UA")])).alias("airline"), F.lit(50).alias("n"), "code")
+    lists = lists.filter(~((F.col("airline") == "DL") & (F.col("code") == X.AIRPORTS[0])))
     out = batch_predict(
-        requests, airport_table(spark, sf), schedule, history, daily.withColumnRenamed("temperature_2m_max", "origin_temp_max_K"),
-        hourly.withColumnRenamed("temperature_2m", "origin_dep_temp_K"), materialize(E.group_rollup_table(spark, sf), "rollups"), model,
+        requests, airport_table(spark, sf), schedule, history, daily, hourly, materialize(E.group_rollup_table(spark, sf), "rollups"),
+        {key: model for key in _KEYS}, rankings=lists,
     )
-    return out.select(
-        "request_id", "flight", "Origin", "Dest", "problem", "verification_source", "dep_utc", "arr_utc", "warnings", "model_family",
-        "model_id", "origin_congestion_3h_total", "flightnum_od_support_count_last28d", "predicted_bin", "expected_delay_minutes",
-        "severity_band", "risk_score", "risk_band", "stats_as_of_date", "origin_stats_dep_delay_7d_mean", "airline_stats_missing",
+    out = materialize(out, "predictions")
+    some = F.col("predicted_bin").isNotNull()
+    either = lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+    found = checks(
+        out, result_or_problem=some != F.col("problem").isNotNull(), results_have_a_family=either(~some, F.col("model_family").isNotNull()),
+        results_have_their_model=either(~some, F.col("model_id").isin(*_KEYS)),
+        unknown_airline_has_no_key=either(F.col("Reporting_Airline").isNotNull(), F.col("model_id").isNull()),
+        switches_obeyed=either(F.col("airline_stats"), F.col("airline_stats_missing").isNull()),
+        ranking_obeyed=either(~some, ~F.coalesce((F.col("Reporting_Airline") == "DL") & (F.col("Origin") == X.AIRPORTS[0]), F.lit(False))),
     )
-
-
+    different = out.agg(F.countDistinct("expected_delay_minutes").alias("n"))
+    rows = out.agg(F.concat(F.lit("rows "), F.count("*")).alias("property"), F.lit(1).alias("holds"))
+    return found.unionByName(checks(different, results_differ=F.col("n") > 1)).unionByName(rows)

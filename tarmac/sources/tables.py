@@ -47,10 +47,13 @@ def scan_glob_prune(
 def scan_month_csv(spark: SparkSession, path: str, schema: T.StructType, keep=C.MONTHLY_COLUMNS) -> DataFrame:
     """A landed monthly CSV: trimmed header names, kept columns, real dates.
 
-    ``schema`` gives the file's columns in order, so nothing is inferred from the data.
+    ``schema`` gives the columns in order, so nothing is inferred from the data; a file whose header names
+    others, or in another order, is an error.
     """
-    df = spark.read.csv(path, header=True, schema=schema, enforceSchema=True, mode="PERMISSIVE")
-    df = df.withColumnsRenamed({c: c.strip() for c in df.columns if c != c.strip()})
+    named = T.StructType([T.StructField(f.name.strip(), f.dataType, f.nullable) for f in schema.fields])
+    df = spark.read.csv(
+        path, header=True, schema=named, enforceSchema=False, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
+    )
     df = df.select(*[c for c in keep if c in df.columns])
     return df.withColumn("FlightDate", F.col("FlightDate").cast("string").try_cast("date"))
 

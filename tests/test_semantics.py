@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from tarmac.functions import numbers as N
 from tarmac.functions import ordinal as O
@@ -282,3 +283,47 @@ def test_first_reading_wins(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 3, "z")], "k string, o int, v string")
     assert {r["k"]: r["v"] for r in dedupe.dedupe_first(df, ["k"], ["o"]).collect()} == {"a": "x", "b": "z"}
     assert {r["k"]: r["v"] for r in dedupe.dedupe_latest(df, ["k"], ["o"]).collect()} == {"a": "y", "b": "z"}
+
+
+def test_counts_have_no_limit(spark):
+    at = F.lit(dt.datetime(2024, 5, 1, 12)).cast("timestamp_ntz")
+    pool = spark.range(40_000).select(F.lit("X").alias("k"), F.lit(100).cast("long").alias("t"))
+    asked = spark.createDataFrame([("X", 100)], "k string, t long")
+    counted = intervals.add_interval_counts(asked, pool, {"n": ["k"]}, "t", "t", 5)
+    assert counted.first()["n"] == 39_999
+    flags = rolling.support_flags((7, 28), 3)
+    one = spark.range(1).select(F.lit(40_000).cast("long").alias("flightnum_od_support_count_last28d"), at.alias("at"))
+    assert one.withColumns(flags).first()["flightnum_od_support_count_last28d"] == 40_000
+
+
+def test_no_row_limit_keeps_all_rows(spark):
+    df = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "id int, y int")
+    assert sampling.balance_classes(df, "y", ["id"], max_rows=None).count() == 200
+    assert sampling.balance_classes(df, "y", ["id"], max_rows=50).count() == 50
+
+
+def test_rankings_and_missing_models(spark):
+    from tarmac.plans import serving
+
+    asked = spark.createDataFrame([("WN", "A", "B", None), ("WN", "A", "C", None), ("DL", "A", "B", "unknown_dest")], "Reporting_Airline string, Origin string, Dest string, problem string")
+    lists = spark.createDataFrame([("WN", 50, "A"), ("WN", 50, "B"), ("WN", 70, "C")], "airline string, n int, code string")
+    found = {(r["Reporting_Airline"], r["Dest"]): r["problem"] for r in serving.check_rankings(asked, lists, 50).collect()}
+    assert found == {("WN", "B"): None, ("WN", "C"): "airport_not_in_ranking", ("DL", "B"): "unknown_dest"}
+    with pytest.raises(ValueError):
+        serving.score_by_key(asked, {})
+
+
+def test_another_column_order_is_an_error(spark, tmp_path):
+    spark.createDataFrame([("X", "2024-01-01")], "Origin string, FlightDate string").write.option("header", "true").csv(f"{tmp_path}/m")
+    right = tables.scan_month_csv(spark, f"{tmp_path}/m", types.StructType.fromDDL("Origin string, FlightDate string"))
+    assert right.first()["Origin"] == "X"
+    wrong = tables.scan_month_csv(spark, f"{tmp_path}/m", types.StructType.fromDDL("FlightDate string, Origin string"))
+    with pytest.raises(Exception, match="CSV header"):
+        wrong.collect()
+
+
+def test_picks_do_not_depend_on_partitions(spark):
+    left = spark.createDataFrame([("a", 1)], "k string, x int")
+    right = spark.range(50).select(F.lit("a").alias("k"), F.col("id").alias("z"))
+    for parts in (1, 7, 13):
+        assert joins.merge_feature_sets(left, right.repartition(parts), ["k"], "least").first()["z"] == 0
