@@ -16,6 +16,7 @@ SET = ("set_a", "set_b", "n_shingles")
 TREES = 12
 LEAF = 32
 DEPTHS = (3, 6, 12, 24)
+FIRST_PIVOTS = 2
 PIVOTS = 8
 #: Comparisons that are made in one node without branching on.
 FEW = 4_096
@@ -105,13 +106,13 @@ def leaf_pairs(rows: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(rows: DataFrame, level: int, levels: int) -> DataFrame:
-    """Each document of a large node with PIVOTS central ones, the most central of each part of the node.
+    """Each document of a large node with FIRST_PIVOTS, later PIVOTS central ones, the most central of each part of the node.
 
     Central documents lie in large nodes of many trees, as they hold the tokens that most of the node has.
     The first level takes them from all documents, each later one from a share of its own.
     """
     central = rows.groupBy("doc").agg(F.sum("n").alias("score"))
-    scored = rows.join(central, "doc").withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS)))
+    scored = rows.join(central, "doc").withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS if level else FIRST_PIVOTS)))
     if level:
         scored = scored.filter(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(levels - 1)) == level - 1)
     top = scored.groupBy("node", "part").agg(F.max(F.struct("score", "doc", "label")).alias("top"))
