@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.columns import join_groups, text_of
 from tarmac.llm.components import components, nearby_labels
-from tarmac.llm.shingles import minwise, set_keys, shared, shingle_set
+from tarmac.llm.shingles import TOKENS, minwise, set_keys, shared, shingle_set, two_bits
 from tarmac.session import materialize
 
 SET = ("set_a", "set_b", "n_shingles")
@@ -23,18 +25,19 @@ FEW = 4_096
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """A written narrow table: doc_id, number of shingles, two names of the set, its minwise tokens."""
+    """A written narrow table: doc_id, number of shingles, two names of the set, its minwise tokens, two bits of each."""
 
     def read(batches):
         for pdf in batches:
             rows = []
             for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 s = shingle_set(text, words)
-                rows.append((d, len(s), *set_keys(s), minwise(s) if len(s) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "sig"]).astype({"doc_id": "Int64"})
+                sig = minwise(s) if len(s) else None
+                rows.append((d, len(s), *set_keys(s), sig, *(two_bits(sig) if sig else (0, 0))))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "sig", "bit0", "bit1"]).astype({"doc_id": "Int64"})
 
     pairs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return materialize(pairs.mapInPandas(read, "doc_id long, n_shingles long, set_a long, set_b long, sig binary"), "fingerprints")
+    return materialize(pairs.mapInPandas(read, "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bit0 long, bit1 long"), "fingerprints")
 
 
 def id_bits(ids: DataFrame, per_id: int = 16, most: int = 1 << 27) -> np.ndarray:
@@ -79,6 +82,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.distinct().join(left, "a").join(right, "b").filter(similar("hashes_a", "hashes_b")).select("a", "b"), "similar")
 
 
+def likely(a, b, percent: int):
+    """Whether two documents agree in as many tokens as similar ones do, less five deviations.
+
+    Two bits of a token agree by chance with 1/4; a pair at the threshold is lost with a chance of 10^-6.
+    """
+    q = percent / 100 + (1 - percent / 100) / 4
+    least = int(TOKENS * q - 5 * math.sqrt(TOKENS * q * (1 - q)))
+    differ = a["bit0"].bitwiseXOR(b["bit0"]).bitwiseOR(a["bit1"].bitwiseXOR(b["bit1"]))
+    return F.bit_count(differ) <= TOKENS - least
+
+
 def in_order(a: str, b: str) -> tuple:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -92,20 +106,21 @@ def node(depth: int):
 
 
 def first_nodes(reps: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(tree, doc, node, n): the documents of nodes that have two at least, and the number in the node."""
-    every = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", "doc", node(depth))
-    return every.join(every.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node")
+    """(tree, node, member, n): the documents of nodes that have two at least, and the number in the node."""
+    every = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", node(depth), F.struct("doc", "bit0", "bit1").alias("m"))
+    rows = every.join(every.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node")
+    return rows.select("tree", "node", "n", "m.*")
 
 
-def leaf_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of each small node that have different labels; lists are bounded by the size of a leaf."""
-    nodes = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("doc", "label"))).alias("m"))
-    later = F.filter(F.transform("m", lambda y, j: F.struct(y["doc"].alias("doc"), y["label"].alias("label"), j.alias("j"))), lambda y: (y["j"] > F.col("i")) & (y["label"] != F.col("x.label")))
-    pairs = nodes.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(later).alias("y"))
+def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All likely pairs of each small node; lists are bounded by the size of a leaf."""
+    nodes = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("doc", "bit0", "bit1"))).alias("m"))
+    later = lambda m, i, x: F.filter(F.slice(m, i + 2, F.size(m)), lambda y: (y["doc"] != x["doc"]) & likely(x, y, percent))
+    pairs = nodes.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(later(F.col("m"), F.col("i"), F.col("x"))).alias("y"))
     return pairs.select(*in_order("x.doc", "y.doc"))
 
 
-def pivot_pairs(rows: DataFrame, level: int, levels: int) -> DataFrame:
+def pivot_pairs(rows: DataFrame, percent: int, level: int, levels: int) -> DataFrame:
     """Each document of a large node with FIRST_PIVOTS, later PIVOTS central ones, the most central of each part of the node.
 
     Central documents lie in large nodes of many trees, as they hold the tokens that most of the node has.
@@ -115,10 +130,10 @@ def pivot_pairs(rows: DataFrame, level: int, levels: int) -> DataFrame:
     scored = rows.join(central, "doc").withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS if level else FIRST_PIVOTS)))
     if level:
         scored = scored.filter(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(levels - 1)) == level - 1)
-    top = scored.groupBy("node", "part").agg(F.max(F.struct("score", "doc", "label")).alias("top"))
+    top = scored.groupBy("node", "part").agg(F.max(F.struct("score", "doc", "label", "bit0", "bit1")).alias("top"))
     tops = top.groupBy("node").agg(F.collect_list("top").alias("tops"))  # PIVOTS at most
-    pairs = rows.join(tops, "node").select("doc", "label", F.explode("tops").alias("p"))
-    return pairs.filter((F.col("p.doc") != F.col("doc")) & (F.col("p.label") != F.col("label"))).select(*in_order("doc", "p.doc"))
+    pairs = rows.join(tops, "node").select("doc", "label", F.struct("bit0", "bit1").alias("own"), F.explode("tops").alias("p"))
+    return pairs.filter((F.col("p.doc") != F.col("doc")) & (F.col("p.label") != F.col("label")) & likely(F.col("own"), F.col("p"), percent)).select(*in_order("doc", "p.doc"))
 
 
 def next_nodes(rows: DataFrame, reps: DataFrame, links: DataFrame, depth: int) -> DataFrame:
@@ -126,23 +141,26 @@ def next_nodes(rows: DataFrame, reps: DataFrame, links: DataFrame, depth: int) -
     number of documents outside that, ``minor``. Nodes of one label go.
     """
     known = nearby_labels(links).withColumnRenamed("a", "doc")
-    moved = rows.join(reps, "doc").select("tree", "doc", node(depth)).join(known, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    moved = rows.join(reps, "doc").select("tree", "doc", "bit0", "bit1", node(depth)).join(known, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     labels = moved.groupBy("node", "label").agg(F.count("*").alias("k"))
     nodes = labels.groupBy("node").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"))
     nodes = nodes.select("node", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.k")).alias("minor")).filter("minor > 0")
     return moved.join(nodes, "node")
 
 
-def rest_pairs(rows: DataFrame) -> DataFrame:
+def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Every document outside its node's largest label with all documents of other labels."""
-    others = rows.filter("label <> main").select("node", F.col("doc").alias("other"), F.col("label").alias("other_label"))
-    return rows.join(others, "node").filter("doc <> other and label <> other_label and (label = main or doc < other)").select(*in_order("doc", "other"))
+    others = rows.filter("label <> main").select("node", F.col("doc").alias("other"), F.col("label").alias("other_label"), F.struct("bit0", "bit1").alias("y"))
+    met = rows.withColumn("x", F.struct("bit0", "bit1")).join(others, "node")
+    met = met.filter("doc <> other and label <> other_label and (label = main or doc < other)").filter(likely(F.col("x"), F.col("y"), percent))
+    return met.select(*in_order("doc", "other"))
 
 
 def similar_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, trees: int = TREES, leaf: int = LEAF, depths=DEPTHS) -> DataFrame:
     """Links between representatives: confirmed pairs that connect all documents any tree brings together.
 
-    ``reps`` holds (doc, sig). Nodes of up to ``leaf`` documents are compared exhaustively. A larger node is
+    ``reps`` holds (doc, sig, bit0, bit1). Nodes of up to ``leaf`` documents are compared exhaustively,
+    as far as their tokens agree often enough (``likely``). A larger node is
     compared to its central documents and branches on by further tokens, unless all its documents are known
     to be connected. As soon as few comparisons are left in a node (documents outside its main component
     times all its documents), and at the last depth in any case, all of these are made. Documents known to
@@ -150,7 +168,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, tr
     """
     rows = materialize(first_nodes(reps, trees, depths[0]), "nodes").withColumn("label", F.col("doc"))
     small, large = rows.filter(F.col("n") <= leaf), rows.filter(F.col("n") > leaf)
-    pairs = materialize(leaf_pairs(small).unionByName(pivot_pairs(large, 0, len(depths))), "pairs")
+    pairs = materialize(leaf_pairs(small, percent).unionByName(pivot_pairs(large, percent, 0, len(depths))), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select(F.col("doc").alias("id")))
     sets = sets_of(docs, ids.distinct(), words)
     links = confirmed(pairs, sets, percent)
@@ -160,7 +178,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, tr
         rows = materialize(next_nodes(large.select("doc", "tree"), reps, links, depth), "mixed")
         few = (F.col("minor") * F.col("n") <= FEW) | F.lit(depth == depths[-1])
         large = rows.filter(~few)
-        more = confirmed(rest_pairs(rows.filter(few)).unionByName(pivot_pairs(large, level, len(depths))), sets, percent)
+        more = confirmed(rest_pairs(rows.filter(few), percent).unionByName(pivot_pairs(large, percent, level, len(depths))), sets, percent)
         links = links.unionByName(more)
     return links
 
@@ -180,10 +198,10 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, trees: int =
     rows = fingerprints(docs, words)
     total = rows.count()
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(linked.groupBy(*SET).agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.count("*").alias("n")), "classes")
-    links = similar_links(docs, classes.select("doc", "sig"), words, percent, trees)
+    classes = materialize(linked.groupBy(*SET).agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("sig", "bit0", "bit1")], F.count("*").alias("n")), "classes")
+    links = similar_links(docs, classes.select("doc", "sig", "bit0", "bit1"), words, percent, trees)
     found = components(links).withColumnRenamed("a", "doc")
-    groups = classes.drop("sig").join(found, "doc", "left").filter("n > 1 or m is not null")
+    groups = classes.drop("sig", "bit0", "bit1").join(found, "doc", "left").filter("n > 1 or m is not null")
     groups = materialize(groups.select(*SET, F.coalesce("m", "doc").alias("component"), "n"), "groups")
     joined = join_groups(rows.select("doc_id", *SET), groups, SET, total, F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

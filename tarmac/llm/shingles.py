@@ -61,6 +61,12 @@ def minwise(hashes: np.ndarray) -> bytes:
     return low.astype("<u4").tobytes()
 
 
+def two_bits(tokens: bytes) -> tuple[int, int]:
+    """The lowest two bits of each minwise token, as two 64-bit numbers."""
+    t = np.frombuffer(tokens, dtype="<u4")
+    return tuple(int.from_bytes(np.packbits((t >> i & 1).astype(np.uint8)).tobytes(), "big", signed=True) for i in (0, 1))
+
+
 def set_keys(hashes: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that name the set."""
     with np.errstate(over="ignore"):
