@@ -18,7 +18,7 @@ SET = ("set_a", "set_b", "n_shingles")
 TREES = 12
 LEAF = 32
 DEPTHS = (3, 6, 12, 24)
-FIRST_PIVOTS = 2
+FIRST_PIVOTS = 4
 PIVOTS = 8
 #: Comparisons that are made in one node without branching on.
 FEW = 4_096
