@@ -20,6 +20,7 @@ END = (2).to_bytes(4, "little")
 ROUNDS = 300
 RATE = 0.05
 BENT = 1.0
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
 LENGTHS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -107,15 +108,22 @@ def round_configs(stock: np.ndarray, solution: list[tuple[np.ndarray, float]], c
     """Whole numbers of sequences that hold exactly the stock.
 
     Each configuration is used as often as its fraction says and the stock allows, largest first, then
-    once more where it still fits. What is left is packed by best fit, largest first, on the counts.
+    once more where it still fits. What is left is packed by best fit, largest first, on the counts. The
+    same is done with parts of the fractions, as a poorer start may leave an easier rest; the plan with the
+    fewest sequences counts.
     """
+    plans = [round_share(stock, solution, capacity, share) for share in SHARES]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def round_share(stock: np.ndarray, solution: list[tuple[np.ndarray, float]], capacity: int, share: float) -> list[tuple[np.ndarray, int]]:
     left, plan = stock.copy(), defaultdict(int)
     kept: dict[bytes, np.ndarray] = {}
     summed: Counter = Counter()
     for take, n in solution:
-        summed[take.tobytes()] += n
+        summed[take.tobytes()] += share * n
         kept[take.tobytes()] = take
-    for extra in (0, 1):
+    for extra in (0, 1) if share == 1 else (0,):
         for key, n in sorted(summed.items(), key=lambda s: (-s[1], s[0])):
             take = kept[key]
             used = take > 0

@@ -135,7 +135,9 @@ def test_plans_hold_the_stock(histogram):
             filled[base + (rank - r) // per] += length
             held[length] += 1
     assert max(filled.values()) <= 64 and held == histogram
-    assert len(filled) <= -(-11 * sum(k * n for k, n in histogram.items()) // (9 * 64)) + sum(n for k, n in histogram.items() if k > 32) + 1
+    stock = np.bincount(list(histogram), list(histogram.values()), 65).astype(np.int64)
+    alone, stock[64] = stock[64], 0
+    assert len(filled) <= alone + sum(n for _, n in packing.best_fit(stock, 64))
 
 
 def test_top_k_with_many_cells(spark, monkeypatch):
