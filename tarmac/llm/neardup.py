@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.columns import join_groups, text_of
 from tarmac.llm.components import components, nearby_labels
-from tarmac.llm.shingles import TOKENS, minwise, set_keys, shared, shingle_set, two_bits
+from tarmac.llm.shingles import SKETCH, TOKENS, minwise, odd_sketch, set_keys, shared, shingle_set, two_bits
 from tarmac.session import materialize
 
 SET = ("set_a", "set_b", "n_shingles")
-TREES = 12
 LEAF = 32
-DEPTHS = (3, 6, 12, 24)
+#: Tokens that name a node, and the chance with which a pair at the threshold may meet in no tree.
+DEPTH = 3
+MISSED = 2e-5
+ROUNDS = 4
 FIRST_PIVOTS = 4
 PIVOTS = 8
 #: Comparisons that are made in one node without branching on.
 FEW = 4_096
+#: Comparisons of a node that one task makes, as far as SLICES tasks suffice.
+SLICE, SLICES = 1 << 20, 32
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -52,7 +56,7 @@ def id_bits(ids: DataFrame, per_id: int = 16, most: int = 1 << 27) -> np.ndarray
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, hashes): the full shingle sets of the documents in ``ids`` and of few others, from whole texts; written.
+    """(id, size, sketch, hashes): the full shingle sets of the documents in ``ids`` and of few others, from whole texts; written.
 
     Texts are not shuffled: each task keeps the rows whose id has its bit set.
     """
@@ -65,10 +69,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             own = pdf[(bits[at >> 3] >> (at & 7) & 1).astype(bool)]
             for start in range(0, len(own), 500):
                 part = own.iloc[start : start + 500]
-                yield pd.DataFrame({"id": part["id"], "hashes": [shingle_set(t, words).astype("<u8").tobytes() for t in part["text"]]})
+                found = [shingle_set(t, words) for t in part["text"]]
+                yield pd.DataFrame({"id": part["id"], "size": [len(s) for s in found], "sketch": [odd_sketch(s) for s in found], "hashes": [s.astype("<u8").tobytes() for s in found]})
 
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), text_of(docs).alias("text")).filter("id is not null")
-    return materialize(texts.withColumn("h", F.xxhash64("id")).mapInPandas(read, "id long, hashes binary"), "sets")
+    return materialize(texts.withColumn("h", F.xxhash64("id")).mapInPandas(read, "id long, size long, sketch array<long>, hashes binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -93,23 +98,38 @@ def likely(a, b, percent: int):
     return F.bit_count(differ) <= TOKENS - least
 
 
-def in_order(a: str, b: str) -> tuple:
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def alike(a, b, percent: int):
+    """``likely``, and no more elements on one side only than a similar pair has.
+
+    Two sketches differ in at most as many bits as their sets in elements, so the second test loses no pair.
+    """
+    differ = sum((F.bit_count(a["sketch"][i].bitwiseXOR(b["sketch"][i])) for i in range(SKETCH // 64)), F.lit(0))
+    return likely(a, b, percent) & (differ * (100 + percent) <= (a["size"] + b["size"]) * (100 - percent))
 
 
-def node(depth: int):
-    """The node of (tree, sig) at ``depth``: the tree's first ``depth`` minwise tokens.
+def trees_for(percent: int) -> int:
+    """Trees that a pair at the threshold needs, so that it meets in none with a chance of ``MISSED`` at most.
 
-    Tree t starts at token 3 t and goes on from there, so trees share no token at the first depth.
+    No two trees share a token; below 74 percent the tokens do not suffice and the chance is higher.
     """
-    return F.xxhash64("tree", F.substring(F.concat("sig", "sig"), F.col("tree") * 12 + 1, F.lit(4 * depth))).alias("node")
+    return min(TOKENS // DEPTH, math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** DEPTH))) if percent < 100 else 1
+
+
+def in_order(a: str, b: str) -> tuple:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def first_nodes(reps: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(tree, node, member, n): the documents of nodes that have two at least, and the number in the node."""
-    every = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select("tree", node(depth), F.struct("doc", "bit0", "bit1").alias("m"))
+def node():
+    """The node of (tree, sig): the minwise tokens of the tree, ``DEPTH`` from token ``DEPTH`` times tree on."""
+    size = 4 * DEPTH
+    return F.xxhash64("tree", F.substring("sig", F.col("tree") * size + 1, F.lit(size))).alias("node")
+
+
+def first_nodes(reps: DataFrame, trees: int) -> DataFrame:
+    """(node, n, doc, bit0, bit1): the documents of nodes that have two at least, and the number in the node."""
+    every = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select(node(), F.struct("doc", "bit0", "bit1").alias("m"))
     rows = every.join(every.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node")
-    return rows.select("tree", "node", "n", "m.*")
+    return rows.select("node", "n", "m.*")
 
 
 def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -120,75 +140,84 @@ def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(*in_order("x.doc", "y.doc"))
 
 
-def pivot_pairs(rows: DataFrame, percent: int, level: int, levels: int) -> DataFrame:
+def pivot_pairs(rows: DataFrame, percent: int, level: int) -> DataFrame:
     """Each document of a large node with FIRST_PIVOTS, later PIVOTS central ones, the most central of each part of the node.
 
     Central documents lie in large nodes of many trees, as they hold the tokens that most of the node has.
     The first level takes them from all documents, each later one from a share of its own.
     """
+    facts, test = (("bit0", "bit1", "size", "sketch"), alike) if level else (("bit0", "bit1"), likely)
     central = rows.groupBy("doc").agg(F.sum("n").alias("score"))
     scored = rows.join(central, "doc").withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS if level else FIRST_PIVOTS)))
     if level:
-        scored = scored.filter(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(levels - 1)) == level - 1)
-    top = scored.groupBy("node", "part").agg(F.max(F.struct("score", "doc", "label", "bit0", "bit1")).alias("top"))
+        scored = scored.filter(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(ROUNDS - 2)) == level - 1)
+    top = scored.groupBy("node", "part").agg(F.max(F.struct("score", "doc", "label", *facts)).alias("top"))
     tops = top.groupBy("node").agg(F.collect_list("top").alias("tops"))  # PIVOTS at most
-    pairs = rows.join(tops, "node").select("doc", "label", F.struct("bit0", "bit1").alias("own"), F.explode("tops").alias("p"))
-    return pairs.filter((F.col("p.doc") != F.col("doc")) & (F.col("p.label") != F.col("label")) & likely(F.col("own"), F.col("p"), percent)).select(*in_order("doc", "p.doc"))
+    pairs = rows.join(tops, "node").select("doc", "label", F.struct(*facts).alias("own"), F.explode("tops").alias("p"))
+    return pairs.filter((F.col("p.doc") != F.col("doc")) & (F.col("p.label") != F.col("label")) & test(F.col("own"), F.col("p"), percent)).select(*in_order("doc", "p.doc"))
 
 
-def next_nodes(rows: DataFrame, reps: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    """(tree, doc) moved on to ``depth``: node, label, the node's size ``n``, its largest label ``main`` and the
-    number of documents outside that, ``minor``. Nodes of one label go.
+def mixed_nodes(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (node, doc, bit0, bit1, size, sketch) with their label, the node's size ``n``, its largest label ``main`` and the
+    number of documents outside that, ``minor``. Nodes of one label go. ``known`` holds (a, label).
     """
-    known = nearby_labels(links).withColumnRenamed("a", "doc")
-    moved = rows.join(reps, "doc").select("tree", "doc", "bit0", "bit1", node(depth)).join(known, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    labels = moved.groupBy("node", "label").agg(F.count("*").alias("k"))
+    rows = rows.join(known.withColumnRenamed("a", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    labels = rows.groupBy("node", "label").agg(F.count("*").alias("k"))
     nodes = labels.groupBy("node").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"))
     nodes = nodes.select("node", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.k")).alias("minor")).filter("minor > 0")
-    return moved.join(nodes, "node")
+    return rows.join(nodes, "node")
 
 
 def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Every document outside its node's largest label with all documents of other labels."""
-    others = rows.filter("label <> main").select("node", F.col("doc").alias("other"), F.col("label").alias("other_label"), F.struct("bit0", "bit1").alias("y"))
-    met = rows.withColumn("x", F.struct("bit0", "bit1")).join(others, "node")
-    met = met.filter("doc <> other and label <> other_label and (label = main or doc < other)").filter(likely(F.col("x"), F.col("y"), percent))
+    """Every document outside its node's largest label with all documents of other labels, as far as they are ``alike``.
+
+    The documents of a node with many comparisons are dealt over several tasks.
+    """
+    rows = rows.withColumn("slices", F.least(F.lit(SLICES), 1 + F.floor(F.col("minor") * F.col("n") / SLICE)).cast("int"))
+    facts = F.struct("bit0", "bit1", "size", "sketch")
+    others = rows.filter("label <> main").select("node", F.col("doc").alias("other"), F.col("label").alias("other_label"), facts.alias("y"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    met = rows.select("node", "doc", "label", "main", facts.alias("x"), F.pmod(F.xxhash64("doc"), F.col("slices")).cast("int").alias("slice")).join(others, ["node", "slice"])
+    met = met.filter("doc <> other and label <> other_label and (label = main or doc < other)").filter(alike(F.col("x"), F.col("y"), percent))
     return met.select(*in_order("doc", "other"))
 
 
-def similar_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, trees: int = TREES, leaf: int = LEAF, depths=DEPTHS) -> DataFrame:
+def similar_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, trees: int, leaf: int = LEAF) -> DataFrame:
     """Links between representatives: confirmed pairs that connect all documents any tree brings together.
 
     ``reps`` holds (doc, sig, bit0, bit1). Nodes of up to ``leaf`` documents are compared exhaustively,
-    as far as their tokens agree often enough (``likely``). A larger node is
-    compared to its central documents and branches on by further tokens, unless all its documents are known
-    to be connected. As soon as few comparisons are left in a node (documents outside its main component
-    times all its documents), and at the last depth in any case, all of these are made. Documents known to
-    be connected are not compared again, so this keeps components, not every link.
+    as far as their tokens agree often enough (``likely``). A larger node is compared to its central
+    documents, in ``ROUNDS`` - 1 rounds, unless all its documents are known to be connected. As soon as few
+    comparisons are left in a node (documents outside its main component times all its documents), and in the
+    last round in any case, all of these are made, whatever the size of the node. Documents known to be
+    connected are not compared again, so this keeps components, not every link.
     """
-    rows = materialize(first_nodes(reps, trees, depths[0]), "nodes").withColumn("label", F.col("doc"))
+    rows = materialize(first_nodes(reps, trees), "nodes").withColumn("label", F.col("doc"))
     small, large = rows.filter(F.col("n") <= leaf), rows.filter(F.col("n") > leaf)
-    pairs = materialize(leaf_pairs(small, percent).unionByName(pivot_pairs(large, percent, 0, len(depths))), "pairs")
+    pairs = materialize(leaf_pairs(small, percent).unionByName(pivot_pairs(large, percent, 0)), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select(F.col("doc").alias("id")))
     sets = sets_of(docs, ids.distinct(), words)
     links = confirmed(pairs, sets, percent)
-    for level, depth in enumerate(depths[1:], 1):
-        if large.isEmpty():
-            break
-        rows = materialize(next_nodes(large.select("doc", "tree"), reps, links, depth), "mixed")
-        few = (F.col("minor") * F.col("n") <= FEW) | F.lit(depth == depths[-1])
+    large = large.join(sets.select(F.col("id").alias("doc"), "size", "sketch"), "doc")
+    for level in range(1, ROUNDS):
+        last = level == ROUNDS - 1
+        known = components(links).withColumnRenamed("m", "label") if last else nearby_labels(links)
+        rows = materialize(mixed_nodes(large.select("node", "doc", "bit0", "bit1", "size", "sketch"), known), "mixed")
+        few = (F.col("minor") * F.col("n") <= FEW) | F.lit(last)
         large = rows.filter(~few)
-        more = confirmed(rest_pairs(rows.filter(few), percent).unionByName(pivot_pairs(large, percent, level, len(depths))), sets, percent)
+        more = confirmed(rest_pairs(rows.filter(few), percent).unionByName(pivot_pairs(large, percent, level)), sets, percent)
         links = links.unionByName(more)
+        if large.isEmpty():
+            break
     return links
 
 
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, trees: int | None = None) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Texts are lower-cased (A-Z) and split at ASCII white space; shingles have ``words`` words. Documents
     with equal sets are one class, whose smallest doc_id stands for it in the similarity join. Links are
-    confirmed on full sets. A pair at the threshold is missed with a chance of about 10^-5.
+    confirmed on full sets. A pair at the threshold meets in no tree with a chance of 2 * 10^-5 at most (from 74
+    percent on, see ``trees_for``), whatever the size of its nodes, and is lost by ``likely`` with 10^-6.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that share a doc_id are
     one document. A null doc_id takes no part: its component is null and it is kept. An empty table gives
@@ -199,7 +228,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, trees: int =
     total = rows.count()
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(linked.groupBy(*SET).agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("sig", "bit0", "bit1")], F.count("*").alias("n")), "classes")
-    links = similar_links(docs, classes.select("doc", "sig", "bit0", "bit1"), words, percent, trees)
+    links = similar_links(docs, classes.select("doc", "sig", "bit0", "bit1"), words, percent, trees or trees_for(percent))
     found = components(links).withColumnRenamed("a", "doc")
     groups = classes.drop("sig", "bit0", "bit1").join(found, "doc", "left").filter("n > 1 or m is not null")
     groups = materialize(groups.select(*SET, F.coalesce("m", "doc").alias("component"), "n"), "groups")

@@ -7,6 +7,7 @@ import xxhash
 
 TOKENS = 64
 WORDS_KEPT = 300_000
+SKETCH = 1024
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _random = np.random.default_rng(20240229)
 _TIMES = _random.integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
@@ -67,6 +68,12 @@ def two_bits(tokens: bytes) -> tuple[int, int]:
     return tuple(int.from_bytes(np.packbits((t >> i & 1).astype(np.uint8)).tobytes(), "big", signed=True) for i in (0, 1))
 
 
+def odd_sketch(hashes: np.ndarray) -> list[int]:
+    """SKETCH bits as 64-bit numbers: whether an odd number of the set's hashes falls on the bit."""
+    odd = np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def set_keys(hashes: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that name the set."""
     with np.errstate(over="ignore"):

@@ -16,6 +16,7 @@ from tarmac.llm.components import components
 from tarmac.llm.pretokens import Ids, Lengths, vocabulary
 from tarmac.llm.quality import fit_trees, traverse
 from tarmac.llm.queries import ORACLES, QUERIES
+from tarmac.llm.shingles import odd_sketch
 
 SF = f"{DATA}/sf0.001"
 
@@ -199,6 +200,29 @@ def test_near_duplicates_in_a_large_group(spark):
     assert sum(got[i] != want[i] for i in texts) <= 1
 
 
+def test_near_duplicate_pairs_inside_a_large_group(spark):
+    texts = {}
+    for family in range(300):
+        shared = [f"w{i}" for i in range(100)] + [f"f{family}x{i}" for i in range(10)]
+        for own in (0, 1):
+            texts[2 * family + own] = " ".join(shared + [f"o{family}x{own}x{i}" for i in range(12)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = exact_components(texts, 1, 80)
+    assert len({c for _, c in want.values()}) == 300
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_dedup(docs, 1, 80).collect()}
+    assert got == want
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(7)
+    for size in (3, 40, 900, 6000):
+        pool = rng.integers(1, 1 << 63, 2 * size, dtype=np.uint64)
+        x, y = pool[:size], pool[size // 9 : size // 9 + size]
+        differ = sum(((a ^ b) % (1 << 64)).bit_count() for a, b in zip(odd_sketch(x), odd_sketch(y), strict=True))
+        assert differ <= len(np.setxor1d(x, y))
+    assert [neardup.trees_for(p) for p in (80, 85, 50)] == [16, 12, 21]
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)]
     found = {r.a: r.m for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
