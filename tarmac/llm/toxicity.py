@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from typing import NamedTuple
 
@@ -36,6 +37,7 @@ OTHER, INSULTING, HARMING, INTENDING, TARGETING, NEGATING, REPORTING, END = rang
 SEED_WEIGHT = 2.0
 TRIM = ".,;:!?\"'()[]{}<>*_“”‘’«»…-–—"
 STOPS = ".;!?\n"
+LINE_ENDS = re.compile("\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
 WORDS_KEPT = 300_000
 PREFIXES = (4, 5, 6)
 
@@ -51,6 +53,16 @@ def bare(word: str) -> str:
     return word.strip(TRIM)
 
 
+def scored_tokens(text: str) -> list[str]:
+    """The words of a text, split at white space as in ``terms``, with one token for each line end between them."""
+    first, *rest = LINE_ENDS.split(text.lower())
+    found = first.split()
+    for line in rest:
+        found.append("\n")
+        found += line.split()
+    return found
+
+
 def terms(text: str) -> set[str]:
     """Distinct words of a text, and with a trailing star their beginnings."""
     words = {bare(w) for w in text.lower().split()} - {""}
@@ -126,8 +138,7 @@ def text_weights(text: str, symbols: Symbols) -> tuple[float, float, float]:
     Tokens that have no class only count for the distance to a negation. Clauses without an insult or a
     harm weigh nothing and are not run.
     """
-    tokens = text.lower().replace("\n", " \n ").split(" ")
-    found = list(map(symbols.__getitem__, filter(None, tokens)))
+    found = list(map(symbols.__getitem__, scored_tokens(text)))
     most = total = 0.0
     start = 0
     for at in [i for i, s in enumerate(found) if s is not None and s[0] in (INSULTING, HARMING)]:

@@ -59,6 +59,18 @@ def test_grammar():
     assert weight("idiot moron") > weight("idiot. moron.")
 
 
+def test_grammar_reads_all_white_space():
+    symbols = toxicity.Symbols(toxicity.Lexicon({}, {}))
+    weights = lambda text: toxicity.text_weights(text, symbols)
+    plain = weights("you are an idiot.\ni will hurt you.\nfine")
+    assert plain[0] > 0
+    assert weights("you\tare\tan\tidiot.\ni\twill\thurt\tyou.\nfine") == plain
+    assert weights("you are an idiot.\r\ni will hurt you.\r\nfine") == plain
+    assert weights("you are an idiot.\ri will hurt you.\rfine") == plain
+    assert weights("you\xa0are\u3000an\xa0idiot.\u2028i\xa0will\xa0hurt\xa0you.\x85fine") == plain
+    assert weights("idiot\r\nmoron") == weights("idiot\nmoron") != weights("idiot\tmoron") == weights("idiot moron")
+
+
 def test_toxicity_on_held_out_labels(spark):
     held = QUERIES["op2_toxicity"](spark, f"{DATA}/sf0.1").filter("held_out").join(spark.read.parquet(f"{DATA}/sf0.1/labels.parquet"), "doc_id")
     right, clean_hit = held.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")), F.avg(F.when(F.col("toxic") == 0, F.col("predicted")))).first()
