@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from tarmac.llm.columns import text_of
 from tarmac.session import materialize
 
 SEED = "mix-1"
+#: Up to this rate exp(-rate) is a normal number.
+NEAR = 700.0
 
 
 def hashed_unit(*parts: Column) -> Column:
@@ -36,41 +41,60 @@ def target_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, po
     return sizes.select("src", F.round(F.col("w") * F.lit(factor) / F.col("b"), 9).alias("rate"))
 
 
+def far_cumulative(rate: float) -> list[float]:
+    """The Poisson distribution function of a large ``rate``, within eight deviations and 24 of the mean.
+
+    The first probability comes from its logarithm, by Stirling's series; what lies below it is less than 10^-14.
+    """
+    first, last = int(rate - 8 * math.sqrt(rate) - 24), math.ceil(rate + 8 * math.sqrt(rate) + 24)
+    more = rate - first
+    start = first * math.log1p(more / first) - more - math.log(2 * math.pi * first) / 2 - 1 / (12 * first) + 1 / (360 * first**3)
+    steps = np.log1p((rate - np.arange(first + 1, last + 1)) / np.arange(first + 1, last + 1))
+    return np.cumsum(np.exp(start + np.concatenate([[0.0], np.cumsum(steps)]))).tolist()
+
+
 def cumulative(rates: DataFrame) -> DataFrame:
-    """Adds the Poisson distribution function at 0, 1, ... as an array ``cdf``, eight deviations beyond the mean.
+    """Adds the Poisson distribution function as an array ``cdf``, eight deviations beyond the mean, and ``least``, the count it starts at.
 
-    exp(-rate) must not vanish, so a rate above 700 copies of a source is an error.
+    That is 0 as long as exp(-rate) does not vanish, up to NEAR; beyond, eight deviations below the mean.
     """
-    rates = rates.withColumn("rate", F.when(F.col("rate") <= 700, F.col("rate")).otherwise(F.raise_error(F.lit("a weight asks for more than 700 copies of a source")).cast("double")))
-    top = F.ceil(F.col("rate") + 8 * F.sqrt("rate") + 24).cast("int")
+
+    @F.pandas_udf("array<double>")
+    def far(found: pd.Series) -> pd.Series:
+        return found.map(lambda r: far_cumulative(r) if r > NEAR else [])
+
+    near = F.least("rate", F.lit(NEAR))
+    top = F.ceil(near + 8 * F.sqrt(near) + 24).cast("int")
     step = lambda acc, k: F.struct(
-        (acc["p"] * F.col("rate") / k).alias("p"),
-        (acc["c"] + acc["p"] * F.col("rate") / k).alias("c"),
-        F.concat(acc["cdf"], F.array(acc["c"] + acc["p"] * F.col("rate") / k)).alias("cdf"),
+        (acc["p"] * near / k).alias("p"),
+        (acc["c"] + acc["p"] * near / k).alias("c"),
+        F.concat(acc["cdf"], F.array(acc["c"] + acc["p"] * near / k)).alias("cdf"),
     )
-    p0 = F.exp(-F.col("rate"))
+    p0 = F.exp(-near)
     start = F.struct(p0.alias("p"), p0.alias("c"), F.array(p0).alias("cdf"))
-    return rates.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["cdf"]))
+    exact = F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["cdf"])
+    least = F.when(F.col("rate") > NEAR, (F.col("rate") - 8 * F.sqrt("rate") - 24).cast("int")).otherwise(0)
+    return rates.withColumn("far", far("rate")).withColumn("cdf", F.when(F.col("rate") > NEAR, F.col("far")).otherwise(exact)).withColumn("least", least).drop("far")
 
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: str = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
     """Each row as often as a Poisson draw with its source's rate says, with ``copy`` and ``shuffle_key``.
 
     The draw inverts the distribution at a hash of ``seed`` and ``key``: the same row gets the same count
-    on every cluster. Rows that repeat a key get the same count each. A null key hashes as an empty one; a null
+    on every cluster, whatever the rate. Rows that repeat a key get the same count each. A null key hashes as an empty one; a null
     source is a source of its own. Columns of ``docs`` that are called rate, copies, copy or shuffle_key are replaced.
     """
     docs = docs.drop("rate", "copies", "copy", "shuffle_key")
-    table = cumulative(rates)
+    table = cumulative(rates).select("src", "rate", F.struct("least", "cdf").alias("_poisson"))
     joined = docs.join(table, docs[source].eqNullSafe(table["src"]), "left")
     u = hashed_unit(F.lit(seed), F.coalesce(docs[key].cast("string"), F.lit("")))
-    copies = F.size(F.filter("cdf", lambda c: c < u))
+    copies = F.col("_poisson.least") + F.size(F.filter("_poisson.cdf", lambda c: c < u))
     return (
         joined.withColumn("copies", copies)
         .filter("copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         .withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), docs[key].cast("string"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long"))
-        .drop("src", "cdf")
+        .drop("src", "_poisson")
     )
 
 

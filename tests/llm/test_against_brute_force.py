@@ -1,7 +1,9 @@
 """Operators against plain Python on whole small tables, exact round trips and held-out accuracy."""
 
 import collections
+import hashlib
 import itertools
+import math
 import zlib
 
 import numpy as np
@@ -122,6 +124,31 @@ def test_mix_reaches_its_weights(spark):
     assert abs(n["b"] / (n["a"] + n["b"]) - 0.75) < 0.02 and abs(sum(n.values()) / 9000 - 1) < 0.05
 
 
+def test_mix_of_tiny_sources_beside_a_large_one(spark):
+    rows = [(i, "x" * 20_000, "large") for i in range(400)] + [(1000 + i, None, None) for i in range(1)] + [(2000 + i, "y", "tiny") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {}
+    for r in mixing.mix(docs).collect():
+        found.setdefault((r.source, r.rate), collections.Counter())[r.doc_id] += 1
+        assert r.copies > r.copy >= 0
+    rates = {source: rate for source, rate in found}
+    assert set(rates) == {"large", None, "tiny"} and rates[None] > 2000 and rates["tiny"] > 1000
+    for (source, rate), copies in found.items():
+        if source != "large":
+            for doc, n in copies.items():
+                u = (int(hashlib.md5(f"mix-1|{doc}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+                c = itertools.accumulate(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(int(2 * rate)))
+                assert n == sum(x < u for x in c)
+
+
+def test_far_distribution_function():
+    for rate in (701.0, 12_345.6, 3e6):
+        cdf = np.array(mixing.far_cumulative(rate))
+        at = int(rate) - int(rate - 8 * math.sqrt(rate) - 24)
+        assert (np.diff(cdf) >= 0).all() and abs(cdf[-1] - 1) < 1e-8 and cdf[0] < 1e-14
+        assert abs(cdf[at] - cdf[at - 1] - math.exp(int(rate) * math.log(rate) - rate - math.lgamma(int(rate) + 1))) < 1e-8
+
+
 def test_packing_round_trip(spark, texts):
     rows = QUERIES["op7_config_packing"](spark, SF).toPandas()
     ids = _encoders()[1]
