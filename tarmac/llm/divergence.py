@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,52 +15,56 @@ from tarmac.session import materialize
 
 #: Bytes of UTF-8 that belong to no term become spaces, A-Z become a-z; every byte of a character beyond ASCII stays.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Entries that a task keeps before it hands its sums on, and rows of a frame.
+#: Entries that a task keeps before it hands its sums on, and rows of a batch.
 ENTRIES, ROWS = 1_000_000, 20_000
-_DOC = 1 << 44
 SCALE = 1_000_000_000
 TALLY = "lang string, term string, sources array<string>, docs array<long>, n array<long>"
 
 
-def terms_of(text: str) -> Counter:
-    return Counter(text.encode("utf-8", "surrogatepass").translate(_TERMS).split())
+def terms_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_TERMS).split()
 
 
 class Tally:
-    """Documents and occurrences of each term by language and source; both numbers share one integer."""
+    """Occurrences and documents of each term by language and source."""
 
     def __init__(self):
-        self.sums: dict[tuple[str, str], dict[bytes, int]] = {}
+        self.sums: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         self.size = 0
 
-    def add(self, lang: str, terms: Counter, source: str, times: int) -> None:
-        own = self.sums.setdefault((lang, source), {})
-        before = len(own)
-        for term, n in terms.items():
-            own[term] = own.get(term, 0) + times * (_DOC + n)
-        self.size += len(own) - before
-
-    def frames(self):
+    def add(self, lang: str, terms: list[bytes], source: str, times: int = 1) -> None:
+        n, docs = self.sums.setdefault((lang, source), (Counter(), Counter()))
+        before = len(n)
+        if times == 1:
+            n.update(terms)
+            docs.update(set(terms))
+        else:
+            for term, k in Counter(terms).items():
+                n[term] += times * k
+                docs[term] += times
+        self.size += len(n) - before
+
+    def batches(self):
         """A row for each language and term, with its sources in arrays."""
-        by_lang: dict[str, dict[bytes, list]] = {}
+        by_lang: dict[str, list] = {}
         for (lang, source), own in self.sums.items():
-            terms = by_lang.setdefault(lang, {})
-            for term, both in own.items():
-                terms.setdefault(term, []).append((source, both))
+            by_lang.setdefault(lang, []).append((source, *own))
         self.sums, self.size = {}, 0
-        for lang, terms in by_lang.items():
-            items = list(terms.items())
-            for at in range(0, len(items), ROWS):
-                part = items[at : at + ROWS]
-                yield pd.DataFrame(
-                    {
-                        "lang": lang,
-                        "term": [t.decode("utf-8", "surrogatepass") for t, _ in part],
-                        "sources": [[s for s, _ in own] for _, own in part],
-                        "docs": [[b // _DOC for _, b in own] for _, own in part],
-                        "n": [[b % _DOC for _, b in own] for _, own in part],
-                    }
-                )
+        for lang, groups in by_lang.items():
+            number: dict[bytes, int] = {}
+            at = np.array([number.setdefault(t, len(number)) for _, n, _ in groups for t in n], dtype=np.int64)
+            order = np.argsort(at, kind="stable")
+            docs = np.array([docs[t] for _, n, docs in groups for t in n], dtype=np.int64)[order]
+            n = np.array([k for _, n, _ in groups for k in n.values()], dtype=np.int64)[order]
+            source = np.repeat(np.arange(len(groups)), [len(n) for _, n, _ in groups])[order]
+            ends = np.r_[0, np.cumsum(np.bincount(at, minlength=len(number)))]
+            terms, names = list(number), pa.array([s for s, _, _ in groups], pa.string())
+            for low in range(0, len(terms), ROWS):
+                high = min(low + ROWS, len(terms))
+                own, offsets = slice(ends[low], ends[high]), pa.array(ends[low : high + 1] - ends[low], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, v) for v in (names.take(pa.array(source[own])), pa.array(docs[own]), pa.array(n[own]))]
+                columns = [pa.array([lang] * (high - low), pa.string()), pa.array(terms[low:high], pa.binary()).cast(pa.string()), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "docs", "n"])
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -81,12 +86,14 @@ def tally_texts(docs: DataFrame) -> DataFrame:
 
     def single(batches):
         tally = Tally()
-        for pdf in batches:
-            for lang, source, text in pdf.loc[~has(bits.value, pdf["h"].to_numpy()), ["lang", "source", "text"]].itertuples(index=False):
-                tally.add(lang, terms_of(text), source, 1)
+        for batch in batches:
+            alone = pa.array(~has(bits.value, batch.column("h").to_numpy()))
+            for row in zip(*[batch.column(c).filter(alone) for c in ("lang", "text", "source")], strict=True):
+                lang, text, source = (v.as_py() for v in row)
+                tally.add(lang, terms_of(text), source)
                 if tally.size > ENTRIES:
-                    yield from tally.frames()
-        yield from tally.frames()
+                    yield from tally.batches()
+        yield from tally.batches()
 
     @F.pandas_udf("boolean")
     def repeated(h: pd.Series) -> pd.Series:
@@ -94,14 +101,15 @@ def tally_texts(docs: DataFrame) -> DataFrame:
 
     def collapsed(batches):
         tally = Tally()
-        for pdf in batches:
-            for lang, text, sources, times in pdf[["lang", "text", "sources", "times"]].itertuples(index=False):
+        for batch in batches:
+            for row in zip(*[batch.column(c) for c in ("lang", "text", "sources", "times")], strict=True):
+                lang, text, sources, times = (v.as_py() for v in row)
                 terms = terms_of(text)
                 for source, n in zip(sources, times, strict=True):
-                    tally.add(lang, terms, source, int(n))
+                    tally.add(lang, terms, source, n)
                     if tally.size > ENTRIES:
-                        yield from tally.frames()
-        yield from tally.frames()
+                        yield from tally.batches()
+        yield from tally.batches()
 
     key = ["lang", "digest", "n_bytes", "h"]
     copies = texts.filter(repeated("h")).select(
@@ -111,7 +119,7 @@ def tally_texts(docs: DataFrame) -> DataFrame:
     sources = by_source.groupBy(*key).agg(F.collect_list(F.struct("source", "n")).alias("s"))
     once = copies.groupBy(*key).agg(F.min("text").alias("text")).join(sources, key)
     once = once.select("lang", "text", F.col("s.source").alias("sources"), F.col("s.n").alias("times"))
-    return texts.mapInPandas(single, TALLY).unionByName(once.mapInPandas(collapsed, TALLY))
+    return texts.mapInArrow(single, TALLY).unionByName(once.mapInArrow(collapsed, TALLY))
 
 
 def kept_terms(tallies: DataFrame, least: int) -> DataFrame:
