@@ -136,6 +136,7 @@ def copies_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = texts.select("doc_id", "tie", "h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
     rows = materialize(rows, "digests")
     groups = rows.groupBy(*key).agg(F.min(F.struct("doc_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    groups = materialize(groups, "groups")
     found = join_groups(rows, groups, key, rows.count(), F.col("h"))
     found = materialize(found.select("doc_id", "tie", "h", (F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))).alias("copy")), "copies")
     return found.filter("copy").select("doc_id", "tie").distinct(), found.filter("not copy").select("h").distinct()
