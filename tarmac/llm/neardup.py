@@ -126,8 +126,8 @@ def node():
 
 
 def first_nodes(reps: DataFrame, trees: int) -> DataFrame:
-    """(node, n, doc, bit0, bit1): the documents of nodes that have two at least, and the number in the node."""
-    every = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select(node(), F.struct("doc", "bit0", "bit1").alias("m"))
+    """(node, n, tree, doc, bit0, bit1): the documents of nodes that have two at least, and the number in the node."""
+    every = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select(node(), F.struct("tree", "doc", "bit0", "bit1").alias("m"))
     rows = every.join(every.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node")
     return rows.select("node", "n", "m.*")
 
@@ -140,21 +140,25 @@ def leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(*in_order("x.doc", "y.doc"))
 
 
-def pivot_pairs(rows: DataFrame, percent: int, level: int) -> DataFrame:
-    """Each document of a large node with FIRST_PIVOTS, later PIVOTS central ones, the most central of each part of the node.
+def pivot_pairs(rows: DataFrame, percent: int, level: int, total: int) -> DataFrame:
+    """Each document of a large node with that node's central document, once for all trees in which it is the same one.
 
-    Central documents lie in large nodes of many trees, as they hold the tokens that most of the node has.
-    The first level takes them from all documents, each later one from a share of its own.
+    Central documents lie in large nodes of many trees, as they hold the tokens that most of the node has. The
+    documents are dealt into parts; a tree takes the central document of its own part, so a document meets that of
+    every part, and a row of a node becomes one comparison. Few documents are central in their part in many trees, so
+    most comparisons fall together. The first level takes them from all documents, each later one from a share of its own.
     """
     facts, test = (("bit0", "bit1", "size", "sketch"), alike) if level else (("bit0", "bit1"), likely)
     central = rows.groupBy("doc").agg(F.sum("n").alias("score"))
-    scored = rows.join(central, "doc").withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PIVOTS if level else FIRST_PIVOTS)))
+    part = F.pmod(F.xxhash64("doc"), F.lit(PIVOTS if level else FIRST_PIVOTS))
+    scored = rows.join(central, "doc").withColumn("near", -F.pmod(part - F.col("tree"), F.lit(PIVOTS if level else FIRST_PIVOTS)))
     if level:
         scored = scored.filter(F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(ROUNDS - 2)) == level - 1)
-    top = scored.groupBy("node", "part").agg(F.max(F.struct("score", "doc", "label", *facts)).alias("top"))
-    tops = top.groupBy("node").agg(F.collect_list("top").alias("tops"))  # PIVOTS at most
-    pairs = rows.join(tops, "node").select("doc", "label", F.struct(*facts).alias("own"), F.explode("tops").alias("p"))
-    return pairs.filter((F.col("p.doc") != F.col("doc")) & (F.col("p.label") != F.col("label")) & test(F.col("own"), F.col("p"), percent)).select(*in_order("doc", "p.doc"))
+    top = F.max(F.struct("near", "score", "doc", "label", *facts)).alias("p")
+    tops = materialize(scored.groupBy("node").agg(top, F.max("n").alias("n")), "central")
+    pairs = join_groups(rows.select("node", "doc", "label", F.struct(*facts).alias("own")), tops, ["node"], total, F.col("doc"))
+    met = (F.col("p.doc") != F.col("doc")) & (F.col("p.label") != F.col("label")) & test(F.col("own"), F.col("p"), percent)
+    return pairs.filter(met).select(*in_order("doc", "p.doc")).distinct()
 
 
 def mixed_nodes(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -193,7 +197,8 @@ def similar_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, tr
     """
     rows = materialize(first_nodes(reps, trees), "nodes").withColumn("label", F.col("doc"))
     small, large = rows.filter(F.col("n") <= leaf), rows.filter(F.col("n") > leaf)
-    pairs = materialize(leaf_pairs(small, percent).unionByName(pivot_pairs(large, percent, 0)), "pairs")
+    total = rows.count()
+    pairs = materialize(leaf_pairs(small, percent).unionByName(pivot_pairs(large, percent, 0, total)), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select(F.col("doc").alias("id")))
     sets = sets_of(docs, ids.distinct(), words)
     links = confirmed(pairs, sets, percent)
@@ -201,10 +206,10 @@ def similar_links(docs: DataFrame, reps: DataFrame, words: int, percent: int, tr
     for level in range(1, ROUNDS):
         last = level == ROUNDS - 1
         known = components(links).withColumnRenamed("m", "label") if last else nearby_labels(links)
-        rows = materialize(mixed_nodes(large.select("node", "doc", "bit0", "bit1", "size", "sketch"), known), "mixed")
+        rows = materialize(mixed_nodes(large.select("node", "tree", "doc", "bit0", "bit1", "size", "sketch"), known), "mixed")
         few = (F.col("minor") * F.col("n") <= FEW) | F.lit(last)
         large = rows.filter(~few)
-        more = confirmed(rest_pairs(rows.filter(few), percent).unionByName(pivot_pairs(large, percent, level)), sets, percent)
+        more = confirmed(rest_pairs(rows.filter(few), percent).unionByName(pivot_pairs(large, percent, level, total)), sets, percent)
         links = links.unionByName(more)
         if large.isEmpty():
             break
