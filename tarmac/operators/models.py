@@ -1,7 +1,8 @@
 """One calibrated "at least t" model per threshold, on MLlib.
 
 Boosted trees of MLlib stand in for the reference's learner; scores differ, the pipeline is the same:
-balanced training rows, early stopping on a held-out part, calibration on unbalanced rows.
+balanced training rows, early stopping on a held-out part, calibration on unbalanced rows. Categories
+enter as ordered target statistics, so they may have any number of values.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,10 @@ from tarmac import constants as C
 from tarmac.functions.numbers import coerce_numeric
 from tarmac.functions.ordinal import argmax_bin, expected_delay, ge_to_bins, severity
 from tarmac.functions.text import categorical_fill
+from tarmac.operators import importance
 from tarmac.operators.impute import numeric_impute
+from tarmac.operators.target_stats import apply_statistics, label_mean, ordered_statistics, value_statistics
+from tarmac.schema import FLIGHT
 from tarmac.session import materialize
 
 
@@ -29,14 +33,18 @@ class TrainingSettings:
     iterations: int = 60
     depth: int = 5
     step: float = 0.1
-    max_bins: int = 512
+    max_bins: int = 128
     seed: int = 42
+    prior_weight: float = 1.0
 
 
 @dataclass
 class ThresholdModel:
     threshold: int
     trees: PipelineModel
+    stats: DataFrame  # (feature, value, pos, n) of the training rows' categories
+    prior: float
+    prior_weight: float = 1.0
     calibrator: IsotonicRegressionModel | LogisticRegressionModel | None = None
 
 
@@ -54,12 +62,13 @@ class DelayModel:
         rows = []
         for m in self.models:
             m.trees.write().overwrite().save(f"{path}/trees/{m.threshold}")
+            m.stats.write.mode("overwrite").parquet(f"{path}/stats/{m.threshold}")
             kind = "none"
             if m.calibrator is not None:
                 kind = "isotonic" if isinstance(m.calibrator, IsotonicRegressionModel) else "sigmoid"
                 m.calibrator.write().overwrite().save(f"{path}/calibrators/{m.threshold}")
-            rows.append((m.threshold, kind, self.categorical, self.numeric, self.dropped))
-        schema = "threshold int, calibrator string, categorical array<string>, numeric array<string>, dropped array<string>"
+            rows.append((m.threshold, kind, m.prior, m.prior_weight, self.categorical, self.numeric, self.dropped))
+        schema = "threshold int, calibrator string, prior double, prior_weight double, categorical array<string>, numeric array<string>, dropped array<string>"
         spark = SparkSession.getActiveSession()
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/registry")
 
@@ -73,6 +82,7 @@ class DelayModel:
             out.models.append(
                 ThresholdModel(
                     r["threshold"], PipelineModel.load(f"{path}/trees/{r['threshold']}"),
+                    spark.read.parquet(f"{path}/stats/{r['threshold']}"), r["prior"], r["prior_weight"],
                     loader.load(f"{path}/calibrators/{r['threshold']}") if loader else None,
                 )
             )
@@ -89,34 +99,56 @@ def prepare_frame(df: DataFrame, categorical: list[str], numeric: list[str], imp
 
 
 def train_trees(
-    train: DataFrame, label: str, categorical: list[str], numeric: list[str], settings=TrainingSettings(),
-    held_out: str | None = None,
-) -> PipelineModel:
+    train: DataFrame, label: str, threshold: int, categorical: list[str], numeric: list[str], settings=TrainingSettings(),
+    held_out: str | None = None, row_id: str = FLIGHT.row_id,
+) -> ThresholdModel:
     """Boosted trees; with a boolean ``held_out`` column training stops when that part gets worse.
 
-    The prepared rows are written first: indexing and boosting pass over them many times.
+    Training rows read a category as its ordered target statistic; held-out rows, like any later ones, read the
+    statistics of all training rows. The prepared rows are written first: boosting passes over them many times.
+    Row ids must be unique; a table without them gets some.
     """
-    columns = [f"f_{c}" for c in [*categorical, *numeric]] + ([held_out] if held_out else [])
-    prepared = prepare_frame(train, categorical, numeric, "median").select(F.col(label).cast("double").alias("__y"), *columns)
-    prepared = materialize(prepared, "train")
-    indexers = [
-        StringIndexer(inputCol=f"f_{c}", outputCol=f"i_{c}", handleInvalid="keep", stringOrderType="frequencyDesc")
-        for c in categorical
-    ]
-    features = VectorAssembler(inputCols=[f"i_{c}" for c in categorical] + [f"f_{c}" for c in numeric], outputCol="features")
+    texts, numbers = [f"f_{c}" for c in categorical], [f"f_{c}" for c in numeric]
+    identity = F.col(row_id) if row_id in train.columns else F.monotonically_increasing_id()
+    filled = prepare_frame(train.withColumn("__row", identity), categorical, numeric, "median")
+    mark = F.col(held_out).alias("__held") if held_out else F.lit(False).alias("__held")
+    filled = materialize(filled.select("__row", F.col(label).cast("int").alias("__label"), mark, *texts, *numbers), "train")
+    fit, stop = filled.filter(~F.coalesce("__held", F.lit(False))), filled.filter("__held")
+    prior = label_mean(fit, "__label")
+    stats = materialize(value_statistics(fit, "__label", texts), "category-stats")
+    name = _encoded("{c}", threshold)
+    coded = ordered_statistics(fit, "__label", texts, "__row", prior, settings.prior_weight, settings.seed, name) if texts else fit
+    if held_out:
+        later = apply_statistics(stop, {name: (stats, prior)}, texts, settings.prior_weight)
+        coded = coded.unionByName(later)
+    inputs = [_encoded(c, threshold) for c in texts] + numbers
+    coded = materialize(coded.select(F.col("__label").cast("double").alias("__y"), "__held", *inputs), "coded")
+    features = VectorAssembler(inputCols=inputs, outputCol="features")
     trees = GBTClassifier(
         labelCol="__y", featuresCol="features", maxIter=settings.iterations, maxDepth=settings.depth,
         stepSize=settings.step, maxBins=settings.max_bins, seed=settings.seed, subsamplingRate=1.0,
     )
     if held_out:
-        trees = trees.setValidationIndicatorCol(held_out)
-    return Pipeline(stages=[*indexers, features, trees]).fit(prepared)
+        trees = trees.setValidationIndicatorCol("__held")
+    return ThresholdModel(threshold, Pipeline(stages=[features, trees]).fit(coded), stats, prior, settings.prior_weight)
+
+
+def _encoded(column: str, threshold: int) -> str:
+    return f"{column}_stat{threshold}"
 
 
-def raw_score(df: DataFrame, trees: PipelineModel, categorical, numeric, out: str) -> DataFrame:
-    """Adds the uncalibrated probability."""
-    scored = trees.transform(prepare_frame(df, categorical, numeric))
-    return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
+def raw_scores(df: DataFrame, models: list[ThresholdModel], categorical: list[str], numeric: list[str], out: str = "__raw{thr}") -> DataFrame:
+    """Adds the uncalibrated probability of each model. The rows are prepared, and each category is joined, once."""
+    filled = prepare_frame(df, categorical, numeric)
+    texts = [f"f_{c}" for c in categorical]
+    tables = {_encoded("{c}", m.threshold): (m.stats, m.prior) for m in models}
+    scored = apply_statistics(filled, tables, texts, models[0].prior_weight) if texts else filled
+    made = []
+    for m in models:
+        made.append(out.format(thr=m.threshold))
+        scored = m.trees.transform(scored).withColumn(made[-1], vector_to_array("probability")[1])
+        scored = scored.drop("features", "rawPrediction", "probability", "prediction")
+    return scored.select(*df.columns, *made)
 
 
 def _score_counts(scored: DataFrame, label: str, score: str) -> DataFrame:
@@ -170,7 +202,7 @@ def apply_calibrator(df: DataFrame, calibrator, score: str, out: str) -> DataFra
 
 def train_threshold_models(
     tables: dict[int, DataFrame], calibration: DataFrame, label: str, categorical: list[str], numeric: list[str],
-    settings=TrainingSettings(), held_out: str | None = None, method: str | None = "isotonic",
+    settings=TrainingSettings(), held_out: str | None = None, method: str | None = "isotonic", row_id: str = FLIGHT.row_id,
 ) -> DelayModel:
     """A model per threshold. ``label`` is a template such as ``y_dep_ge{thr}``.
 
@@ -180,22 +212,21 @@ def train_threshold_models(
     out = DelayModel(list(categorical), list(numeric))
     for thr, table in sorted(tables.items()):
         y = label.format(thr=thr)
-        trees = train_trees(table, y, out.categorical, out.numeric, settings, held_out)
-        calibrator = None
+        model = train_trees(table, y, thr, out.categorical, out.numeric, settings, held_out, row_id)
         if method:
-            scored = raw_score(calibration, trees, out.categorical, out.numeric, "__raw")
+            scored = raw_scores(calibration, [model], out.categorical, out.numeric, "__raw")
             fit = calibrate_isotonic if method == "isotonic" else calibrate_sigmoid
-            calibrator = fit(scored, y, "__raw")
-        out.models.append(ThresholdModel(thr, trees, calibrator))
+            model.calibrator = fit(scored, y, "__raw")
+        out.models.append(model)
     return out
 
 
 def score_ge(df: DataFrame, model: DelayModel) -> DataFrame:
     """Adds ``p_ge{t}`` for every threshold; columns the table lacks count as unknown."""
+    scored = raw_scores(df, model.models, model.categorical, model.numeric)
     for m in model.models:
-        df = raw_score(df, m.trees, model.categorical, model.numeric, "__raw")
-        df = apply_calibrator(df, m.calibrator, "__raw", f"p_ge{m.threshold}").drop("__raw")
-    return df
+        scored = apply_calibrator(scored, m.calibrator, f"__raw{m.threshold}", f"p_ge{m.threshold}").drop(f"__raw{m.threshold}")
+    return scored
 
 
 def add_distribution(df: DataFrame) -> DataFrame:
@@ -212,17 +243,29 @@ def add_distribution(df: DataFrame) -> DataFrame:
     )
 
 
-def feature_importance(spark: SparkSession, model: DelayModel) -> DataFrame:
-    """Split-gain importance per threshold and feature, largest first within a threshold.
-
-    A wanted feature that the training table did not have has a null importance. (Ranked by split gain,
-    as MLlib does not report the loss change.)
-    """
+def split_gains(spark: SparkSession, model: DelayModel) -> DataFrame:
+    """Share of the split gain per threshold and feature."""
     names = [*model.categorical, *model.numeric]
     rows = []
     for m in model.models:
         trees = next(s for s in m.trees.stages if isinstance(s, GBTClassificationModel))
-        rows += [(m.threshold, n, float(v)) for n, v in zip(names, trees.featureImportances.toArray())]
-        rows += [(m.threshold, n, None) for n in model.dropped]
-    table = spark.createDataFrame(rows, "threshold int, feature string, importance double")
-    return table.orderBy("threshold", F.desc("importance"))
+        rows += [(m.threshold, n, float(v)) for n, v in zip(names, trees.featureImportances.toArray(), strict=True)]
+    return spark.createDataFrame(rows, "threshold int, feature string, split_gain double")
+
+
+def feature_importance(model: DelayModel, rows: DataFrame, label: str = "y_dep_ge{thr}", row_id: str = FLIGHT.row_id, seed: int = 42) -> DataFrame:
+    """(threshold, feature, importance, split_gain): how much the calibrated models' log-loss on ``rows`` rises when a feature is shuffled.
+
+    Largest first within a threshold. A wanted feature that the training table did not have has nulls. ``rows``
+    are scored once per feature: give a part of the evaluation rows if there are very many.
+    """
+    have = [c for c in [*model.categorical, *model.numeric] if c in rows.columns]
+    labels = [label.format(thr=m.threshold) for m in model.models]
+    narrow = materialize(rows.select(row_id, *labels, *have), "importance")
+    pairs = {m.threshold: (y, f"p_ge{m.threshold}") for m, y in zip(model.models, labels, strict=True)}
+    changes = importance.loss_changes(narrow, have, lambda df: score_ge(df, model), pairs, row_id, seed)
+    spark = rows.sparkSession
+    wanted = [(m.threshold, f) for m in model.models for f in [*model.categorical, *model.numeric, *model.dropped]]
+    every = spark.createDataFrame(wanted, "threshold int, feature string")
+    table = every.join(changes, ["threshold", "feature"], "left").join(split_gains(spark, model), ["threshold", "feature"], "left")
+    return table.orderBy("threshold", F.desc_nulls_last("importance"), "feature")

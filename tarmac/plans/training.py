@@ -61,9 +61,10 @@ def train_arrival(
         parts = materialize(parts, "parts")
         fit = parts.filter("__part <> 'cal'").drop("__part")
         cal = parts.filter("__part <> 'fit'").drop("__part")
-        trees = models.train_trees(fit, y, cats, nums, settings)
-        scored = models.raw_score(cal, trees, cats, nums, "__raw")
-        out.models.append(models.ThresholdModel(thr, trees, models.calibrate_sigmoid(scored, y, "__raw")))
+        model = models.train_trees(fit, y, thr, cats, nums, settings)
+        scored = models.raw_scores(cal, [model], cats, nums, "__raw")
+        model.calibrator = models.calibrate_sigmoid(scored, y, "__raw")
+        out.models.append(model)
     return out, evaluation
 
 

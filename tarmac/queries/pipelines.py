@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarmac import fixtures as X
 from tarmac.constants import DEPARTURE_WINDOWS, THRESHOLDS
 from tarmac.functions.numbers import threshold_labels
-from tarmac.operators import models, sampling
+from tarmac.operators import importance, models, sampling, target_stats
 from tarmac.plans.arrival import arrival_features
 from tarmac.plans.config import PipelineConfig
 from tarmac.plans.departure import departure_features, split_and_balance
@@ -294,15 +294,67 @@ def train_arrival_models(spark, sf):
     return _evaluation_checks(materialize(evaluate(model, evaluation, "y_arr_ge{thr}"), "evaluated"), evaluation.count())
 
 
-@query("feature_importance", _holds("known_or_dropped", "sums_to_one_or_zero", "every_feature"))
+@query("feature_importance", _holds("known_or_dropped", "every_feature", "unread_is_zero", "loss_given"))
 def feature_importance(spark, sf):
-    """Properties of the split gains: all configured features appear, those the table lacks with null."""
-    table = models.feature_importance(spark, trained(spark, sf)[0])
-    sums = table.groupBy("threshold").agg(F.sum("importance").alias("total"), F.count("*").alias("n"))
+    """Properties of the loss changes on the held-out half: all configured features appear, those the table lacks with null."""
+    model, held_out = trained(spark, sf)
+    table = materialize(models.feature_importance(model, held_out), "importance")
     wanted = [*PipelineConfig().categorical, *PipelineConfig().numeric_features()]
-    known = checks(table, known_or_dropped=F.col("feature").isin(wanted))
-    total = F.round("total", 6)
-    return known.unionByName(checks(sums, sums_to_one_or_zero=(total == 1) | (total == 0), every_feature=F.col("n") == len(wanted)))
+    given = F.col("importance").isNotNull() == F.col("split_gain").isNotNull()
+    unread = (F.coalesce("split_gain", F.lit(0.0)) != 0) | (F.abs(F.coalesce("importance", F.lit(0.0))) < 1e-9)
+    known = checks(table, known_or_dropped=F.col("feature").isin(wanted), unread_is_zero=unread, loss_given=given)
+    return known.unionByName(checks(table.groupBy("threshold").agg(F.count("*").alias("n")), every_feature=F.col("n") == len(wanted)))
+
+
+_STAT_COLUMNS = {"Origin": "Origin", "od_pair": "Origin || '_' || Dest", "Reporting_Airline": "Reporting_Airline", "late_hour": "hour(dep_dt_local)"}
+
+
+@query(
+    "ordered_target_statistics",
+    on_flights(
+        "SELECT flight_id, " + ", ".join(
+            f"round((coalesce(sum(y) OVER {c}_w, 0) + p) / (count(*) OVER {c}_w + 1), 6) AS {c}_stat" for c in _STAT_COLUMNS
+        ) + " FROM b, (SELECT avg(y) AS p FROM b) WINDOW " + ", ".join(
+            f"{c}_w AS (PARTITION BY {c} ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for c in _STAT_COLUMNS
+        ),
+        ", b AS (SELECT flight_id, md5('42|' || flight_id) AS h, CAST(coalesce(DepDelayMinutes >= 15, false) AS INTEGER) AS y, "
+        + ", ".join(f"{e} AS {c}" for c, e in _STAT_COLUMNS.items()) + " FROM flights)",
+    ),
+)
+def ordered_target_statistics(spark, sf):
+    """Categories of all flights as running means of the label over a hash order."""
+    f = X.flight_table(spark, sf).withColumns(
+        {**threshold_labels("DepDelayMinutes"), "od_pair": F.concat_ws("_", "Origin", "Dest"), "late_hour": F.hour("dep_dt_local")}
+    )
+    prior = target_stats.label_mean(f, "y_dep_ge15")
+    out = target_stats.ordered_statistics(f, "y_dep_ge15", list(_STAT_COLUMNS), "flight_id", prior)
+    return round_columns(out.select("flight_id", *[f"{c}_stat" for c in _STAT_COLUMNS]), [f"{c}_stat" for c in _STAT_COLUMNS])
+
+
+_SHARE = "({quantity} + {noise} % 15) / 80.0"
+
+
+@query(
+    "permutation_importance",
+    on_flights(
+        """SELECT thr AS threshold, feature, round(avg(loss - base), 6) AS importance FROM (
+          SELECT thr, feature, -(y * ln(p) + (1 - y) * ln(1 - p)) AS loss, -(y * ln(p0) + (1 - y) * ln(1 - p0)) AS base FROM (
+            SELECT t.thr, f.feature, CAST(coalesce(a.delay >= t.thr, false) AS INTEGER) AS y, """
+        + _SHARE.format(quantity="a.quantity", noise="a.noise") + """ AS p0,
+              CASE f.feature WHEN 'quantity' THEN """ + _SHARE.format(quantity="d.quantity", noise="a.noise")
+        + " WHEN 'noise' THEN " + _SHARE.format(quantity="a.quantity", noise="d.noise") + " ELSE " + _SHARE.format(quantity="a.quantity", noise="a.noise") + """ END AS p
+            FROM own a JOIN donor d USING (k), (SELECT unnest([15, 60]) AS thr) t, (SELECT unnest(['quantity', 'noise', 'Origin']) AS feature) f))
+        GROUP BY ALL""",
+        """, own AS (SELECT quantity, noise, DepDelayMinutes AS delay, row_number() OVER (ORDER BY md5('42|own|' || flight_id)) AS k FROM flights),
+        donor AS (SELECT quantity, noise, row_number() OVER (ORDER BY md5('42|donor|' || flight_id)) AS k FROM flights)""",
+    ),
+)
+def permutation_importance(spark, sf):
+    """Loss changes of a score that reads two of three features, on all flights."""
+    f = X.flight_table(spark, sf).withColumns(threshold_labels("DepDelayMinutes"))
+    score = lambda df: df.withColumn("p", F.expr(_SHARE.format(quantity="quantity", noise="noise")).cast("double"))
+    pairs = {t: (f"y_dep_ge{t}", "p") for t in (15, 60)}
+    return round_columns(importance.loss_changes(f, ["quantity", "noise", "Origin"], score, pairs, "flight_id"), ["importance"])
 
 
 @query("score_ge", _holds("bins_sum_to_one", "probabilities_in_range", "minutes_in_range") + " UNION ALL SELECT 'rows ' || count(*), 1 FROM lineitem")
