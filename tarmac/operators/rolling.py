@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions.times import col, epoch_seconds
 from tarmac.operators.joins import asof_backward
+from tarmac.operators.moving import moving_statistics
 
 
 def _day(date: str) -> Column:
@@ -248,15 +249,10 @@ def rolling_days_mean_count(
 def rolling_days_median(hist: DataFrame, keys: list[str], date: str, value: str, window: int = 7, out: str = "median") -> DataFrame:
     """Exact median of ``value`` in [D-W, D) for the days a key has data on.
 
-    Values are counted per key, day and value, each count is carried to the W days it is visible
-    from, and the median is a weighted percentile over distinct values. No list of raw values is
-    built; the aggregation state holds distinct values only (whole minutes, a few thousand).
+    Values are counted per key, day and value; ``moving_statistics`` selects the middle ranks by running totals.
     """
-    counts = hist.dropna(subset=[*keys, date, value]).groupBy(*keys, date, value).agg(F.count("*").alias("__n"))
+    counts = hist.dropna(subset=[*keys, date, value]).groupBy(*keys, date, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     days = counts.select(*keys, date).distinct()
-    carried = counts.select(
-        *keys, F.explode(F.sequence(F.date_add(F.col(date), 1), F.date_add(F.col(date), window))).alias(date),
-        F.col(value).alias("__v"), "__n",
-    )
-    medians = carried.groupBy(*keys, date).agg(F.percentile("__v", 0.5, F.col("__n")).alias(out))
-    return days.join(medians, [*keys, date], "left")
+    medians = moving_statistics(counts, keys, date, [window], as_of="__as_of", asked=days.withColumnRenamed(date, "__as_of"))
+    asked = medians.select(*keys, F.col("__as_of").alias(date), F.col(f"median_{window}").alias(out))
+    return days.join(asked, [*keys, date], "left")

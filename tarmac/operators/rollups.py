@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac import constants as C
+from tarmac.operators.moving import moving_statistics
 from tarmac.operators.rolling import rolling_days_at
 
 
@@ -45,11 +48,9 @@ def group_rollups(
     """n, mean and median over the last 1, 7 and 14 days, per group and as-of date.
 
     ``groups`` maps a group type to its column. Facts are first counted per group, day and value, by
-    GROUPING SETS over the group columns; each such count is then carried to the as-of dates that
-    see it. An as-of date D covers [D - W, D - 1]; it exists when the group has data within the
-    longest window. The median is a percentile weighted by the counts.
+    GROUPING SETS over the group columns; ``moving_statistics`` does the rest for all measures and windows.
+    An as-of date D covers [D - W, D - 1]; it exists when the group has data within the longest window.
     """
-    longest = max(windows)
     parts = []
     for name, value in measures.items():
         known = df.dropna(subset=[date, value]).withColumn("__v", F.col(value).cast("double"))
@@ -70,23 +71,15 @@ def group_rollups(
                 F.lit(name).alias("__measure"), "__v", "__n",
             )
         )
-    facts = parts[0]
-    for extra in parts[1:]:
-        facts = facts.unionByName(extra)
-    carried = facts.filter("group_value is not null").withColumn(
-        "as_of_date", F.explode(F.sequence(F.date_add("__day", 1), F.date_add("__day", longest)))
-    )
-    age = F.date_diff("as_of_date", "__day")
-    aggregates = []
+    facts = functools.reduce(DataFrame.unionByName, parts).filter("group_value is not null")
+    by = ["group_type", "group_value", "__measure"]
+    found = moving_statistics(facts, by, "__day", windows, "__v", "__n")
+    pick = lambda name, c: F.max(F.when(F.col("__measure") == name, F.col(c)))
+    columns = []
     for name in measures:
         for w in windows:
-            seen = (F.col("__measure") == name) & (age <= w)
-            n = F.sum(F.when(seen, F.col("__n")))
-            aggregates += [
-                F.coalesce(n, F.lit(0)).cast("long").alias(f"{name}_delay_{w}d_n"),
-                (F.sum(F.when(seen, F.col("__v") * F.col("__n"))) / n).alias(f"{name}_delay_{w}d_mean"),
-                F.percentile(F.when(seen, F.col("__v")), 0.5, F.when(seen, F.col("__n")).otherwise(0)).alias(
-                    f"{name}_delay_{w}d_median"
-                ),
+            columns += [
+                F.coalesce(pick(name, f"n_{w}"), F.lit(0)).cast("long").alias(f"{name}_delay_{w}d_n"),
+                pick(name, f"mean_{w}").alias(f"{name}_delay_{w}d_mean"), pick(name, f"median_{w}").alias(f"{name}_delay_{w}d_median"),
             ]
-    return carried.groupBy("as_of_date", "group_type", "group_value").agg(*aggregates)
+    return found.groupBy("as_of_date", "group_type", "group_value").agg(*columns)
