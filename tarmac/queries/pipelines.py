@@ -57,7 +57,7 @@ def weather_tables(spark, sf):
         """SELECT flight_id, dep_utc, arr_utc, Aircraft_Age_Bucket, o.m AS origin_temperature_2m_max, d.m AS dest_temperature_2m_max, ho.m AS origin_dep_temperature_2m
         FROM (SELECT *, CASE WHEN y IS NULL THEN 'Unknown' WHEN year(FlightDate) - y <= 5 THEN '0-5' WHEN year(FlightDate) - y <= 10 THEN '6-10'
             WHEN year(FlightDate) - y <= 15 THEN '11-15' ELSE '16+' END AS Aircraft_Age_Bucket FROM flights_utc
-          LEFT JOIN (SELECT 'N' || s_suppkey AS t, 1975 + s_suppkey % 25 AS y FROM supplier WHERE s_suppkey % 8 <> 0) ON t = Tail_Number) f
+          LEFT JOIN (SELECT CASE WHEN s_suppkey % 8 = 0 THEN 'X' ELSE 'N' END || s_suppkey AS t, 1975 + s_suppkey % 25 AS y FROM supplier) ON t = Tail_Number) f
         LEFT JOIN wx o ON o.airport = f.Origin AND o.day = f.FlightDate LEFT JOIN wx d ON d.airport = f.Dest AND d.day = f.FlightDate
         LEFT JOIN hx ho ON ho.airport = f.Origin AND ho.hr = date_trunc('hour', f.dep_utc)
         WHERE FlightDate BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND Reporting_Airline IN ('WN', 'AA')""",
@@ -67,8 +67,8 @@ def weather_tables(spark, sf):
 def enrich_flights(spark, sf):
     cfg = PipelineConfig(start_date="1996-01-01", end_date="1999-12-31", airlines=("WN", "AA"))
     daily, hourly = weather_tables(spark, sf)
-    registry = X.table(spark, sf, "supplier").filter("s_suppkey % 8 <> 0").select(
-        F.expr("concat('N', s_suppkey)").alias("Tail_Number"), F.expr("cast(1975 + s_suppkey % 25 as double)").alias("Year_Mfr")
+    registry = X.table(spark, sf, "supplier").select(
+        F.expr("concat(if(s_suppkey % 8 = 0, 'X', 'N'), s_suppkey)").alias("Tail_Number"), F.expr("cast(1975 + s_suppkey % 25 as double)").alias("Year_Mfr")
     )
     out = enrich(
         raw_flights(spark, sf), airport_table(spark, sf), cfg, registry=registry, weather_daily=daily, weather_hourly=hourly,

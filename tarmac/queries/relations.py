@@ -110,16 +110,16 @@ def filter_nonstop_od(spark, sf):
     "validate_dim_for_keys",
     """SELECT c_nationkey, reason FROM (SELECT k.c_nationkey, CASE WHEN n.n_nationkey IS NULL THEN 'MISSING_ROW' WHEN n.n_nationkey % 5 = 0 THEN 'BAD_LATLON'
       WHEN n.n_nationkey % 7 = 0 THEN 'MISSING_TZ' WHEN n.n_regionkey = 3 THEN 'UNRECOGNIZED_TZ' END AS reason
-      FROM (SELECT DISTINCT c_nationkey FROM customer) k LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 22) n ON n.n_nationkey = k.c_nationkey)
+      FROM (SELECT DISTINCT c_nationkey FROM customer) k LEFT JOIN (SELECT * REPLACE (CASE WHEN n_nationkey < 22 THEN n_nationkey ELSE n_nationkey + 1000 END AS n_nationkey) FROM nation) n ON n.n_nationkey = k.c_nationkey)
     WHERE reason IS NOT NULL""",
 )
 def validate_dim_for_keys(spark, sf):
-    dim = X.table(spark, sf, "nation").filter("n_nationkey < 22").select(
+    dim = X.table(spark, sf, "nation").withColumn("n_nationkey", F.expr("if(n_nationkey < 22, n_nationkey, n_nationkey + 1000)")).select(
         F.col("n_nationkey").alias("c_nationkey"),
         F.expr("case when n_nationkey % 5 = 0 then null else 1.0D end").alias("lat"), F.lit(2.0).alias("lon"),
         F.expr("case when n_nationkey % 7 = 0 then null else concat('zone', n_regionkey) end").alias("tz"),
     )
-    zones = X.table(spark, sf, "region").filter("r_regionkey <> 3").select(F.expr("concat('zone', r_regionkey)").alias("zone"))
+    zones = X.table(spark, sf, "region").select(F.expr("concat(if(r_regionkey = 3, 'other', 'zone'), r_regionkey)").alias("zone"))
     return joins.validate_dim_for_keys(X.table(spark, sf, "customer"), dim, "c_nationkey", "lat", "lon", "tz", zones)
 
 
@@ -176,13 +176,13 @@ def join_weather_daily(spark, sf):
 
 
 def hourly_from_events(spark, sf):
-    """Hourly readings per station, about one hour in two."""
-    e = X.events(spark, sf).filter("event_type <> 'click'")
+    """Hourly readings per station; clicks are readings of other stations, so about one hour in two has none."""
+    e = X.events(spark, sf).withColumn("station", F.expr("if(event_type = 'click', station + 100, station)"))
     hour = F.date_trunc("hour", F.col("tm")).cast("timestamp_ntz")
     return e.groupBy(F.col("station").alias("airport"), hour.alias("hour_utc")).agg(F.max("value").alias("temp"))
 
 
-_HOURLY_SQL = ", hw AS (SELECT station AS airport, date_trunc('hour', tm) AS hour_utc, max(value) AS temp FROM ev WHERE event_type <> 'click' GROUP BY ALL)"
+_HOURLY_SQL = ", hw AS (SELECT CASE WHEN event_type = 'click' THEN station + 100 ELSE station END AS airport, date_trunc('hour', tm) AS hour_utc, max(value) AS temp FROM ev GROUP BY ALL)"
 
 
 @query(
@@ -221,19 +221,19 @@ def nearest_hour(spark, sf):
     "join_two_hop_lookup",
     on_flights(
         """SELECT flight_id, coalesce(nullif(trim(coalesce(r_name, '') || ' ' || coalesce(n_name, '')), ''), 'Unknown') AS aircraft_type
-        FROM flights LEFT JOIN supplier ON s_suppkey = CAST(substr(Tail_Number, 2) AS BIGINT) AND s_suppkey % 9 <> 0 AND s_suppkey > 0
-        LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 4 <> 0 LEFT JOIN region ON r_regionkey = n_regionkey"""
+        FROM flights LEFT JOIN supplier ON CASE WHEN s_suppkey % 9 = 0 THEN 'X' ELSE 'N' END || s_suppkey = Tail_Number AND s_suppkey > 0
+        LEFT JOIN nation ON CASE WHEN n_nationkey % 4 = 0 THEN 'X' ELSE '' END || n_nationkey = CAST(s_nationkey AS VARCHAR) LEFT JOIN region ON r_regionkey = n_regionkey"""
     ),
 )
 def join_two_hop_lookup(spark, sf):
-    master = X.table(spark, sf, "supplier").filter("s_suppkey % 9 <> 0").select(
-        F.concat(F.col("s_suppkey").cast("string"), F.lit("  ")).alias("n_number"), F.col("s_nationkey").cast("string").alias("model_code")
+    master = X.table(spark, sf, "supplier").select(
+        F.expr("concat(if(s_suppkey % 9 = 0, 'X', ''), s_suppkey, '  ')").alias("n_number"), F.col("s_nationkey").cast("string").alias("model_code")
     )
-    nation = X.table(spark, sf, "nation").filter("n_nationkey % 4 <> 0").join(
+    nation = X.table(spark, sf, "nation").join(
         X.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     models = nation.select(
-        F.col("n_nationkey").cast("string").alias("code"), F.col("r_name").alias("mfr"), F.col("n_name").alias("model")
+        F.expr("concat(if(n_nationkey % 4 = 0, 'X', ''), n_nationkey)").alias("code"), F.col("r_name").alias("mfr"), F.col("n_name").alias("model")
     )
     return joins.join_two_hop_lookup(X.flights(spark, sf), master, models, "Tail_Number").select("flight_id", "aircraft_type")
 
@@ -242,8 +242,8 @@ def join_two_hop_lookup(spark, sf):
     "match_rate",
     on_flights(
         """SELECT round(100.0 * count(*) FILTER (t IS NULL) / count(*), 6) AS unknown_pct, round(100.0 - 100.0 * count(*) FILTER (t IS NULL) / count(*), 6) AS match_pct
-        FROM (SELECT flight_id, n_name AS t FROM flights LEFT JOIN supplier ON s_suppkey = CAST(substr(Tail_Number, 2) AS BIGINT) AND s_suppkey % 9 <> 0 AND s_suppkey > 0
-        LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 4 <> 0)"""
+        FROM (SELECT flight_id, n_name AS t FROM flights LEFT JOIN supplier ON CASE WHEN s_suppkey % 9 = 0 THEN 'X' ELSE 'N' END || s_suppkey = Tail_Number AND s_suppkey > 0
+        LEFT JOIN nation ON CASE WHEN n_nationkey % 4 = 0 THEN 'X' ELSE '' END || n_nationkey = CAST(s_nationkey AS VARCHAR))"""
     ),
 )
 def match_rate(spark, sf):
@@ -255,14 +255,14 @@ def match_rate(spark, sf):
     on_flights(
         """SELECT flight_id, CASE WHEN s_suppkey IS NULL THEN 'Unknown' WHEN year(FlightDate) - y <= 5 THEN '0-5' WHEN year(FlightDate) - y <= 10 THEN '6-10'
         WHEN year(FlightDate) - y <= 15 THEN '11-15' ELSE '16+' END AS Aircraft_Age_Bucket
-        FROM flights LEFT JOIN (SELECT *, 1975 + s_suppkey % 25 AS y FROM supplier WHERE s_suppkey % 8 <> 0) ON 'N' || s_suppkey = Tail_Number"""
+        FROM flights LEFT JOIN (SELECT *, 1975 + s_suppkey % 25 AS y FROM supplier) ON CASE WHEN s_suppkey % 8 = 0 THEN 'X' ELSE 'N' END || s_suppkey = Tail_Number"""
     ),
 )
 def join_aircraft_year(spark, sf):
     from tarmac.functions.numbers import age_bucket, age_years
 
-    registry = X.table(spark, sf, "supplier").filter("s_suppkey % 8 <> 0").select(
-        F.expr("concat('N', s_suppkey)").alias("Tail_Number"), F.expr("cast(1975 + s_suppkey % 25 as double)").alias("Year_Mfr")
+    registry = X.table(spark, sf, "supplier").select(
+        F.expr("concat(if(s_suppkey % 8 = 0, 'X', 'N'), s_suppkey)").alias("Tail_Number"), F.expr("cast(1975 + s_suppkey % 25 as double)").alias("Year_Mfr")
     )
     out = joins.join_aircraft_year(X.flights(spark, sf), registry, "Tail_Number")
     return out.select("flight_id", age_bucket(age_years("FlightDate", "Year_Mfr")).alias("Aircraft_Age_Bucket"))
@@ -282,12 +282,12 @@ def semi_prefilter(spark, sf):
     "asof_backward",
     on_flights(
         "SELECT f.flight_id, s.total AS last_total, s.day AS last_day FROM flights f ASOF LEFT JOIN s ON s.code = f.Origin AND f.FlightDate >= s.day",
-        f", s AS (SELECT {CODES}[o_custkey % 10 + 1] AS code, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS total FROM orders WHERE o_custkey % 3 <> 0 GROUP BY ALL)",
+        f", s AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN '~' ELSE '' END || {CODES}[o_custkey % 10 + 1] AS code, CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS total FROM orders GROUP BY ALL)",
     ),
 )
 def asof_backward(spark, sf):
-    stats = X.table(spark, sf, "orders").filter("o_custkey % 3 <> 0").groupBy(
-        X._pick(X.AIRPORTS, F.expr("o_custkey % 10")).alias("Origin"), F.col("o_orderdate").cast("date").alias("day")
+    stats = X.table(spark, sf, "orders").groupBy(
+        F.concat(F.expr("if(o_custkey % 3 = 0, '~', '')"), X._pick(X.AIRPORTS, F.expr("o_custkey % 10"))).alias("Origin"), F.col("o_orderdate").cast("date").alias("day")
     ).agg(F.max("o_totalprice").alias("total")).withColumn("stat", F.struct("total", "day"))
     out = joins.asof_backward(X.flights(spark, sf), stats, ["Origin"], "FlightDate", "day", ["stat"])
     return out.select("flight_id", F.col("stat.total").alias("last_total"), F.col("stat.day").alias("last_day"))
@@ -296,28 +296,29 @@ def asof_backward(spark, sf):
 @query(
     "asof_backward_bucketed",
     on_events(
-        """SELECT l.event_id, s.v AS last_value FROM (SELECT * FROM ev WHERE event_type <> 'purchase') l
-        ASOF LEFT JOIN (SELECT station, tm, max(value) AS v FROM ev WHERE event_type = 'purchase' GROUP BY ALL) s ON s.station = l.station AND l.tm >= s.tm"""
+        """SELECT l.event_id, s.v AS last_value FROM ev l
+        ASOF LEFT JOIN (SELECT CASE WHEN event_type = 'purchase' THEN station ELSE station + 100 END AS station, tm, max(value) AS v FROM ev GROUP BY ALL) s ON s.station = l.station AND l.tm >= s.tm"""
     ),
 )
 def asof_backward_bucketed(spark, sf):
     e = X.events(spark, sf)
-    stats = e.filter("event_type = 'purchase'").select("station", F.col("tm").alias("seen"), F.col("value").alias("v"))
-    out = joins.asof_backward(e.filter("event_type <> 'purchase'"), stats, ["station"], "tm", "seen", ["v"], ordered.hour_bucket)
+    place = F.expr("if(event_type = 'purchase', station, station + 100)").alias("station")
+    stats = e.select(place, F.col("tm").alias("seen"), F.col("value").alias("v"))
+    out = joins.asof_backward(e, stats, ["station"], "tm", "seen", ["v"], ordered.hour_bucket)
     return out.select("event_id", F.col("v").alias("last_value"))
 
 
 @query(
     "merge_feature_sets",
     on_flights(
-        """SELECT f.flight_id, g.n, g.worst FROM flights f LEFT JOIN (SELECT Reporting_Airline, Origin, Dest, FlightDate, count(*) AS n, max(DepDelayMinutes) AS worst
-        FROM flights WHERE noise % 4 <> 0 GROUP BY ALL) g USING (Reporting_Airline, Origin, Dest, FlightDate)"""
+        """SELECT f.flight_id, g.n, g.worst FROM flights f LEFT JOIN (SELECT Reporting_Airline, CASE WHEN noise % 4 = 0 THEN '~' ELSE '' END || Origin AS Origin, Dest, FlightDate, count(*) AS n, max(DepDelayMinutes) AS worst
+        FROM flights GROUP BY ALL) g USING (Reporting_Airline, Origin, Dest, FlightDate)"""
     ),
 )
 def merge_feature_sets(spark, sf):
     f = X.flights(spark, sf)
     keys = ["FlightDate", "Reporting_Airline", "Origin", "Dest"]
-    right = f.filter("noise % 4 <> 0").groupBy(*keys).agg(F.count("*").alias("n"), F.max("DepDelayMinutes").alias("worst"))
+    right = f.withColumn("Origin", F.expr("concat(if(noise % 4 = 0, '~', ''), Origin)")).groupBy(*keys).agg(F.count("*").alias("n"), F.max("DepDelayMinutes").alias("worst"))
     return joins.merge_feature_sets(f, right, [*keys, "NotThere"]).select("flight_id", "n", "worst")
 
 
@@ -393,12 +394,12 @@ def interval_count_shifted(spark, sf):
         FROM rq LEFT JOIN (SELECT *, epoch(dep_utc) AS t, Flight_Number_Reporting_Airline AS num FROM flights_utc) f
           ON f.Origin = rq.org AND f.FlightDate = rq.day AND f.t BETWEEN rq.t - 10800 AND rq.t + 10800 GROUP BY rq.id""",
         """, rq AS (SELECT flight_id AS id, Origin AS org, FlightDate AS day, Reporting_Airline AS carrier, Flight_Number_Reporting_Airline AS num,
-          epoch(dep_utc) + (noise % 3) * 600 AS t FROM flights_utc WHERE noise < 40)""",
+          epoch(dep_utc) + (noise % 3) * 600 AS t FROM flights_utc)""",
     ),
 )
 def schedule_congestion(spark, sf):
     f = X.flight_table(spark, sf).withColumn("t", T.epoch_seconds("dep_utc"))
-    requests = f.filter("noise < 40").withColumn("t", F.col("t") + F.expr("noise % 3 * 600"))
+    requests = f.withColumn("t", F.col("t") + F.expr("noise % 3 * 600"))
     out = intervals.schedule_congestion(
         requests, f, "Origin", "FlightDate", "Reporting_Airline", "Flight_Number_Reporting_Airline", "t"
     )
@@ -410,7 +411,7 @@ def schedule_congestion(spark, sf):
 @query(
     "resolve_alias",
     rf"""WITH na AS (SELECT *, 'Q' || n_nationkey % 10 || chr(CAST(65 + n_nationkey // 10 AS INTEGER)) AS code FROM nation),
-    ok AS (SELECT code FROM na WHERE n_regionkey <> 2),
+    ok AS (SELECT CASE WHEN n_regionkey = 2 THEN '~' ELSE '' END || code AS code FROM na),
     asked AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) || ' (' || code || ')'
       WHEN 2 THEN ' ' || lower(code) ELSE 'no ' || c_custkey END AS txt FROM customer JOIN na ON n_nationkey = c_nationkey),
     keyed AS (SELECT *, regexp_extract(upper(txt), '\b([A-Z0-9]{{3}})\b', 1) AS x, upper(trim(txt)) AS p,
@@ -427,7 +428,7 @@ def resolve_alias(spark, sf):
     )
     asked = X.table(spark, sf, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", text.alias("txt"))
     aliases = lookup.alias_table(nation, "code", ["code", "n_name", F.expr("concat(n_name, ' (', code, ')')")])
-    allowed = nation.filter("n_regionkey <> 2").select("code")
+    allowed = nation.select(F.expr("concat(if(n_regionkey = 2, '~', ''), code)").alias("code"))
     return lookup.resolve_alias(asked, "txt", aliases, allowed, 3).select("c_custkey", "code")
 
 
