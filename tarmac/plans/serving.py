@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Mapping
 from dataclasses import replace
 
@@ -14,7 +13,7 @@ from tarmac.functions import tiers
 from tarmac.functions import times as T
 from tarmac.functions.ordinal import risk_band, risk_score, severity_band
 from tarmac.functions.text import carrier_name_to_code, key_text, normalize_flight_number
-from tarmac.operators import intervals, joins, models, rolling
+from tarmac.operators import intervals, joins, model_table, models, rolling
 from tarmac.schema import FLIGHT
 from tarmac.session import materialize
 
@@ -137,17 +136,15 @@ def check_rankings(df: DataFrame, rankings: DataFrame, airports_n: int) -> DataF
 
 
 def score_by_key(df: DataFrame, registry: Mapping[str, models.DelayModel]) -> DataFrame:
-    """Each row scored by the model its ``model_id`` names; rows without one keep null results.
+    """Each row scored by the model its ``model_id`` names; rows without one keep null results and say so.
 
-    The registry has a model per key, so the number of scans is the number of models in use.
+    The registry is joined as a table, so the number of keys adds no scan and no plan.
     """
-    if not registry:
-        raise ValueError("the registry has no model")
-    scored = [models.add_distribution(models.score_ge(df.filter(F.col("model_id") == key), model)) for key, model in sorted(registry.items())]
-    known = F.col("model_id").isin(list(registry)) if registry else F.lit(False)
-    rest = df.filter(~F.coalesce(known, F.lit(False)))
-    rest = rest.withColumn("problem", F.coalesce("problem", F.when(F.col("model_family").isNotNull(), "no_model")))
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*scored, rest])
+    table = model_table.model_table(df.sparkSession, registry)
+    scored = models.add_distribution(model_table.score_by_model(df, table))
+    without = F.col(f"p_ge{table.thresholds[0]}").isNull() & F.col("model_family").isNotNull()
+    scored = scored.withColumn("problem", F.coalesce("problem", F.when(without, "no_model")))
+    return scored.withColumns({c: F.when(~without, F.col(c)) for c in ("bin_proba", "predicted_bin", "expected_delay_minutes", "severity_score")})
 
 
 def batch_predict(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac import fixtures as X
@@ -423,13 +426,48 @@ def calibrate_sigmoid(spark, sf):
 _KEYS = tuple(f"{a}_50_23-25_weather+_minhist" for a in ("WN", "DL", "UA"))
 
 
-@query(
-    "batch_predict",
-    _holds("result_or_problem", "results_have_a_family", "results_have_their_model", "unknown_airline_has_no_key", "results_differ", "switches_obeyed", "ranking_obeyed")
-    + " UNION ALL SELECT 'rows ' || count(*), 1 FROM orders",
+_CARRIER_SQL = "CASE o_custkey % 5 WHEN 0 THEN 'WN' WHEN 1 THEN 'AA' WHEN 2 THEN 'DL' WHEN 3 THEN 'UA' END"
+_ZONES_SQL = X._sql_list(X.ZONES)
+
+#: Everything about a prediction that is not a score: names, match, times, counts, history, model key, statistics, problem.
+_BATCH_SQL = on_flights_utc(
+    f"""SELECT request_id, carrier AS Reporting_Airline, org AS Origin, dst AS Dest, CASE WHEN sched IS NOT NULL THEN 'future_flights' WHEN usable THEN 'user_schedule_fallback' END AS verification_source,
+    CAST(sched IS NULL AND usable AS INTEGER) AS n_warnings, dep AS dep_utc, CAST(coalesce(c.total, 0) AS BIGINT) AS origin_congestion_3h_total,
+    CAST(coalesce(c.own, 0) AS BIGINT) AS origin_airline_congestion_3h_total, CAST(coalesce(h.n, 0) AS BIGINT) AS flightnum_od_support_count_last28d,
+    round(h.mean7, 6) AS flightnum_od_depdelay_mean_last7, CASE WHEN hourly THEN 'limited_history' END AS model_family,
+    carrier || '_50_23-25_' || CASE WHEN hourly THEN 'weather+' ELSE 'weather' END || '_minhist' AS model_id, as_day AS stats_as_of_date,
+    CASE WHEN stats AND a.days14 > 0 THEN CAST(a.n7 AS BIGINT) END AS airline_stats_dep_delay_7d_n, problem, CAST(problem IS NULL AS INTEGER) AS predicted
+    FROM (SELECT *, CASE WHEN carrier IS NULL THEN 'unknown_airline' WHEN carrier = 'DL' AND '{X.AIRPORTS[0]}' IN (org, dst) THEN 'airport_not_in_ranking'
+        WHEN sched IS NULL AND NOT usable THEN 'needs_schedule_times' WHEN NOT hourly THEN 'no_model_family' WHEN carrier = 'AA' THEN 'no_model' END AS problem FROM timed)
+    LEFT JOIN congested c USING (request_id) LEFT JOIN past h USING (request_id) LEFT JOIN airline a USING (request_id)""",
+    f""", rq AS (SELECT o_orderkey AS request_id, {_CARRIER_SQL} AS carrier, CAST(o_custkey % 3 AS VARCHAR) AS num, CAST(o_orderdate AS DATE) AS day, {CODES}[o_custkey % 10 + 1] AS org,
+      {CODES}[(o_custkey + 1 + o_orderkey % 7) % 10 + 1] AS dst, {_ZONES_SQL}[o_custkey % 10 + 1] AS zone, o_orderkey % 3 <> 0 AS usable, o_custkey % 4 <> 0 AS weather,
+      o_orderkey % 5 <> 0 AS stats, CAST(o_orderdate AS DATE) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) + INTERVAL 30 MINUTE AS given FROM orders),
+    matched AS (SELECT request_id, min(dep_utc) AS sched FROM rq JOIN flights_utc f
+      ON CAST(f.Flight_Number_Reporting_Airline AS VARCHAR) = num AND f.Origin = org AND f.Dest = dst AND f.FlightDate = day GROUP BY ALL),
+    placed AS (SELECT rq.*, sched, coalesce(sched, CASE WHEN usable THEN {X.utc_sql('given', 'zone')} END) AS dep FROM rq LEFT JOIN matched USING (request_id)),
+    seen AS (SELECT DISTINCT {CODES}[o_custkey % 10 + 1] AS airport, CAST(o_orderdate AS DATE) AS on_day FROM orders),
+    dates AS (SELECT day, CASE WHEN last IS NOT NULL THEN least(day, last + 14) END AS as_day FROM (SELECT day,
+      (SELECT max(FlightDate) FROM flights_utc WHERE FlightDate < q.day AND (DepDelayMinutes IS NOT NULL OR ArrDelayMinutes IS NOT NULL)) AS last FROM (SELECT DISTINCT day FROM rq) q)),
+    timed AS (SELECT p.*, weather AND airport IS NOT NULL AS hourly, as_day FROM placed p LEFT JOIN seen ON airport = org AND on_day = CAST(dep AS DATE) JOIN dates USING (day)),
+    congested AS (SELECT request_id, count(*) AS total, count(*) FILTER (f.Reporting_Airline = carrier AND NOT (CAST(f.Flight_Number_Reporting_Airline AS VARCHAR) = num AND f.dep_utc = dep)) AS own
+      FROM timed JOIN flights_utc f ON f.Origin = org AND f.FlightDate = day AND abs(epoch(f.dep_utc) - epoch(dep)) <= 10800 AND carrier IS NOT NULL GROUP BY ALL),
+    past AS (SELECT request_id, count(f.DepDelayMinutes) AS n, avg(f.DepDelayMinutes) FILTER (f.FlightDate > day - 7) AS mean7 FROM timed JOIN flights_utc f ON f.Reporting_Airline = carrier
+      AND CAST(f.Flight_Number_Reporting_Airline AS VARCHAR) = num AND f.Origin = org AND f.Dest = dst AND f.FlightDate > day - 28 AND f.FlightDate <= day GROUP BY ALL),
+    airline AS (SELECT request_id, count(f.DepDelayMinutes) FILTER (f.FlightDate >= as_day - 7) AS n7, count(*) FILTER (f.DepDelayMinutes IS NOT NULL OR f.ArrDelayMinutes IS NOT NULL) AS days14
+      FROM timed JOIN flights_utc f ON f.Reporting_Airline = carrier AND f.FlightDate >= as_day - 14 AND f.FlightDate < as_day GROUP BY ALL)""",
 )
-def batch_predict_query(spark, sf):
-    """Properties of the predictions for every order read as a request."""
+
+
+def _registry(model):
+    """A different model for each key, so that a row scored by another key's model shows."""
+    plain = replace(model, models=[replace(m, calibrator=None) for m in model.models])
+    turned = replace(model, models=[replace(m, calibrator=o.calibrator) for m, o in zip(model.models, model.models[::-1], strict=True)])
+    return dict(zip(_KEYS, (model, plain, turned), strict=True))
+
+
+def predictions(spark, sf):
+    """A prediction for every order read as a request."""
     model, _ = trained(spark, sf)
     f = X.flight_table(spark, sf)
     o = X.table(spark, sf, "orders")
@@ -458,9 +496,39 @@ def batch_predict_query(spark, sf):
     lists = lists.filter(~((F.col("airline") == "DL") & (F.col("code") == X.AIRPORTS[0])))
     out = batch_predict(
         requests, airport_table(spark, sf), schedule, history, daily, hourly, materialize(E.group_rollup_table(spark, sf), "rollups"),
-        {key: model for key in _KEYS}, rankings=lists,
+        _registry(model), rankings=lists,
+    )
+    return out
+
+
+@query("batch_predict", _BATCH_SQL)
+def batch_predict_query(spark, sf):
+    """Every order as a request: how it was matched, what its model reads, which model it has, why it has no result.
+
+    A request of an unknown airline has no model and no counts.
+    """
+    out = predictions(spark, sf).withColumns({"n_warnings": F.size("warnings"), "predicted": F.col("predicted_bin").isNotNull().cast("int")})
+    return round_columns(
+        out.select(
+            "request_id", "Reporting_Airline", "Origin", "Dest", "verification_source", "n_warnings", "dep_utc", "origin_congestion_3h_total",
+            "origin_airline_congestion_3h_total", "flightnum_od_support_count_last28d", "flightnum_od_depdelay_mean_last7", "model_family", "model_id",
+            "stats_as_of_date", "airline_stats_dep_delay_7d_n", "problem", "predicted",
+        ), ["flightnum_od_depdelay_mean_last7"],
     )
-    out = materialize(out, "predictions")
+
+
+@query(
+    "batch_predict_scores",
+    _holds("result_or_problem", "results_have_a_family", "results_have_their_model", "unknown_airline_has_no_key", "results_differ", "switches_obeyed", "ranking_obeyed", "scored_by_own_model")
+    + " UNION ALL SELECT 'rows ' || count(*), 1 FROM orders",
+)
+def batch_predict_scores(spark, sf):
+    """Properties of the scores: every result comes from the model its key names."""
+    out = materialize(predictions(spark, sf), "predictions")
+    registry = _registry(trained(spark, sf)[0])
+    again = [models.score_ge(out.filter(F.col("model_id") == key).select("request_id", *[c for c in PipelineConfig().categorical + tuple(PipelineConfig().numeric_features()) if c in out.columns]), m) for key, m in registry.items()]
+    own = functools.reduce(DataFrame.unionByName, [df.select("request_id", F.col("p_ge15").alias("__p")) for df in again])
+    out = out.join(own, "request_id", "left")
     some = F.col("predicted_bin").isNotNull()
     either = lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
     found = checks(
@@ -468,6 +536,7 @@ def batch_predict_query(spark, sf):
         results_have_their_model=either(~some, F.col("model_id").isin(*_KEYS)),
         unknown_airline_has_no_key=either(F.col("Reporting_Airline").isNotNull(), F.col("model_id").isNull()),
         switches_obeyed=either(F.col("airline_stats"), F.col("airline_stats_missing").isNull()),
+        scored_by_own_model=F.coalesce(F.abs(F.col("p_ge15") - F.col("__p")) < 1e-9, F.col("p_ge15").isNull() & F.col("__p").isNull()),
         ranking_obeyed=either(~some, ~F.coalesce((F.col("Reporting_Airline") == "DL") & (F.col("Origin") == X.AIRPORTS[0]), F.lit(False))),
     )
     different = out.agg(F.countDistinct("expected_delay_minutes").alias("n"))

@@ -102,3 +102,27 @@ def test_loss_changes_by_hand(spark):
     assert math.isclose(got["a"], want, rel_tol=1e-9) and abs(got["b"]) < 1e-12
     donors = importance.with_donors(df, ["a"], "id").select(F.col("__donor.a")).collect()
     assert sorted(r[0] for r in donors) == sorted(r[1] for r in rows)
+
+
+def test_models_as_a_table_score_like_the_models(spark, many_pairs):
+    from tarmac.operators.model_table import model_table, score_by_model
+
+    model, rest = many_pairs
+    train = planted(spark, 3_000, 50, 0.3).withColumns({"z": F.expr("x * x - flight_id % 7"), "y_dep_ge15": F.expr("cast(x > 0.6 or flight_id % 11 = 0 as int)")})
+    second = models.train_threshold_models({15: train}, train, "y_dep_ge{thr}", ["od_pair"], ["x", "z"], QUICK, method="isotonic")
+    third = models.train_threshold_models({15: train}, train, "y_dep_ge{thr}", [], ["z"], QUICK, method=None)
+    registry = {f"k{i}": (model, second, third)[i % 3] for i in range(200)}
+    rows = rest.filter("flight_id % 4 = 1").withColumns(
+        {"model_id": F.expr("if(flight_id % 9 = 0, null, concat('k', flight_id % 210))"), "z": F.expr("if(flight_id % 5 = 0, null, x - 1.5)"), "od_pair": F.expr("if(flight_id % 13 = 0, 'new', od_pair)")}
+    )
+    got = {r.flight_id: r for r in score_by_model(rows, model_table(spark, registry)).collect()}
+    assert len(got) == rows.count()
+    want = {}
+    for key, m in (("0", model), ("1", second), ("2", third)):
+        part = rows.filter(f"cast(substr(model_id, 2) as int) < 200 and cast(substr(model_id, 2) as int) % 3 = {key}")
+        want |= {r.flight_id: r.p_ge15 for r in models.score_ge(part, m).collect()}
+    assert want and all(math.isclose(got[i].p_ge15, p, rel_tol=1e-9, abs_tol=1e-12) for i, p in want.items())
+    assert all(r.p_ge15 is None for i, r in got.items() if i not in want)
+    assert len({round(want[i], 6) for i in want}) > 20
+    with pytest.raises(ValueError):
+        model_table(spark, {})

@@ -14,7 +14,7 @@ from tarmac.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 # Streams, training and file writers start jobs of their own while the query is built.
 EAGER = (
-    "stream_", "train_", "calibrate_", "feature_importance", "score_ge", "explain_predictions", "batch_predict", "scan_", "sinks", "ingest_",
+    "stream_", "train_", "calibrate_", "feature_importance", "score_ge", "explain_predictions", "batch_predict", "permutation_importance", "scan_", "sinks", "ingest_",
     "snapshot_records", "departure_training_tables",
 )
 
