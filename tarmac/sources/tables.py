@@ -10,6 +10,7 @@ from tarmac import constants as C
 from tarmac.functions.numbers import coerce_numeric
 from tarmac.functions.text import key_text
 from tarmac.operators import filters, joins
+from tarmac.session import materialize
 
 
 def scan_projected(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
@@ -133,26 +134,45 @@ def scan_ranking_lists(spark: SparkSession, folder: str) -> DataFrame:
     return listed.withColumn("position", F.col("position") + 1)
 
 
+def _clean_name(c):
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(c, "\ufeff|ï»¿", "")), '^"|"$', ""))
+
+
+def ragged_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The column names of every file, from its first line: file, names (without blank ones at the end)."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("row")
+    )
+    first = lines.filter("at = 0 and trim(value) <> ''").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    names = F.transform(F.split("header", ","), _clean_name)
+    filled = F.array_max(F.transform(names, lambda n, i: F.when(n != "", i + 1).otherwise(0)))
+    return first.select("file", F.slice(names, F.lit(1), filled).alias("names"))
+
+
 def scan_ragged_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Registry files: byte-order mark, blank trailing headers, rows of uneven length, padded cells.
 
-    Rows are cut or filled to the header's width; wanted columns are trimmed.
+    Every file has a header of its own; files may order their columns differently or have more of them.
+    Rows are cut or filled to the header's width; wanted columns are trimmed. A file that lacks a wanted
+    column, and a path without any line, is an error.
     """
-    head = spark.read.text(path).limit(1).collect()
-    if not head:
+    headers = materialize(ragged_headers(spark, path), "headers")
+    absent = F.array_except(F.array(*[F.lit(c) for c in columns]), F.col("names"))
+    width, bad, missing = headers.select("file", F.size("names").alias("w"), absent.alias("absent")).agg(
+        F.max("w"), F.min(F.when(F.size("absent") > 0, F.col("file"))), F.min_by("absent", F.when(F.size("absent") > 0, F.col("file")))
+    ).first()
+    if width is None:
         raise ValueError(f"empty table: {path}")
-    names = [n.replace("﻿", "").replace("ï»¿", "").strip().strip('"').strip() for n in head[0]["value"].split(",")]
-    while names and names[-1] == "":
-        names.pop()
-    absent = [c for c in columns if c not in names]
-    if absent:
-        raise ValueError(f"{path} lacks columns {absent}")
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    if bad is not None:
+        raise ValueError(f"{bad} lacks columns {missing}")
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = spark.read.csv(
         path, schema=schema, header=True, enforceSchema=True, mode="PERMISSIVE", escape="\\",
         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
     )
-    return raw.select(*[F.trim(F.coalesce(f"c{names.index(c)}", F.lit(""))).alias(c) for c in columns])
+    cells = raw.select(F.col("_metadata.file_path").alias("file"), F.array(*schema.names).alias("cells")).join(headers, "file")
+    value = lambda c: F.get("cells", F.array_position("names", F.lit(c)).cast("int") - 1)
+    return cells.select(*[F.trim(F.coalesce(value(c), F.lit(""))).alias(c) for c in columns])
 
 
 def scan_registry_year(spark: SparkSession, path: str) -> DataFrame:

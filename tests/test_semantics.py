@@ -273,6 +273,16 @@ def test_ragged_csv(spark, tmp_path):
         tables.scan_ragged_csv(spark, str(path), ["NOPE"])
 
 
+def test_ragged_csv_with_a_header_of_its_own_in_each_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text('\ufeffN-NUMBER, MFR MDL CODE ,NAME,,\n 100 , A1 ,n,\n200\n', encoding="utf-8")
+    (tmp_path / "b.txt").write_text('SERIAL,"NAME",X,MFR MDL CODE,N-NUMBER\n9,"x, y",z, B2 ,300,more\n', encoding="utf-8")
+    rows = tables.scan_ragged_csv(spark, str(tmp_path), ["N-NUMBER", "MFR MDL CODE"]).collect()
+    assert sorted(map(tuple, rows)) == [("100", "A1"), ("200", ""), ("300", "B2")]
+    (tmp_path / "c.txt").write_text("N-NUMBER,OTHER\n1,2\n")
+    with pytest.raises(ValueError, match="c.txt"):
+        tables.scan_ragged_csv(spark, str(tmp_path), ["N-NUMBER", "MFR MDL CODE"])
+
+
 def test_airport_dim_requires_columns(spark, tmp_path):
     (tmp_path / "a.csv").write_text("IATA,Latitude\nX,1\n")
     with pytest.raises(ValueError, match="Longitude"):
