@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarmac import constants as C
 from tarmac.functions.text import normalize_tail
 from tarmac.functions.times import col, epoch_seconds
-from tarmac.operators.ordered import join_null_safe
+from tarmac.operators.ordered import hour_bucket, join_null_safe
 
 
 def asof_table(
@@ -95,25 +95,34 @@ def asof_global(requests: DataFrame, rollups: DataFrame, date: str, value: str,
     return rollup_stats(dated, rollups, value, group_type, prefix, f"{prefix}as_of_date")
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str]) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str], bucket=hour_bucket) -> DataFrame:
     """The right row of the key with the smallest time distance; the earlier one on ties.
 
     Of several rows at one time the one whose ``columns`` are greatest, in their order, counts.
-    Looks one row back and one ahead in a single window over distinct times. Put the day into ``by``
-    to hold a key's window to one day.
+    A key is cut into buckets that follow the time (``bucket``, hours by default). Rows look back and ahead
+    over the distinct times of their own bucket; where it has no reading on one side, the last one of the
+    buckets before or the first one of those after is carried in, from one row per bucket. So a key with
+    most of the readings is as many tasks as it has buckets.
     """
     record = F.struct(F.col(right_on).alias("__at"), *columns)
     stats = right.dropna(subset=[*by, right_on]).groupBy(*by, right_on).agg(F.max(F.struct(*columns)).alias("__c"))
     stats = stats.select(*by, right_on, "__c.*")
     stats = stats.select(*by, F.col(right_on).alias("__on"), record.alias("__row"), F.lit(0).alias("__q"))
     asked = left.dropna(subset=[*by, left_on]).select(*by, F.col(left_on).alias("__on")).distinct()
-    points = stats.unionByName(asked.withColumn("__q", F.lit(1)), allowMissingColumns=True)
-    back = Window.partitionBy(*by).orderBy("__on", "__q").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy("__on", "__q").rowsBetween(0, Window.unboundedFollowing)
-    both = points.withColumns({"__b": F.last("__row", True).over(back), "__a": F.first("__row", True).over(ahead)})
+    points = stats.unionByName(asked.withColumn("__q", F.lit(1)), allowMissingColumns=True).withColumn("__h", bucket("__on"))
+    cut = [*by, "__h"]
+    read = F.when(F.col("__q") == 0, F.col("__on"))
+    ends = points.groupBy(*cut).agg(F.max_by("__row", read).alias("__last"), F.min_by("__row", read).alias("__first"))
+    rising = Window.partitionBy(*by).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    falling = Window.partitionBy(*by).orderBy(F.desc("__h")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*cut, F.last("__last", True).over(rising).alias("__before"), F.last("__first", True).over(falling).alias("__after"))
+    back = Window.partitionBy(*cut).orderBy("__on", "__q").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*cut).orderBy(F.desc("__on"), F.desc("__q")).rowsBetween(Window.unboundedPreceding, 0)
+    both = points.withColumns({"__b": F.last("__row", True).over(back), "__a": F.last("__row", True).over(ahead)})
+    both = both.filter("__q = 1").join(carried, cut).withColumns({"__b": F.coalesce("__b", "__before"), "__a": F.coalesce("__a", "__after")})
     gap = lambda c: F.abs(epoch_seconds(F.col(c)["__at"]) - epoch_seconds("__on"))
     ahead_wins = F.col("__b").isNull() | (gap("__a") < gap("__b"))
-    found = both.filter("__q = 1").select(
+    found = both.select(
         *by, F.col("__on").alias(left_on),
         F.when(ahead_wins & F.col("__a").isNotNull(), F.col("__a")).otherwise(F.col("__b")).alias("__row"),
     )

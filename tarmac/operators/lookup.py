@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tarmac.functions.text import alias_normalize, extract_code, key_text
 from tarmac.functions.times import col
 
+#: Hash ranges that the postings of a piece are cut into.
+BLOCKS = 256
+
 
 def alias_table(names: DataFrame, code: str, candidates: list) -> DataFrame:
     """One row per normalised alias; of two codes with one alias the later in code order wins."""
@@ -64,28 +67,32 @@ def _grams(text, size: int):
 def search_topk(queries: DataFrame, query_id: str, text: str, names: DataFrame, name_id: str, search_text: str, k: int = 8) -> DataFrame:
     """The first k names, in ``name_id`` order, whose text contains the query; empty queries match all.
 
-    Instead of testing every pair, names are indexed by their 1- to 3-character pieces. A query is
-    joined on the rarest of its pieces and verified; the index holds ids, and texts are joined to the
-    candidates only. Equal queries are searched once. ``name_id`` must be unique.
+    Instead of testing every pair, names are indexed by their 1- to 3-character pieces; the index holds
+    ids. A query is joined on the rarest of its pieces, block of ids by block; a block is a hash range of ids, so
+    a piece that is in most names is spread over as many tasks. A query of up to three characters is a piece
+    itself: its postings are the answer, and every task keeps the first k of them before they are
+    brought together. Longer ones are verified. Equal queries are searched once. ``name_id`` must be unique.
     """
     asked = queries.withColumn("__q", alias_normalize(text))
     unique = asked.select("__q").distinct()
     normal = alias_normalize(search_text)
     entries = names.select(F.col(name_id).alias("__id"), normal.alias("__text"))
     pieces = F.array_distinct(F.flatten(F.array(*[_grams(F.col("__text"), n) for n in (1, 2, 3)])))
-    index = entries.select("__id", F.explode(pieces).alias("__g"))
-    frequency = index.groupBy("__g").agg(F.count("*").alias("__f"))
-    size = F.least(F.length("__q"), F.lit(3))
-    own = F.when(size == 3, _grams(F.col("__q"), 3)).when(size == 2, _grams(F.col("__q"), 2)).otherwise(_grams(F.col("__q"), 1))
-    needed = unique.filter("__q <> ''").select("__q", F.explode(F.array_distinct(own)).alias("__g"))
-    known = needed.join(frequency, "__g", "left")
-    rarest = known.groupBy("__q").agg(
-        F.min_by("__g", F.struct(F.coalesce("__f", F.lit(0)), "__g")).alias("__g")
-    )
-    near = rarest.join(index, "__g").select("__q", "__id").join(entries, "__id")
-    hits = near.filter(F.contains(F.col("__text"), F.col("__q"))).select("__q", "__id")
+    index = entries.select("__id", F.explode(pieces).alias("__g")).withColumn("__block", F.pmod(F.xxhash64("__id"), F.lit(BLOCKS)))
     order = Window.partitionBy("__q").orderBy("__id")
-    top = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    first = lambda hits: hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    blocks = index.groupBy("__g", "__block").agg(F.count("*").alias("__n")).groupBy("__g").agg(F.sum("__n").alias("__f"), F.collect_set("__block").alias("__blocks"))
+    own = F.when(F.length("__q") <= 3, F.array("__q")).otherwise(_grams(F.col("__q"), 3))
+    needed = unique.filter("__q <> ''").select("__q", F.explode(F.array_distinct(own)).alias("__g"))
+    known = needed.join(blocks, "__g", "left")
+    rarest = known.groupBy("__q").agg(F.min_by(F.struct("__g", "__blocks"), F.struct(F.coalesce("__f", F.lit(0)), "__g")).alias("__r"))
+    wanted = rarest.select("__q", F.col("__r.__g").alias("__g"), F.explode("__r.__blocks").alias("__block"))
+    postings = lambda those: wanted.filter(those).join(index, ["__g", "__block"]).select("__q", "__id")
+    top_short = first(postings("length(__q) <= 3"))
+    verified = postings("length(__q) > 3").join(entries, "__id").filter(F.contains(F.col("__text"), F.col("__q")))
+    top_long = first(verified.select("__q", "__id"))
+
     every = entries.select("__id").orderBy("__id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("__id")))
-    found = top.unionByName(every.select(F.lit("").alias("__q"), "__id", "rank"))
+    found = top_long.unionByName(top_short).unionByName(every.select(F.lit("").alias("__q"), "__id", "rank"))
     return asked.select(query_id, "__q").join(found, "__q").select(query_id, "rank", F.col("__id").alias(name_id))

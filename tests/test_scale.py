@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarmac import fixtures as X
-from tarmac.operators import intervals, joins, legs, ordered, rolling, similar
+from tarmac.operators import intervals, joins, legs, lookup, ordered, rolling, similar
 from tarmac.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -111,6 +111,57 @@ def test_interval_counts_brute_force(skewed):
         assert got[r["id"]] == (len(near) - 1, (near["tail"] == r["tail"]).sum() - 1)
 
 
+@pytest.mark.parametrize("half", [0, 1, 7, 60, 1000])
+def test_interval_counts_across_slices(spark, half):
+    rng = random.Random(half)
+    pool = [(rng.choice("ab"), rng.choice("xyz"), rng.randrange(-500, 900)) for _ in range(400)]
+    asked = [(k, j, t) for k in "ab" for j in "xyz" for t in rng.sample(range(-1600, 2000), 60)] + [("c", "x", 0)]
+    schema = "k string, j string, t int"
+    out = intervals.interval_counts(
+        spark.createDataFrame(asked, schema), spark.createDataFrame(pool, schema), {"one": ["k"], "two": ["k", "j"]}, "t", "t", half
+    )
+    assert out.schema["t"].dataType.simpleString() == "int"
+    got = {(r["k"], r["j"], r["t"]): (r["one"], r["two"]) for r in out.collect()}
+    near = lambda k, t: [p for p in pool if p[0] == k and abs(p[2] - t) <= half]
+    assert got == {(k, j, t): (len(near(k, t)), sum(p[1] == j for p in near(k, t))) for k, j, t in asked}
+
+
+def largest_share(df, keys):
+    """Rows of the largest of 64 tasks that a shuffle by the keys makes, as a share of all."""
+    counts = [r["count"] for r in df.groupBy((F.pmod(F.hash(*keys), F.lit(64))).alias("p")).count().collect()]
+    return max(counts) / sum(counts)
+
+
+def shuffle_keys(df):
+    """The key lists of the plan's hash exchanges."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+", "", found) for found in re.findall(r"hashpartitioning\(([^)]*), \d+\)?", plan)]
+
+
+def test_a_hot_group_is_swept_slice_by_slice(spark):
+    hot = spark.range(20000).select(F.lit("JFK").alias("k"), (F.col("id") * 4000003).alias("t"))
+    out = intervals.interval_counts(hot, hot, {"n": ["k"]}, "t", "t", 3600 * 1000000)
+    assert not [k for k in shuffle_keys(out) if k == "k"]
+    assert out.agg(F.max("n")).first()[0] == 2 * (3600 * 1000000 // 4000003) + 1
+    assert largest_share(hot.select("k", (F.col("t") - F.pmod("t", F.lit(1800 * 1000000))).alias("s")), ["k", "s"]) < 0.2
+
+
+def test_a_piece_of_most_names_is_searched_block_by_block(spark):
+    rng = random.Random(3)
+    names = [(i, "z" * rng.randrange(3) + rng.choice(["zebra", "maze", "haze", "lark"]) + f" {i % 50}") for i in range(3000)]
+    texts = ["z", "zz", "aze", "zebra 4", "maze 17", "haze", "nothing like it", "q", "", "Lark"]
+    asked = spark.createDataFrame(list(enumerate(texts)) + [(99, "z")], "q int, t string")
+    table = spark.createDataFrame(names, "id int, txt string")
+    got = {}
+    for r in lookup.search_topk(asked, "q", "t", table, "id", "txt", 5).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["id"]))
+    for q, t in list(enumerate(texts)) + [(99, "z")]:
+        want = [i for i, n in names if t.lower() in n][:5]
+        assert sorted(got.get(q, [])) == list(enumerate(want, 1))
+
+
 def test_nearest_brute_force(skewed):
     df, pdf = skewed
     left = df.filter("id < 300").withColumn("want", F.col("dep") + F.expr("INTERVAL 7 MINUTES"))
@@ -124,6 +175,23 @@ def test_nearest_brute_force(skewed):
         assert got[r["id"]] == want
 
 
+def test_nearest_looks_beyond_empty_hours(spark):
+    rng = random.Random(5)
+    start = dt.datetime(2024, 5, 1)
+    readings = [("HOT" if rng.random() < 0.8 else "B", start + dt.timedelta(seconds=rng.randrange(3 * 86400))) for _ in range(120)]
+    readings += [("ONE", start + dt.timedelta(hours=30))]
+    asked = [(i, rng.choice(["HOT", "B", "ONE", "NONE", None]), start + dt.timedelta(seconds=rng.randrange(-86400, 4 * 86400))) for i in range(400)]
+    asked += [(400, "ONE", None), (401, *readings[0])]
+    right = spark.createDataFrame(readings, "k string, seen timestamp_ntz").withColumn("at", F.col("seen"))
+    left = spark.createDataFrame(asked, "id int, k string, want timestamp_ntz")
+    found = joins.nearest(left, right, ["k"], "want", "seen", ["at"])
+    got = {r["id"]: r["at"] for r in found.collect()}
+    assert len(got) == len(asked)
+    for i, k, t in asked:
+        own = sorted({s for key, s in readings if key == k})
+        assert got[i] == (min(own, key=lambda s: (abs(s - t), s)) if own and t else None)
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 
