@@ -145,7 +145,7 @@ def test_a_hot_group_is_swept_slice_by_slice(spark):
     out = intervals.interval_counts(hot, hot, {"n": ["k"]}, "t", "t", 3600 * 1000000)
     assert not [k for k in shuffle_keys(out) if k == "k"]
     assert out.agg(F.max("n")).first()[0] == 2 * (3600 * 1000000 // 4000003) + 1
-    assert largest_share(hot.select("k", (F.col("t") - F.pmod("t", F.lit(1800 * 1000000))).alias("s")), ["k", "s"]) < 0.2
+    assert largest_share(hot.select("k", (F.col("t") - F.pmod("t", F.lit(3600 * 1000000))).alias("s")), ["k", "s"]) < 0.2
 
 
 def test_a_piece_of_most_names_is_searched_block_by_block(spark):
