@@ -50,13 +50,35 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, words), lambda x: (F.length(x) > 2) & ~x.rlike(r"^p:\p{N}+$")))
 
 
+def under_rarest(sets: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(token, sets): the rows of ``sets`` (items and more) under the rarest of their tokens."""
+    counts = labelled.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("k"))
+    named = sets.withColumn("token", F.explode("items")).join(counts, "token", "left")
+    first = named.groupBy(*sets.columns).agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "token"))["token"].alias("token"))
+    return first.groupBy("token").agg(F.sort_array(F.collect_list(F.struct(*sets.columns))).alias("sets"))
+
+
+def held(tokens: Column) -> Column:
+    """Those of the column ``sets`` whose items are all among the tokens."""
+    return F.filter("sets", lambda s: F.size(F.array_except(s["items"], tokens)) == 0)
+
+
+def recount(found: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(items, confidence, n) of token sets: in how many labelled pages that hold the set it means ``block``, and the share of these."""
+    asked = labelled.select("tokens", "y", "n", F.explode("tokens").alias("token")).join(under_rarest(found, labelled), "token")
+    seen = asked.select("y", "n", F.explode(held(F.col("tokens"))["items"]).alias("items"))
+    bad = F.sum(F.col("y") * F.col("n"))
+    return seen.groupBy("items").agg((bad / F.sum("n")).alias("confidence"), bad.alias("n"))
+
+
 def mine_rules(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9, gain: float = 0.02, width: int = 12) -> DataFrame:
     """(items, confidence, n): token combinations that mean ``block``, from rows of (tokens, y, n).
 
     ``n`` is how many pages a row stands for. A transaction holds the ``width`` tokens that tell most about
     the label among those with the support; this bounds the combinations of a page by 2^``width`` whatever
     its URL. A rule stays if its support and confidence suffice and it is surer by ``gain`` than each
-    rule with one token less. A token with the support is in ``support`` of the pages, so there are no
+    rule with one token less. Candidates come from these cut transactions; their supports and confidences are counted
+    again over all tokens of all pages (``recount``). A token with the support is in ``support`` of the pages, so there are no
     more of these than tokens a page / ``support``.
     """
     total, bad = labelled.agg(F.sum("n"), F.sum(F.when(F.col("y") == 1, F.col("n")))).first()
@@ -77,23 +99,14 @@ def mine_rules(labelled: DataFrame, support: float = 0.002, confidence: float =
     copies = chunks.select(F.explode(F.array_repeat("items", F.least(F.lit(COPIES), F.col("n") - F.col("at")).cast("int"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(copies)
     sets = materialize(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")), "itemsets")
-    whole = sets.filter(~F.array_contains("items", BLOCKED)).withColumnRenamed("n", "of")
-    block = sets.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(F.array_remove("items", BLOCKED).alias("items"), "n")
-    rules = materialize(block.join(whole, "items").select("items", (F.col("n") / F.col("of")).alias("confidence"), "n"), "rules")
+    found = sets.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(F.array_remove("items", BLOCKED).alias("items"))
+    rules = materialize(recount(found, labelled), "rules")
     less = rules.filter("size(items) > 1").select("items", F.explode("items").alias("out")).select("items", F.expr("array_remove(items, out)").alias("sub"))
     best = less.join(rules.select(F.col("items").alias("sub"), F.col("confidence").alias("c")), "sub").groupBy("items").agg(F.max("c").alias("c"))
     kept = rules.filter(F.col("confidence") >= confidence).join(best, "items", "left")
     return kept.filter(F.col("c").isNull() | (F.col("confidence") >= F.col("c") + gain)).select("items", "confidence", "n")
 
 
-def index_rules(rules: DataFrame, labelled: DataFrame) -> DataFrame:
-    """(token, rules): each rule under its rarest token."""
-    counts = labelled.select(F.explode("tokens").alias("token"), "n").groupBy("token").agg(F.sum("n").alias("k"))
-    named = rules.withColumn("token", F.explode("items")).join(counts, "token", "left")
-    first = named.groupBy("items", "confidence", "n").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "token"))["token"].alias("token"))
-    return first.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("items", "confidence", "n"))).alias("rules"))
-
-
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], support: float = 0.002, confidence: float = 0.9) -> DataFrame:
     """Host, path, fitting rule and verdict of each page.
 
@@ -112,10 +125,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], support: float = 0.002,
     labelled = places.filter("verdict is not null").select("tokens", (F.col("verdict") == "block").cast("int").alias("y"), "n")
     labelled = materialize(labelled.groupBy("tokens", "y").agg(F.sum("n").alias("n")), "labels")
     mined = materialize(mine_rules(labelled, support, confidence), "mined")
-    index = index_rules(mined, labelled)
+    index = under_rarest(mined, labelled)
 
     open_ = places.filter("verdict is null")
-    holds = F.array_max(F.transform(F.filter("rules", lambda r: F.size(F.array_except(r["items"], F.col("tokens"))) == 0), lambda r: r["confidence"]))
+    holds = F.array_max(F.transform(held(F.col("tokens")), lambda r: r["confidence"]))
     hit = open_.select("host", "path", "tokens", F.explode("tokens").alias("token")).join(index, "token").select("host", "path", holds.alias("c"))
     hit = hit.filter("c is not null").groupBy("host", "path").agg(F.max("c").alias("mined_confidence"))
     groups = materialize(open_.join(hit, ["host", "path"]).select("host", "path", "n", "mined_confidence"), "verdicts")

@@ -294,3 +294,36 @@ def test_fixed_rules_against_python(spark, con):
     for r in QUERIES["op6_url_rules"](spark, SF).collect():
         host, path, rule, verdict = want[r.page_id]
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict)
+
+
+@pytest.mark.parametrize("most", [5, 18])
+def test_mined_rules_against_counting(spark, most):
+    rng = np.random.default_rng(most)
+    words = [f"p:w{i}" for i in range(30)]
+    pages = []
+    for _ in range(300):
+        tokens = sorted(set(rng.choice(words, size=most, p=np.arange(1, 31) / 465)))
+        bad = {"p:w29", "p:w28"} <= set(tokens) or "p:w5" in tokens
+        pages.append((tokens, int(bad if rng.random() < 0.97 else not bad), int(rng.integers(1, 4))))
+    labelled = spark.createDataFrame(pages, "tokens array<string>, y int, n long")
+    support, confidence, gain = 0.03, 0.9, 0.02
+    got = {tuple(r["items"]): (r["confidence"], r["n"]) for r in urls.mine_rules(labelled, support, confidence, gain).collect()}
+    total = sum(n for _, _, n in pages)
+
+    def counts(items):
+        rows = [(y, n) for tokens, y, n in pages if set(items) <= set(tokens)]
+        return sum(n for _, n in rows), sum(y * n for y, n in rows)
+
+    assert got
+    for items, (sure, n) in got.items():
+        of, bad = counts(items)
+        assert (n, sure) == (bad, pytest.approx(bad / of)) and bad >= support * total and sure >= confidence
+    if most <= 12:
+        least, kept, level = support * total, {}, [()]
+        while level:
+            longer = {tuple(sorted((*items, w))) for items in level for w in words if w not in items}
+            level = [items for items in longer if counts(items)[1] >= least]
+            kept |= {items: counts(items)[1] / counts(items)[0] for items in level}
+        subs = lambda items: [kept[s] for s in itertools.combinations(items, len(items) - 1) if s]
+        want = {i for i, c in kept.items() if c >= confidence and all(c >= s + gain for s in subs(i))}
+        assert set(got) == want
