@@ -77,32 +77,47 @@ def cumulative(rates: DataFrame) -> DataFrame:
     return rates.withColumn("far", far("rate")).withColumn("cdf", F.when(F.col("rate") > NEAR, F.col("far")).otherwise(exact)).withColumn("least", least).drop("far")
 
 
-def replicate(docs: DataFrame, rates: DataFrame, seed: str = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
-    """Each row as often as a Poisson draw with its source's rate says, with ``copy`` and ``shuffle_key``.
+ADDED = ("rate", "copies", "copy", "shuffle_key")
 
-    The draw inverts the distribution at a hash of ``seed`` and ``key``: the same row gets the same count
-    on every cluster, whatever the rate. Rows that repeat a key get the same count each. A null key hashes as an empty one; a null
-    source is a source of its own. Columns of ``docs`` that are called rate, copies, copy or shuffle_key are replaced.
-    """
-    docs = docs.drop("rate", "copies", "copy", "shuffle_key")
-    table = cumulative(rates).select("src", "rate", F.struct("least", "cdf").alias("_poisson"))
-    joined = docs.join(table, docs[source].eqNullSafe(table["src"]), "left")
+
+def draw(docs: DataFrame, rates: DataFrame, seed: str = SEED, source: str = "source", key: str = "doc_id") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with each row as often as drawn, and the names under which it holds ``ADDED``, none of which ``docs`` has."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    name = {n: mark + n for n in (*ADDED, "src", "poisson")}
+    table = cumulative(rates).select(F.col("src").alias(name["src"]), F.col("rate").alias(name["rate"]), F.struct("least", "cdf").alias(name["poisson"]))
+    joined = docs.join(table, docs[source].eqNullSafe(table[name["src"]]), "left")
     u = hashed_unit(F.lit(seed), F.coalesce(docs[key].cast("string"), F.lit("")))
-    copies = F.col("_poisson.least") + F.size(F.filter("_poisson.cdf", lambda c: c < u))
-    return (
-        joined.withColumn("copies", copies)
-        .filter("copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        .withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), docs[key].cast("string"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long"))
-        .drop("src", "_poisson")
+    poisson = F.col(name["poisson"])
+    drawn = (
+        joined.withColumn(name["copies"], poisson["least"] + F.size(F.filter(poisson["cdf"], lambda c: c < u)))
+        .filter(F.col(name["copies"]) > 0)
+        .withColumn(name["copy"], F.explode(F.sequence(F.lit(0), F.col(name["copies"]) - 1)))
     )
+    order = F.concat_ws("|", F.lit(seed), F.lit("order"), docs[key].cast("string"), F.col(name["copy"]).cast("string"))
+    drawn = drawn.withColumn(name["shuffle_key"], F.conv(F.substring(F.md5(order), 1, 15), 16, 10).cast("long"))
+    return drawn.drop(name["src"], name["poisson"]), {n: name[n] for n in ADDED}
+
+
+def shuffled(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> tuple[DataFrame, dict[str, str]]:
+    """What ``draw`` gives, globally shuffled by a range partition on a hash."""
+    drawn, name = draw(docs, rates, seed)
+    return drawn.orderBy(name["shuffle_key"], name["copy"]), name
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, total: float = 1.0, seed: str = SEED) -> DataFrame:
-    """``docs`` mixed to target weights and globally shuffled by a range partition on a hash.
+    """``docs`` mixed to target weights and globally shuffled.
 
-    Returns the columns of ``docs`` and rate, copies, copy, shuffle_key. Empty texts weigh one byte; an
-    empty table gives an empty table.
+    The draw inverts the distribution at a hash of ``seed`` and the doc_id: the same row gets the same count
+    on every cluster, whatever the rate. Rows that repeat an id get the same count each. A null id hashes as an empty one; a null
+    source is a source of its own. Returns the columns of ``docs`` and rate, copies, copy, shuffle_key; columns of ``docs`` with
+    these names are replaced, all others keep their values. Empty texts weigh one byte; an empty table gives an empty table.
     """
-    mixed = replicate(docs, target_rates(docs, weights, power, total), seed)
-    return mixed.orderBy("shuffle_key", "copy")
+    mixed, name = shuffled(docs, target_rates(docs, weights, power, total), seed)
+    return mixed.drop(*ADDED).withColumnsRenamed({name[n]: n for n in ADDED})
+
+
+def mix_only(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, total: float = 1.0, seed: str = SEED) -> DataFrame:
+    """The rows of ``mix`` with the columns of ``docs`` alone, all with their own values whatever their names."""
+    return shuffled(docs, target_rates(docs, weights, power, total), seed)[0].select(*[docs[f"`{c}`"] for c in docs.columns])

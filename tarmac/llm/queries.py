@@ -79,7 +79,7 @@ all_w AS (SELECT sum(b) AS b, CAST(sum(CAST(w AS DECIMAL(38, 9))) AS DOUBLE) AS
 rates AS (SELECT source, round(w.w * (all_w.b / all_w.w) / w.b, 9) AS rate FROM w, all_w),
 pmf AS (
   SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
-  FROM rates, range(0, 400) t(k) WHERE k <= ceil(rate + 8 * sqrt(rate) + 24)
+  FROM (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 8 * sqrt(rate) + 24) AS BIGINT) + 1)) AS k FROM rates)
 ), cdf AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
 drawn AS (
   SELECT d.doc_id, d.source, (CAST('0x' || substr(md5('mix-1|' || d.doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM documents d

@@ -85,6 +85,16 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_mixing_keeps_columns_of_any_name(docs):
+    named = docs.withColumns({c: F.lit(f"own {c}") for c in ("src", "rate", "copies", "copy", "shuffle_key", "_rate", "__src", "cdf", "least", "a.b")})
+    only = mixing.mix_only(named).collect()
+    assert len(only) == mixing.mix(named).count() > 0 and list(only[0].asDict()) == named.columns
+    assert all(r[c] == f"own {c}" for r in only for c in ("src", "rate", "copies", "copy", "shuffle_key", "_rate", "__src", "cdf", "least", "a.b"))
+    mixed = mixing.mix(named).collect()
+    assert all(r["src"] == "own src" and r["_rate"] == "own _rate" and r["rate"] > 0 and 0 <= r["copy"] < r["copies"] for r in mixed)
+    assert sorted(str(r["doc_id"]) for r in mixed) == sorted(str(r["doc_id"]) for r in only)
+
+
 def test_exact_dedup(docs, empty):
     rows = dedup.exact_dedup(docs).collect()
     got = by_id(rows)
