@@ -10,6 +10,10 @@ from tarmac.functions.text import normalize_tail
 from tarmac.functions.times import col, epoch_seconds
 from tarmac.operators.ordered import hour_bucket, join_null_safe
 
+#: Bits of the first filter of ``semi_prefilter`` (2 MB), and of one row of it, as ``bitmap_construct_agg`` makes them.
+FILTER_BITS = 1 << 24
+WORD_BITS = 1 << 15
+
 
 def asof_table(
     left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str],
@@ -166,9 +170,36 @@ def join_aircraft_year(df: DataFrame, registry: DataFrame, tail: str) -> DataFra
     return df.join(registry.select(F.col("Tail_Number").alias(tail), "Year_Mfr"), tail, "left")
 
 
-def semi_prefilter(hist: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
-    """History rows whose key occurs in ``df``; the keys are made distinct before the shuffle."""
-    return hist.join(df.select(*keys).distinct(), keys, "left_semi")
+def key_bits(keys: DataFrame, columns: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """(__word, __bits): a bitmap of the hashed keys, cut into rows of ``WORD_BITS`` bits."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    marks = keys.select(F.shiftright(at, WORD_BITS.bit_length() - 1).cast("int").alias("__word"), at.bitwiseAND(WORD_BITS - 1).alias("__at"))
+    return marks.groupBy("__word").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+
+
+def with_marked_keys(df: DataFrame, marks: DataFrame, columns: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose key has its bit set in ``key_bits``; no row is shuffled. Rows of a few other keys stay as well."""
+    at = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    placed = df.withColumns({"__word": F.shiftright(at, WORD_BITS.bit_length() - 1).cast("int"), "__at": at.bitwiseAND(WORD_BITS - 1)})
+    byte = F.substring("__bits", F.shiftright("__at", 3).cast("int") + 1, F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("long")
+    found = placed.join(F.broadcast(marks), "__word").filter(F.getbit(value, F.col("__at").bitwiseAND(7).cast("int")) == 1)
+    return found.select(*df.columns)
+
+
+def semi_prefilter(hist: DataFrame, df: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """History rows whose key occurs in ``df``, in two phases.
+
+    A bitmap of the hashed keys, of ``bits`` bits at most whatever their number, is broadcast and drops most
+    other history rows in the scan's own stage; the exact semi join then shuffles what is left. With far more
+    keys than bits the first phase lets everything pass and the result is the same. Keys of different types on
+    the two sides have different hashes, so then there is only the exact join.
+    """
+    wanted = df.select(*keys).distinct()
+    types = [dict(side.dtypes) for side in (hist, df)]
+    if all(types[0][k] == types[1][k] for k in keys):
+        hist = with_marked_keys(hist, key_bits(wanted, keys, bits), keys, bits)
+    return hist.join(wanted, keys, "left_semi")
 
 
 def filter_both_in_set(df: DataFrame, codes: DataFrame, origin: str, dest: str) -> DataFrame:

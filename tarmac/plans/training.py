@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,22 @@ from tarmac.schema import FLIGHT
 from tarmac.session import materialize
 
 
+def evaluation_halves(evaluation: DataFrame, cfg: PipelineConfig = PipelineConfig()) -> tuple[DataFrame, DataFrame]:
+    """The unbalanced rows for calibration and those for evaluation; the same ones in every call."""
+    halves = sampling.stratified_split(evaluation, "y_dep_ge15", [FLIGHT.row_id], {"cal": 0.5, "eval": 0.0}, cfg.seed, "__half")
+    return halves.filter("__half <> 'eval'").drop("__half"), halves.filter("__half <> 'cal'").drop("__half")
+
+
+def _training_parts(table: DataFrame, threshold: int, cfg: PipelineConfig) -> DataFrame:
+    shares = {"stop": 0.2, "test": 0.2, "train": 0.0}
+    return sampling.stratified_split(table, f"y_dep_ge{threshold}", [FLIGHT.row_id], shares, cfg.seed, "__part")
+
+
+def test_parts(balanced: dict[int, DataFrame], cfg: PipelineConfig = PipelineConfig()) -> dict[int, DataFrame]:
+    """The balanced rows of each threshold that ``train_departure`` neither fits nor stops on."""
+    return {thr: _training_parts(table, thr, cfg).filter("__part = 'test'").drop("__part") for thr, table in balanced.items()}
+
+
 def train_departure(
     balanced: dict[int, DataFrame], evaluation: DataFrame, cfg: PipelineConfig = PipelineConfig(),
     settings: models.TrainingSettings = models.TrainingSettings(),
@@ -25,16 +43,10 @@ def train_departure(
     """
     any_table = next(iter(balanced.values()))
     cats, nums, dropped = filters.select_feature_columns(any_table, cfg.categorical, cfg.numeric_features(), cfg.exclude_feature_prefixes)
-    halves = sampling.stratified_split(
-        evaluation, "y_dep_ge15", [FLIGHT.row_id], {"cal": 0.5, "eval": 0.0}, cfg.seed, "__half"
-    )
-    calibration = halves.filter("__half <> 'eval'").drop("__half")
-    held_out = halves.filter("__half <> 'cal'").drop("__half")
+    calibration, held_out = evaluation_halves(evaluation, cfg)
     tables = {}
     for thr, table in balanced.items():
-        shares = {"stop": 0.2, "test": 0.2, "train": 0.0}
-        parts = sampling.stratified_split(table, f"y_dep_ge{thr}", [FLIGHT.row_id], shares, cfg.seed, "__part")
-        parts = materialize(parts.filter("__part <> 'test'"), "parts")
+        parts = materialize(_training_parts(table, thr, cfg).filter("__part <> 'test'"), "parts")
         tables[thr] = parts.withColumn("__stop", F.col("__part") == "stop")
     model = models.train_threshold_models(
         tables, calibration, "y_dep_ge{thr}", cats, nums, settings, held_out="__stop", method="isotonic"
@@ -84,6 +96,62 @@ def evaluate(model: models.DelayModel, rows: DataFrame, label: str = "y_dep_ge{t
     return out
 
 
+def report_tables(sets: dict[str, DataFrame], label: str, p: str, bins: int = 10) -> dict[str, DataFrame]:
+    """Tables on one threshold's scored sets of rows, each with the name of the set in ``rows_of``.
+
+    ``scores`` has row counts, AUC, AP and the set's own best cut; ``classes`` precision, recall and F1 of each class
+    and ``confusion`` the counts, both at the cut that is best (Youden) on the set ``calibration``;
+    ``reliability`` has the bins of the predictions. A set without rows has scores of null and no other row. Rows
+    without a label or a prediction do not count.
+    """
+    sets = {name: df.select(label, p).dropna() for name, df in sets.items()}
+    cut = metrics.ranking_scores(sets["calibration"], label, p).select("youden_threshold").scalar()
+    tables: dict[str, list[DataFrame]] = {"scores": [], "classes": [], "confusion": [], "reliability": []}
+    for name, df in sets.items():
+        sizes = df.agg(F.count("*").alias("rows"), F.count_if(F.col(label) == 1).alias("positives"))
+        ranked = metrics.ranking_scores(df, label, p).withColumn("__one", F.lit(1))
+        made = {
+            "scores": ranked.join(sizes.withColumn("__one", F.lit(1)), "__one").drop("__one"),
+            "classes": metrics.classification_report(df, label, p, cut).withColumn("cut", cut),
+            "confusion": metrics.confusion_matrix(df, label, p, cut).withColumn("cut", cut),
+            "reliability": metrics.reliability_table(df, label, p, bins),
+        }
+        for kind, table in made.items():
+            tables[kind].append(table.withColumn("rows_of", F.lit(name)))
+    return {kind: functools.reduce(DataFrame.unionByName, found) for kind, found in tables.items()}
+
+
+def training_report(
+    model: models.DelayModel, calibration: DataFrame, held_out: DataFrame, tests: dict[int, DataFrame] | None = None,
+    label: str = "y_dep_ge{thr}", bins: int = 10,
+) -> dict[str, DataFrame]:
+    """``report_tables`` of all thresholds, with ``threshold``, and ``importance`` on the evaluation rows.
+
+    ``tests`` are the balanced rows of each threshold that training left out (``test_parts``). Rows are scored once
+    for all thresholds and written, narrow; the balanced ones once for each.
+    """
+    names = [c for m in model.models for c in (label.format(thr=m.threshold), f"p_ge{m.threshold}")]
+    narrow = {n: materialize(models.score_ge(df, model).select(*names), "scored") for n, df in (("calibration", calibration), ("evaluation", held_out))}
+    found: dict[str, list[DataFrame]] = {}
+    for m in model.models:
+        y, p = label.format(thr=m.threshold), f"p_ge{m.threshold}"
+        sets = dict(narrow)
+        if tests and m.threshold in tests:
+            sets["balanced_test"] = materialize(models.score_ge(tests[m.threshold], model).select(y, p), "scored")
+        for kind, table in report_tables(sets, y, p, bins).items():
+            found.setdefault(kind, []).append(table.withColumn("threshold", F.lit(m.threshold)))
+    report = {kind: functools.reduce(DataFrame.unionByName, tables) for kind, tables in found.items()}
+    report["importance"] = models.feature_importance(model, held_out, label)
+    return report
+
+
+def save_with_report(model: models.DelayModel, report: dict[str, DataFrame], path: str) -> None:
+    """The model, and each table of its report below ``report``, one small file each."""
+    model.save(path)
+    for kind, table in report.items():
+        table.coalesce(1).write.mode("overwrite").parquet(f"{path}/report/{kind}")
+
+
 def explain(scored: DataFrame, cfg: PipelineConfig = PipelineConfig(), delay: str = "DepDelayMinutes") -> DataFrame:
     """Evaluation rows with distribution, true bin, reasons and printed probabilities.
 

@@ -17,7 +17,7 @@ from tarmac.plans.config import PipelineConfig
 from tarmac.plans.departure import departure_features, split_and_balance
 from tarmac.plans.enrich import enrich, history_pool
 from tarmac.plans.serving import batch_predict
-from tarmac.plans.training import evaluate, explain, train_arrival, train_departure
+from tarmac.plans.training import evaluate, explain, report_tables, train_arrival, train_departure
 from tarmac.queries import evaluation as E
 from tarmac.queries.history import _BASELINE_COLS, _BASELINE_SQL, _KEY_SQL, _SAME, SLIP_SQL, _stats_sql
 from tarmac.queries.registry import on_flights, on_flights_utc, query, round_columns
@@ -360,6 +360,43 @@ def permutation_importance(spark, sf):
     return round_columns(importance.loss_changes(f, ["quantity", "noise", "Origin"], score, pairs, "flight_id"), ["importance"])
 
 
+_CUT_SQL = f""", h AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || flight_id)) AS r, count(*) OVER (PARTITION BY y) AS c FROM
+  (SELECT flight_id, {_SHARE.format(quantity="quantity", noise="noise")} AS p, CAST(coalesce(DepDelayMinutes >= 15, false) AS INTEGER) AS y FROM flights)),
+s AS (SELECT p, y, CASE WHEN r <= round(c * 0.5) THEN 'calibration' ELSE 'evaluation' END AS rows_of FROM h),
+curve AS (SELECT p, sum(sum(y)) OVER (ORDER BY p DESC) AS tp, sum(sum(1 - y)) OVER (ORDER BY p DESC) AS fp FROM s WHERE rows_of = 'calibration' GROUP BY p),
+best AS (SELECT CASE WHEN j > 0 THEN p ELSE 'Infinity'::DOUBLE END AS cut FROM (SELECT p, tp / max(tp) OVER () - fp / max(fp) OVER () AS j FROM curve) ORDER BY j DESC, p DESC LIMIT 1),
+cells AS (SELECT rows_of, cut, y, CAST(p >= cut AS INTEGER) AS pred FROM s, best)"""
+
+
+def _reports(spark, sf):
+    f = X.flight_table(spark, sf).withColumns({**threshold_labels("DepDelayMinutes"), "p": F.expr(_SHARE.format(quantity="quantity", noise="noise")).cast("double")})
+    halves = sampling.stratified_split(f, "y_dep_ge15", ["flight_id"], {"cal": 0.5, "eval": 0.0}, out="half")
+    return report_tables({"calibration": halves.filter("half = 'cal'"), "evaluation": halves.filter("half = 'eval'")}, "y_dep_ge15", "p")
+
+
+@query("confusion_at_cut", on_flights("SELECT rows_of, round(cut, 6) AS cut, y, pred, count(*) AS n FROM cells GROUP BY ALL", _CUT_SQL))
+def confusion_at_cut(spark, sf):
+    """Confusion counts of a given score on both halves, at the cut that is best on the calibration half."""
+    return round_columns(_reports(spark, sf)["confusion"], ["cut"])
+
+
+@query(
+    "classes_at_cut",
+    on_flights(
+        """SELECT rows_of, class, round(cut, 6) AS cut, round(precision, 6) AS precision, round(recall, 6) AS recall,
+        round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1, support FROM (
+          SELECT rows_of, cut, class, count(*) FILTER (y = class) AS support,
+            coalesce(count(*) FILTER (y = class AND pred = class) / nullif(count(*) FILTER (pred = class), 0), 0) AS precision,
+            coalesce(count(*) FILTER (y = class AND pred = class) / nullif(count(*) FILTER (y = class), 0), 0) AS recall
+          FROM cells, (SELECT unnest([0, 1]) AS class) GROUP BY ALL)""",
+        _CUT_SQL,
+    ),
+)
+def classes_at_cut(spark, sf):
+    """Precision, recall and F1 of both classes at that cut."""
+    return round_columns(_reports(spark, sf)["classes"], ["cut", "precision", "recall", "f1"])
+
+
 @query("score_ge", _holds("bins_sum_to_one", "probabilities_in_range", "minutes_in_range") + " UNION ALL SELECT 'rows ' || count(*), 1 FROM lineitem")
 def score_ge(spark, sf):
     """Properties of the scores of all flights."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarmac.operators import importance, metrics, models
 from tarmac.operators.target_stats import apply_statistics, label_mean, ordered_statistics, value_statistics
+from tarmac.plans import training
 
 QUICK = models.TrainingSettings(iterations=5, depth=3)
 
@@ -126,3 +127,41 @@ def test_models_as_a_table_score_like_the_models(spark, many_pairs):
     assert len({round(want[i], 6) for i in want}) > 20
     with pytest.raises(ValueError):
         model_table(spark, {})
+
+
+def test_training_report_by_hand(spark, tmp_path):
+    draw = random.Random(3)
+    rows = [(i, draw.choice("ab"), round(draw.random(), 1), int(draw.random() < 0.4)) for i in range(600)]
+    df = spark.createDataFrame(rows, "flight_id long, od_pair string, x double, y_dep_ge15 int")
+    fit, cal, held = (df.filter(f"flight_id % 3 = {k}") for k in range(3))
+    model = models.train_threshold_models({15: fit}, cal, "y_dep_ge{thr}", ["od_pair"], ["x"], QUICK)
+    report = training.training_report(model, cal, held, {15: fit})
+    training.save_with_report(model, report, str(tmp_path / "m"))
+    saved = {k: spark.read.parquet(str(tmp_path / "m" / "report" / k)).collect() for k in report}
+    assert {r.threshold for t in saved.values() for r in t} == {15} and saved["importance"]
+    for name, part in (("calibration", cal), ("evaluation", held), ("balanced_test", fit)):
+        scored = [(r.y_dep_ge15, r.p_ge15) for r in models.score_ge(part, model).collect()]
+        cut = {r.cut for r in saved["confusion"]}.pop()
+        want = {}
+        for y, p in scored:
+            want[y, int(p >= cut)] = want.get((y, int(p >= cut)), 0) + 1
+        assert {(r.y, r.pred): r.n for r in saved["confusion"] if r.rows_of == name} == want
+        size = next(r for r in saved["scores"] if r.rows_of == name)
+        assert (size.rows, size.positives) == (200, sum(y for y, _ in scored))
+        assert sum(r["count"] for r in saved["reliability"] if r.rows_of == name) == 200
+        if name == "calibration":
+            rate = lambda t, c: sum(y == c and p >= t for y, p in scored) / sum(y == c for y, _ in scored)
+            best = max((rate(t, 1) - rate(t, 0), t) for t in {p for _, p in scored})
+            assert math.isclose(best[0], rate(cut, 1) - rate(cut, 0), abs_tol=1e-12)
+    nothing = training.report_tables({"calibration": held.withColumn("p", F.lit(0.5)), "empty": held.filter("1 = 0").withColumn("p", F.lit(0.5))}, "y_dep_ge15", "p")
+    assert {r.rows_of for r in nothing["confusion"].collect()} == {"calibration"}
+    assert {r.rows_of: r.rows for r in nothing["scores"].collect()} == {"calibration": 200, "empty": 0}
+
+
+def test_parts_left_out_of_training(spark):
+    rows = spark.range(1000).select(F.col("id").alias("flight_id"), (F.col("id") % 2).cast("int").alias("y_dep_ge15"))
+    left = training.test_parts({15: rows})[15]
+    assert left.columns == rows.columns and left.count() == 200
+    assert {r.flight_id for r in left.collect()} == {r.flight_id for r in training.test_parts({15: rows.repartition(7)})[15].collect()}
+    cal, held = training.evaluation_halves(rows)
+    assert cal.count() == held.count() == 500 and cal.join(held, "flight_id").count() == 0

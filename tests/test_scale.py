@@ -215,3 +215,26 @@ def test_one_window_shuffle_for_all_baseline_widths(spark):
     text = plan(rolling.rolling_rows_baseline(daily, ["Origin"], "FlightDate", "m", (7, 14, 21, 28), "w"))
     physical = text.split("== Physical Plan ==")[1]
     assert physical.count("Window [") == 1 and physical.count("Exchange hashpartitioning") == 2
+
+
+def test_semi_prefilter_drops_rows_before_the_shuffle(spark):
+    hist = spark.range(20_000).select((F.col("id") % 5_000).alias("k"), F.concat(F.lit("n"), F.col("id") % 7).alias("n"), "id")
+    hist = hist.unionByName(spark.createDataFrame([(None, "n1", 1), (3, None, 2)], "k long, n string, id long"))
+    keys = spark.createDataFrame([(k, n) for k in range(0, 300, 3) for n in ("n0", "n1", None)] + [(None, "n1")] * 3, "k long, n string")
+    want = {r.id for r in hist.join(keys.distinct(), ["k", "n"], "left_semi").collect()}
+    out = joins.semi_prefilter(hist, keys, ["k", "n"])
+    assert out.columns == hist.columns
+    assert sorted(r.id for r in out.collect()) == sorted(want) and want
+    passed = {r.id for r in joins.with_marked_keys(hist, joins.key_bits(keys, ["k", "n"]), ["k", "n"]).collect()}
+    assert want <= passed and len(passed) < len(want) + 20
+    # One word of bits for 300 keys, and far too few bits: more rows pass the first phase, the result stays.
+    for bits in (1 << 15, 64):
+        assert sorted(r.id for r in joins.semi_prefilter(hist, keys, ["k", "n"], bits).collect()) == sorted(want)
+    other_type = keys.withColumn("k", F.col("k").cast("int"))
+    assert sorted(r.id for r in joins.semi_prefilter(hist, other_type, ["k", "n"]).collect()) == sorted(want)
+    assert joins.semi_prefilter(hist, keys.filter("1 = 0"), ["k", "n"]).collect() == []
+
+
+def test_semi_prefilter_plan(spark):
+    plan = QUERIES["semi_prefilter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "BroadcastHashJoin [__word" in plan
