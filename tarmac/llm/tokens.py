@@ -8,32 +8,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.columns import counted, text_of
+from tarmac.llm.columns import text_of
 from tarmac.llm.pretokens import Lengths, once, plain, vocabulary
 
 WORDS = "word_bpe_49k.json"
 
 
-def frequent_lengths(docs: DataFrame, vocab: str = WORDS, sample: int = 2000, entries: int = 50_000) -> dict[str, int]:
-    """Token counts of the most frequent pieces among about ``sample`` rows, chosen by a hash.
+def frequent_lengths(docs: DataFrame, vocab: str = WORDS, sample: int = 2000, entries: int = 50_000, per_row: int = 500) -> dict[str, int]:
+    """Token counts of the most frequent pieces among about ``sample`` rows, chosen by a hash of their place.
 
     The table only saves work: any other table gives the same counts, so it may come from a bounded
     sample. It has ``entries`` entries at most (some 5 MB), which bounds the broadcast. Each task counts
-    the pieces of its own sampled rows; only these counts are summed up.
+    the pieces of its own sampled rows and returns its most frequent ones as one row, ``per_row`` for each
+    sampled row at most; so the driver sums up ``sample`` times ``per_row`` counts at most (some 20 MB), and no piece
+    is shuffled. Rows are chosen by place, not by doc_id, which may repeat.
     """
     every = max(1, docs.count() // sample)
-    chosen = docs.filter(F.pmod(F.xxhash64(docs["doc_id"], F.lit(5)), F.lit(every)) == 0)
+    placed = docs.select(text_of(docs).alias("text"), F.monotonically_increasing_id().alias("place"))
+    chosen = placed.filter(F.pmod(F.xxhash64("place", F.lit(5)), F.lit(every)) == 0).select("text")
 
     def tally(batches):
         seen: Counter = Counter()
+        rows = 0
         for pdf in batches:
+            rows += len(pdf)
             for text in pdf["text"]:
                 if plain(text, ()):
                     seen.update(text.lower().split())
-        yield from counted(dict(seen.most_common(entries)), "piece")
+        top = seen.most_common(min(entries, per_row * rows))
+        if top:
+            yield pd.DataFrame({"pieces": [[p for p, _ in top]], "counts": [[n for _, n in top]]})
 
-    pieces = chosen.select(text_of(chosen).alias("text")).mapInPandas(tally, "piece string, n long")
-    top = [r[0] for r in pieces.groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "piece").limit(entries).collect()]
+    total: Counter = Counter()
+    for row in chosen.mapInPandas(tally, "pieces array<string>, counts array<long>").collect():
+        total.update(dict(zip(row["pieces"], row["counts"], strict=True)))
+    top = sorted((p for p in total if total[p] > 1), key=lambda p: (-total[p], p))[:entries]
     encode = Lengths(vocabulary(vocab))
     return {p: encode.whole(p) for p in top}
 

@@ -92,6 +92,20 @@ def test_trees_learn_an_interaction():
     assert ((traverse(trees, x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
 
 
+def test_frequent_pieces_come_from_a_bounded_sample(spark):
+    rows = [(None if i % 3 else 7, f"common word{i % 11} only{i} " + "common " * (i % 4)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    pieces = collections.Counter(p for _, t in rows for p in t.split())
+    encode = Lengths(vocabulary(tokens.WORDS))
+    assert tokens.frequent_lengths(docs) == {p: encode.whole(p) for p, n in pieces.items() if n > 1}
+    top = tokens.frequent_lengths(docs, entries=1)
+    assert list(top) == ["common"]
+    # Rows of one doc_id, or of none, are sampled like any others: a tenth of them has few of the rare pieces twice.
+    fewer = tokens.frequent_lengths(docs.select("doc_id", F.concat("text", F.lit(" "), "text").alias("text")), sample=90)
+    rare = [p for p in fewer if p.startswith("only")]
+    assert 40 < len(rare) < 180 and "common" in fewer
+
+
 def test_token_counts(spark, texts):
     library = Lengths(vocabulary(tokens.WORDS)).library
     for r in QUERIES["op3_token_counts"](spark, SF).collect():
