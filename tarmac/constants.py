@@ -61,8 +61,23 @@ MARKETING_NAMES = {
     "Royal Air Maroc": "AT",
 }
 
-# Explanation texts.
+# Explanation texts, and the values from which they apply.
 NO_REASON = "no strong delay signals detected"
+REASON_LOW_SUPPORT = "limited flight-number history"
+REASON_FLIGHT = "this flight/route often departs late"
+REASON_CARRIER = "carrier delays elevated recently"
+REASON_STATION = "origin station running late recently"
+REASON_CONGESTION = "busy origin (recent congestion)"
+REASON_LOAD = "typically high load factor (prior month)"
+REASON_WEATHER = "weather that day"
+REASON_MEAN_DELAY = 10
+REASON_CONGESTION_COUNT = 30
+REASON_LOAD_FACTOR = 0.85
+
+# Weights of phrases in a page's title, and of the airport code in title and snippet.
+PAGE_TITLE_WEIGHTS = (("airport", 2.0), ("international airport", 0.5), ("list of", -2.0))
+PAGE_CODE_IN_TITLE = 0.3
+PAGE_CODE_IN_SNIPPET = 0.2
 
 # Weather variables of the daily and the hourly feed.
 DAILY_WEATHER = (
@@ -139,3 +154,16 @@ AIRPORT_COLUMNS = ("IATA", "ICAO", "AirportName", "City", "State", "Country", "L
 MERGE_KEYS = (
     "FlightDate", "Reporting_Airline", "Flight_Number_Reporting_Airline", "Origin", "Dest", "CRSDepTime", "CRSArrTime",
 )
+
+# Columns that are read as numbers.
+NUMERIC_COLUMNS = (
+    "CRSDepTime", "CRSArrTime", "DepDelayMinutes", "ArrDelayMinutes", "DepDel15", "ArrDel15", "AirTime", "WheelsOff",
+    "WheelsOn", "TaxiOut", "TaxiIn", "Flight_Number_Reporting_Airline",
+)
+
+# Columns of the history pool.
+HISTORY_COLUMNS = (
+    "FlightDate", "Origin", "Dest", "Reporting_Airline", "Flight_Number_Reporting_Airline", "DepDelayMinutes", "DepDel15",
+    "ArrDelayMinutes", "CRSDepTime", "CRSArrTime", "dep_dt_local", "dep_local_date", "arr_dt_local", "arr_local_date",
+    "dep_utc", "arr_utc", "AirTime", "WheelsOff", "WheelsOn", "TaxiOut", "TaxiIn",
+)

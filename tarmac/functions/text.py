@@ -106,13 +106,13 @@ def explain_reasons(
 ) -> Column:
     """The first few of the reasons that apply, in fixed order."""
     rules = [
-        (col(low_support) == 1, "limited flight-number history"),
-        (col(flight_mean) >= 10, "this flight/route often departs late"),
-        (col(carrier_mean) >= 10, "carrier delays elevated recently"),
-        (col(carrier_origin_mean) >= 10, "origin station running late recently"),
-        (col(congestion) >= 30, "busy origin (recent congestion)"),
-        (col(load_factor) >= 0.85, "typically high load factor (prior month)"),
-        (col(weather_code).isNotNull(), "weather that day"),
+        (col(low_support) == 1, C.REASON_LOW_SUPPORT),
+        (col(flight_mean) >= C.REASON_MEAN_DELAY, C.REASON_FLIGHT),
+        (col(carrier_mean) >= C.REASON_MEAN_DELAY, C.REASON_CARRIER),
+        (col(carrier_origin_mean) >= C.REASON_MEAN_DELAY, C.REASON_STATION),
+        (col(congestion) >= C.REASON_CONGESTION_COUNT, C.REASON_CONGESTION),
+        (col(load_factor) >= C.REASON_LOAD_FACTOR, C.REASON_LOAD),
+        (col(weather_code).isNotNull(), C.REASON_WEATHER),
     ]
     found = F.array_compact(F.array(*[F.when(test, text) for test, text in rules]))
     return F.when(F.size(found) == 0, C.NO_REASON).otherwise(F.array_join(F.slice(found, 1, limit), "; "))
@@ -121,13 +121,8 @@ def explain_reasons(
 def page_score(title, snippet, code) -> Column:
     """How much a page looks like the airport's own article."""
     t, s, k = F.lower(col(title)), F.lower(col(snippet)), F.lower(col(code))
-    points = [
-        (F.contains(t, F.lit("airport")), 2.0),
-        (F.contains(t, F.lit("international airport")), 0.5),
-        (F.contains(t, F.lit("list of")), -2.0),
-        (F.contains(t, k), 0.3),
-        (F.contains(s, k), 0.2),
-    ]
+    points = [(F.contains(t, F.lit(phrase)), weight) for phrase, weight in C.PAGE_TITLE_WEIGHTS]
+    points += [(F.contains(t, k), C.PAGE_CODE_IN_TITLE), (F.contains(s, k), C.PAGE_CODE_IN_SNIPPET)]
     total = F.lit(0.0)
     for test, weight in points:
         total = total + F.when(test, weight).otherwise(0.0)

@@ -5,22 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac import constants as C
 from tarmac.functions import times as T
 from tarmac.functions.numbers import age_bucket, age_years, coerce_numeric
 from tarmac.operators import filters, joins
 from tarmac.plans.config import PipelineConfig
 from tarmac.schema import FLIGHT
 
-NUMERIC = (
-    "CRSDepTime", "CRSArrTime", "DepDelayMinutes", "ArrDelayMinutes", "DepDel15", "ArrDel15", "AirTime", "WheelsOff",
-    "WheelsOn", "TaxiOut", "TaxiIn", "Flight_Number_Reporting_Airline",
-)
-HISTORY_COLUMNS = (
-    "FlightDate", "Origin", "Dest", "Reporting_Airline", "Flight_Number_Reporting_Airline", "DepDelayMinutes", "DepDel15",
-    "ArrDelayMinutes", "CRSDepTime", "CRSArrTime", "dep_dt_local", "dep_local_date", "arr_dt_local", "arr_local_date",
-    "dep_utc", "arr_utc", "AirTime", "WheelsOff", "WheelsOn", "TaxiOut", "TaxiIn",
-)
-
 
 def add_local_times(df: DataFrame, airports: DataFrame) -> DataFrame:
     """Zones of both ends, local departure and arrival with roll-over past midnight, and UTC."""
@@ -48,7 +39,7 @@ def needed_airports(df: DataFrame) -> DataFrame:
 
 
 def prepare(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: coerce_numeric(c) for c in NUMERIC if c in df.columns})
+    return df.withColumns({c: coerce_numeric(c) for c in C.NUMERIC_COLUMNS if c in df.columns})
 
 
 def enrich(
@@ -91,4 +82,4 @@ def history_pool(flights: DataFrame, airports: DataFrame, cfg: PipelineConfig) -
     df = add_local_times(prepare(df), airports)
     if "DepDel15" not in df.columns:
         df = df.withColumn("DepDel15", F.coalesce((F.col("DepDelayMinutes") >= 15).cast("int"), F.lit(0)))
-    return df.select(*[c for c in HISTORY_COLUMNS if c in df.columns])
+    return df.select(*[c for c in C.HISTORY_COLUMNS if c in df.columns])
