@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -341,3 +342,24 @@ def test_mined_rules_against_counting(spark, most):
         subs = lambda items: [kept[s] for s in itertools.combinations(items, len(items) - 1) if s]
         want = {i for i, c in kept.items() if c >= confidence and all(c >= s + gain for s in subs(i))}
         assert set(got) == want
+
+
+def test_top_k_far_out_and_repeated(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "SHARD_ROWS", 40)
+    monkeypatch.setattr(nearest, "LEAF", 4)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(200, 3))
+    v[rng.random(size=v.shape) < 0.1] *= 2.0**24  # products of the largest components wrap a long
+    v[50:60] *= 2.0**60
+    v[60:70] = v[55]
+    v[70] = [1e308, -1e308, 1e308]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [rows[20], rows[20], (40, [0.5, 0.5, 0.5]), (10, []), (11, []), (12, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(Fraction(c) * 256) for c in x]) for i, x in rows]
+    want = []
+    for a, (q, x) in enumerate(whole):
+        others = [(-sum(s * t for s, t in zip(x, y)), c) for b, (c, y) in enumerate(whole) if b != a and len(x) == len(y)]
+        if q % 10 == 0:
+            want += [(q, i + 1, c, max(-nearest.LIMIT, min(nearest.LIMIT, -s))) for i, (s, c) in enumerate(sorted(others)[:5])]
+    assert sorted(tuple(r) for r in nearest.top_k(df, F.col("vec_id") % 10 == 0).collect()) == sorted(want)
