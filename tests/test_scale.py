@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import tempfile
 
 import pandas as pd
 import pytest
@@ -238,3 +239,45 @@ def test_semi_prefilter_drops_rows_before_the_shuffle(spark):
 def test_semi_prefilter_plan(spark):
     plan = QUERIES["semi_prefilter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "bitmap_construct_agg" in plan and "BroadcastHashJoin [__word" in plan
+
+
+def _fact_shuffles(df):
+    """Exchanges and sort-merge joins in the plan of ``df``, broadcasts left out."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.splitlines() if "Exchange" in line and "BroadcastExchange" not in line or "SortMergeJoin" in line]
+
+
+def test_facts_are_not_shuffled_for_few_rows(spark):
+    """Splits, balancing and small tables meet the facts where those are read."""
+    from tarmac.operators import sampling
+
+    path = f"{tempfile.mkdtemp()}/facts"
+    spark.range(3000).selectExpr("id", "cast(id % 3 = 0 as int) y", "cast(id % 7 as string) k", "timestamp_seconds(id) at").write.parquet(path)
+    facts = spark.read.parquet(path)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    split = sampling.stratified_split(facts, "y", ["id"], {"a": 0.25, "b": 0.25, "c": 0.0})
+    balanced = sampling.balance_thresholds(facts, {1: "y"}, ["id"], max_rows=100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # facts are larger, first departures smaller
+    try:
+        first = legs.hours_since_first(facts, ["k"], "at")
+        assert [len(_fact_shuffles(df)) for df in (split, balanced, first)] == [1, 0, 0]  # the one is of the cuts
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    sizes = {(r.part, r.y): r["count"] for r in split.groupBy("part", "y").count().collect()}
+    assert sizes == {("a", 0): 500, ("a", 1): 250, ("b", 0): 500, ("b", 1): 250, ("c", 0): 1000, ("c", 1): 500}
+    assert balanced.count() == 100 and balanced.select("id").distinct().count() == 100
+
+
+def test_ordered_statistics_shuffle_the_facts_once(spark):
+    from tarmac.operators.target_stats import ordered_statistics
+
+    facts = spark.range(500).selectExpr("id", "cast(id % 3 = 0 as int) y", "cast(id % 7 as string) a", "cast(id % 5 as string) b", "cast(id % 2 as string) c")
+    out = ordered_statistics(facts, "y", ["a", "b", "c"], "id", 0.5)
+    assert len(_fact_shuffles(out)) == 3  # the rows, the sums of slices and values, and their windows
+
+
+def test_flight_table_is_written_without_a_shuffle(spark):
+    from tarmac import fixtures
+
+    table = fixtures.flight_table(spark, SF)
+    assert not any("Year=" in f for f in table.inputFiles())
