@@ -40,10 +40,8 @@ def match_or_fall_back(requests: DataFrame, schedule: DataFrame) -> DataFrame:
     """Scheduled UTC times from the schedule, else from the times the request came with."""
     keys = ("origin_key", "flight_number", "dest_key", "date")
     asked = requests.withColumns({"origin_key": F.col("Origin"), "dest_key": F.col("Dest"), "hhmm": F.lit(None).cast("string")})
-    flights = schedule.select(
-        F.col("origin").alias("origin_key"), "flight_number", F.col("dest").alias("dest_key"), "date", "sched_utc", "carrier"
-    )
-    found = joins.match_schedule(asked, flights, keys).drop("carrier", "hhmm", "origin_key", "dest_key")
+    flights = schedule.select(F.col("origin").alias("origin_key"), "flight_number", F.col("dest").alias("dest_key"), "date", "sched_utc")
+    found = joins.match_schedule(asked, flights, keys, carrier=False).drop("hhmm", "origin_key", "dest_key")
     clock = lambda c: F.when(
         F.col(c).rlike("^[0-9]{1,2}:[0-9]{2}$"),
         F.split_part(F.col(c), F.lit(":"), F.lit(1)).cast("int") * 100 + F.split_part(F.col(c), F.lit(":"), F.lit(2)).cast("int"),
