@@ -552,7 +552,7 @@ def with_position(ordered):
     marked = materialize(ordered.withColumn("m", F.monotonically_increasing_id()), "ordered").withColumn("part", F.shiftright("m", 33))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = marked.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return marked.join(starts, "part").withColumn("position", F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).drop("m", "part", "start")
+    return marked.join(F.broadcast(starts), "part").withColumn("position", F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).drop("m", "part", "start")
 
 
 _SORT_SQL = {
