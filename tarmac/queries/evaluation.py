@@ -13,6 +13,7 @@ from tarmac.operators import extract, filters, impute, joins, metrics, rollups,
 from tarmac.queries.history import requests_from_orders
 from tarmac.queries.registry import on_events, on_flights, on_scored, query, round_columns, rounded
 from tarmac.queries.scalars import _BIN_SQL, _BINS
+from tarmac.session import materialize
 
 CODES = X._sql_list(X.AIRPORTS)
 
@@ -100,7 +101,7 @@ def group_rollups(spark, sf):
 )
 def asof_global(spark, sf):
     table = group_rollup_table(spark, sf).select("as_of_date", "group_type", "group_value", "dep_delay_7d_n", rounded("dep_delay_7d_median").alias("dep_delay_7d_median"))
-    out = joins.asof_global(requests_from_orders(spark, sf), table, "FlightDate", "Origin", "airport_total")
+    out = joins.asof_global(requests_from_orders(spark, sf), materialize(table, "rollups"), "FlightDate", "Origin", "airport_total")
     return out.select("o_orderkey", "as_of_date", "dep_delay_7d_n", "dep_delay_7d_median", F.col("missing").cast("int").alias("missing"))
 
 
