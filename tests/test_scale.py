@@ -281,3 +281,50 @@ def test_flight_table_is_written_without_a_shuffle(spark):
 
     table = fixtures.flight_table(spark, SF)
     assert not any("Year=" in f for f in table.inputFiles())
+
+
+def _joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_facts_travel_with_their_features(skewed):
+    """Turns, legs and prior events join small tables only, not the facts with themselves."""
+    df, _ = skewed
+    ends = ("org", "dst", "dep", "arr", "id")
+    assert _joins(legs.turn_time_hours(df, ["tail"], *ends)) == 1
+    assert _joins(legs.recent_turn_flag(df, "tail", *ends)) == 1
+    assert _joins(legs.leg_number(df, "tail", "day", "dep", "id")) == 1
+    assert _joins(rolling.rolling_prior_events(df, df, ["tail"], "day", "dep", "delay")) == 1
+
+
+def test_prior_events_of_rows_without_a_time_or_key(skewed, spark):
+    """A history row without a time counts as the day's first; facts without a key or time keep null, 0 and 1."""
+    df, _ = skewed
+    day, at = dt.date(2024, 1, 1), dt.datetime(2024, 1, 1, 9)
+    rows = [(1, "a", day, None, 10.0), (2, "a", day, at, 20.0), (3, None, day, at, 30.0), (4, "a", dt.date(2024, 1, 2), at, None)]
+    facts = spark.createDataFrame(rows, "id int, tail string, day date, dep timestamp_ntz, delay double")
+    for hist in (facts, facts.select("*")):
+        out = rolling.rolling_prior_events(facts, hist, ["tail"], "day", "dep", "delay", (7,)).collect()
+        got = {r["id"]: (r["flightnum_od_depdelay_mean_last7"], r["flightnum_od_support_count_last7d"], r["flightnum_od_low_support_last7d"]) for r in out}
+        assert got == {1: (None, 0, 1), 2: (10.0, 1, 1), 3: (None, 0, 1), 4: (15.0, 2, 1)}
+
+
+def test_open_intervals_are_counted_before_they_are_carried(skewed):
+    df, _ = skewed
+    timed = df.withColumn("t", F.hour("dep").cast("long"))
+    plan = intervals.interval_counts(timed, timed, {"n": ["day"]}, "t", "t", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 2
+
+
+def test_times_alone_are_matched_without_sorting(spark):
+    flights = spark.createDataFrame([("1", "A", dt.date(2024, 1, 1), dt.datetime(2024, 1, 1, h), "x") for h in (9, 8)], "flight_number string, dest string, date date, sched_utc timestamp_ntz, carrier string")
+    out = joins.match_schedule(flights.select("flight_number", "dest", "date").distinct(), flights, carrier=False)
+    assert [(r["sched_utc"].hour, r["matched"]) for r in out.collect()] == [(8, True)]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positions_and_small_answers_shuffle_no_fact(spark):
+    plan = lambda name: QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan("sort_modes_price_desc")
+    assert "Window" not in plan("rolling_days_mean_count_block")
+    assert "Expand" not in plan("asof_global")
