@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarmac.functions.times import epoch_seconds
 from tarmac.operators.dedupe import dedupe_first
 from tarmac.operators.ordered import hour_bucket
+from tarmac.session import materialize
 
 INFINITY = float("inf")
 
@@ -35,7 +36,7 @@ def topk_similar(requests: DataFrame, flights: DataFrame, k: int = 20, days: int
     departure order; a running count of offers gives both their position. A request then joins the k
     offers before and the k after its position, as far as they are within its days. Of offers with one departure time only the k
     cheapest can matter, and a second position orders those cheapest last, so that the 2k looked at
-    always contain the k wanted.
+    always contain the k wanted. The order's rows are written, as both the counts per bucket and the positions read them.
     """
     route = ["origin", "dest"]
     same_time = Window.partitionBy(*route, "departure").orderBy("__price", "offer_id")
@@ -49,6 +50,7 @@ def topk_similar(requests: DataFrame, flights: DataFrame, k: int = 20, days: int
         .unionByName(points.withColumns({"__offer": F.lit(0).cast("long"), "__tie": F.lit(k + 1)}), allowMissingColumns=True)
         .withColumn("__bucket", hour_bucket("departure"))
     )
+    line = materialize(line, "departure-order")
     earlier = Window.partitionBy(*route).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     by_day = Window.partitionBy(*route).orderBy(F.floor(F.col("__bucket") / 24))
     upto = lambda last: F.coalesce(F.sum("__in").over(by_day.rangeBetween(Window.unboundedPreceding, last)), F.lit(0))
