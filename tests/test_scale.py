@@ -328,3 +328,13 @@ def test_positions_and_small_answers_shuffle_no_fact(spark):
     assert "strategy=broadcast" in plan("sort_modes_price_desc")
     assert "Window" not in plan("rolling_days_mean_count_block")
     assert "Expand" not in plan("asof_global")
+
+
+def test_ordered_statistics_keep_the_row_id(spark):
+    """Training gives the rows an id of the name ``__row``."""
+    from tarmac.operators.target_stats import ordered_statistics
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2], i % 3 % 2) for i in range(9)], "__row int, c string, y int")
+    out = ordered_statistics(rows, "y", ["c"], "__row", 0.5)
+    assert out.columns == ["__row", "c", "y", "c_stat"]
+    assert sorted(r["__row"] for r in out.collect()) == list(range(9))
