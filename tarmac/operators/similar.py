@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.times import epoch_seconds
-from tarmac.operators.dedupe import dedupe_first
+from tarmac.operators.dedupe import dedupe_first_sparse
 from tarmac.operators.ordered import hour_bucket
 from tarmac.session import materialize
 
@@ -23,7 +23,7 @@ def dedupe_candidates(flights: DataFrame, order: list[str]) -> DataFrame:
     """One offer per route, carrier, number and local departure: the first in the given order."""
     carrier = F.coalesce("marketing_carrier", "airline", F.lit(""))
     keyed = flights.withColumn("__carrier", carrier)
-    return dedupe_first(keyed, ["origin", "dest", "__carrier", "number", "departure"], order).drop("__carrier")
+    return dedupe_first_sparse(keyed, ["origin", "dest", "__carrier", "number", "departure"], order).drop("__carrier")
 
 
 def topk_similar(requests: DataFrame, flights: DataFrame, k: int = 20, days: int = 1) -> DataFrame:

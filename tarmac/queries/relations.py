@@ -494,8 +494,8 @@ def search_topk(spark, sf):
 
 
 def offers(spark, sf):
-    """Priced flights: every line item offered, some twice or more."""
-    f = X.flight_table(spark, sf)
+    """Priced flights: every line item offered, some twice or more. They need no zones, so the flight table is not written for them."""
+    f = X.flights(spark, sf)
     return f.select(
         F.col("flight_id").alias("offer_id"), F.col("Origin").alias("origin"), F.col("Dest").alias("dest"),
         F.col("Reporting_Airline").alias("airline"),

@@ -338,3 +338,32 @@ def test_ordered_statistics_keep_the_row_id(spark):
     out = ordered_statistics(rows, "y", ["c"], "__row", 0.5)
     assert out.columns == ["__row", "c", "y", "c_stat"]
     assert sorted(r["__row"] for r in out.collect()) == list(range(9))
+
+
+def test_offers_are_not_sorted_before_they_are_shuffled(spark):
+    """Offers seldom repeat, so combining them map-side would only sort, and spill, every input task."""
+    import re
+
+    plan = QUERIES["dedupe_candidates"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above, exchange, below = plan.partition("Exchange hashpartitioning")
+    assert exchange and "Sort [" in above and not re.search("Sort|Aggregate|Exchange", below)
+
+
+def test_hot_keys_among_keys_that_seldom_repeat(spark, monkeypatch):
+    from tarmac.operators import dedupe
+
+    rng = random.Random(19)
+    keys = [("hot", 1)] * 700 + [(None, None)] * 500 + [("a", None)] * 40 + [(f"k{i}", i % 3) for i in range(3000)] + [("k7", 1)] * 2
+    rows = [(k, n, o, f"v{o}") for (k, n), o in zip(keys, rng.sample(range(len(keys)), len(keys)))]
+    df = spark.createDataFrame(rows, "k string, n int, o int, v string")
+    want = {}
+    for k, n, o, v in rows:
+        want[k, n] = min(want.get((k, n), (o, v)), (o, v))
+    for hot, task_rows in ((1000, 1 << 20), (100, 1 << 20), (10, 100), (3, 1 << 20)):  # many hot buckets to none
+        monkeypatch.setattr(dedupe, "HOT", hot)
+        monkeypatch.setattr(dedupe, "TASK_ROWS", task_rows)
+        out = dedupe.dedupe_first_sparse(df, ["k", "n"], ["o"])
+        assert out.columns == df.columns
+        got = [((r["k"], r["n"]), (r["o"], r["v"])) for r in out.collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert dedupe.dedupe_first_sparse(df.filter("o < 0"), ["k", "n"], ["o"]).collect() == []
