@@ -367,3 +367,12 @@ def test_hot_keys_among_keys_that_seldom_repeat(spark, monkeypatch):
         got = [((r["k"], r["n"]), (r["o"], r["v"])) for r in out.collect()]
         assert len(got) == len(want) and dict(got) == want
     assert dedupe.dedupe_first_sparse(df.filter("o < 0"), ["k", "n"], ["o"]).collect() == []
+
+
+def test_runs_of_airports_in_one_file_are_spread_over_tasks(spark):
+    """One small file is one task; its runs of all slots and days must not be."""
+    out = QUERIES["schedule_calendar"](spark, SF)
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(tasks) < 2 * sum(tasks) / len(tasks)
+    days = out._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode(sequence")
+    assert "sha2(" in days[2] and "sha2(" not in days[0]  # hashed below the days, once per airport and slot
