@@ -7,9 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tarmac import session
 from tarmac.operators import importance, metrics, models
 from tarmac.operators.target_stats import apply_statistics, label_mean, ordered_statistics, value_statistics
 from tarmac.plans import training
+from tarmac.queries import pipelines
 
 QUICK = models.TrainingSettings(iterations=5, depth=3)
 
@@ -165,3 +167,25 @@ def test_parts_left_out_of_training(spark):
     assert {r.flight_id for r in left.collect()} == {r.flight_id for r in training.test_parts({15: rows.repartition(7)})[15].collect()}
     cal, held = training.evaluation_halves(rows)
     assert cal.count() == held.count() == 500 and cal.join(held, "flight_id").count() == 0
+
+
+def test_registered_training_takes_every_balanced_row(spark, monkeypatch):
+    day = (F.col("id") % 365).cast("int")
+    rows = spark.range(60_000).select(
+        F.col("id").cast("string").alias("flight_id"), F.date_add(F.lit("2024-01-01").cast("date"), day).alias("FlightDate"),
+        *[(F.col("id") % m == 0).cast("int").alias(f"y_dep_ge{t}") for t, m in ((15, 2), (30, 3), (45, 4), (60, 100))],
+    )
+    taken = {}
+    monkeypatch.setattr(pipelines, "_trained", {})
+    monkeypatch.setattr(pipelines, "training_features", lambda *_: rows)
+    monkeypatch.setattr(pipelines, "train_departure", lambda balanced, *_: taken.update({t: table.count() for t, table in balanced.items()}))
+    pipelines.trained(spark, "all rows")
+    pool = [i for i in range(60_000) if i % 365 <= 364 - 90]
+    late = {t: sum(i % m == 0 for i in pool) for t, m in ((15, 2), (30, 3), (45, 4), (60, 100))}
+    assert taken == {t: 2 * min(n, len(pool) - n) for t, n in late.items()} and taken[15] > 40_000
+
+
+def test_written_rows_of_a_training_go(many_pairs, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    models.train_trees(many_pairs[1].limit(500), "y_dep_ge15", 15, ["od_pair"], ["x"], QUICK)
+    assert {p.name for p in tmp_path.iterdir()} == {"category-stats"}
