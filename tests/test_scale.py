@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarmac import fixtures as X
 from tarmac.operators import intervals, joins, legs, lookup, ordered, rolling, similar
 from tarmac.queries import QUERIES
+from tarmac.session import materialize
 
 SF = "/root/testdata/sf0.001"
 # Streams, training and file writers start jobs of their own while the query is built.
@@ -376,3 +377,16 @@ def test_runs_of_airports_in_one_file_are_spread_over_tasks(spark):
     assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(tasks) < 2 * sum(tasks) / len(tasks)
     days = out._jdf.queryExecution().optimizedPlan().toString().partition("Generate explode(sequence")
     assert "sha2(" in days[2] and "sha2(" not in days[0]  # hashed below the days, once per airport and slot
+
+
+def test_day_tables_are_broadcast_below_the_sessions_limit(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    table = materialize(spark.range(10).select("id", F.array("id").alias("many")), "few")
+    few = table.select("id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(QUERIES["departure_features"](spark, SF)).split("== Physical Plan ==")[1].count("BroadcastHashJoin") == 2
+        hashed = ["BroadcastHashJoin" in plan(spark.range(5).join(t, "id")) for t in (few, joins.small(table), joins.small(few, 95), joins.small(few, 96 * 10))]
+        assert hashed == [False, False, False, True]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
