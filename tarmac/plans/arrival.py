@@ -42,7 +42,8 @@ def arrival_features(
 
     ``df`` and ``hist`` should be written tables. Stats by flight number and by route are joined at
     the grain of flight key and day first, so that the facts are shuffled once for both; that table
-    is written, because the expected arrival times read it too.
+    is written, because the expected arrival times read it too. It is joined after the counts, so its columns are not
+    shuffled with the facts. The blocks' table is broadcast while it is small.
     """
     c = FLIGHT
     windows = cfg.arrival_windows
@@ -62,7 +63,7 @@ def arrival_features(
     points = df.select(*c.flight_key, c.date).dropna().distinct()
     flight_stats = _history_stats(points, hist, c.flight_key, by_flight, "fn_od", windows, True)
     route_stats = _history_stats(points, hist, c.route_key, by_route, "car_od", windows, True)
-    block_stats = _history_stats(base, hist, block, {"wo_slip": "wo_slip_min"}, "origin_blk", windows, False)
+    block_stats = joins.small(materialize(_history_stats(base, hist, block, {"wo_slip": "wo_slip_min"}, "origin_blk", windows, False), "block-history"))
     history = materialize(flight_stats.join(route_stats, [*c.route_key, c.date], "left"), "arrival-history")
 
     shift = f"arrdelay_mean_{max(windows)}d_car_od"
@@ -73,8 +74,8 @@ def arrival_features(
     congestion = intervals.interval_count_shifted(narrow, c.carrier, c.dest, "arr_local_date", "__us", shift)
     counts = [f"dest_{a}_pm60_{k}" for k in ("sched", "eta") for a in ("arrivals", "airline_arrivals")]
     out = (
-        base.join(history, flight_day, "left").join(block_stats, [*block, c.date], "left")
-        .join(congestion.select(c.row_id, *counts), c.row_id, "left").drop("__us")
+        base.join(congestion.select(c.row_id, *counts), c.row_id, "left").join(history, flight_day, "left")
+        .join(block_stats, [*block, c.date], "left").drop("__us")
     )
     if departure is not None:
         out = joins.merge_feature_sets(out, departure, [c.row_id])
