@@ -11,6 +11,8 @@ from tarmac.operators.ordered import hour_bucket
 from tarmac.session import materialize
 
 INFINITY = float("inf")
+#: Positions in a block of the departure order, as a multiple of k.
+BLOCK = 4
 
 
 def price_order(price: str):
@@ -33,10 +35,11 @@ def topk_similar(requests: DataFrame, flights: DataFrame, k: int = 20, days: int
     and more. Candidates depart within ``days`` calendar days of the request.
 
     No request is paired with its whole route. Offers and distinct request times are put into one
-    departure order; a running count of offers gives both their position. A request then joins the k
-    offers before and the k after its position, as far as they are within its days. Of offers with one departure time only the k
-    cheapest can matter, and a second position orders those cheapest last, so that the 2k looked at
-    always contain the k wanted. The order's rows are written, as both the counts per bucket and the positions read them.
+    departure order; a running count of offers gives both their position. The order is cut into blocks of 4k positions, as
+    arrays that reach k positions over the block's end, so a request time meets one block and takes the k
+    offers before and the k after its position out of it, as far as they are within its days: these 2k are never rows, and are not shuffled. Of offers
+    with one departure time only the k cheapest can matter, and a second position orders those cheapest last, so that the 2k
+    looked at always contain the k wanted. The order's rows are written, as both the counts per bucket and the positions read them.
     """
     route = ["origin", "dest"]
     same_time = Window.partitionBy(*route, "departure").orderBy("__price", "offer_id")
@@ -65,27 +68,45 @@ def topk_similar(requests: DataFrame, flights: DataFrame, k: int = 20, days: int
         {"__f": F.sum("__offer").over(rows("__tie")), "__b": F.sum("__offer").over(rows(backward_tie))}
     ).join(offsets, [*route, "__bucket"])
     forward, backward = F.col("__f") + F.col("__before"), F.col("__b") + F.col("__before")
-    step = lambda side, position: F.struct(F.lit(side).alias("side"), position.alias("pos"))
-    offers = placed.filter("__offer = 1").withColumn("__at", F.explode(F.array(step(1, forward), step(-1, backward))))
-    span = lambda side, first, last: F.when(
-        first <= last, F.transform(F.sequence(first, last), lambda p: step(side, p))
-    ).otherwise(F.array().cast("array<struct<side:int,pos:bigint>>"))
-    ahead = span(1, forward + 1, F.least(forward + k, F.col("__high")))
-    behind = span(-1, F.greatest(forward - (k - 1), F.col("__low") + 1), forward)
-    wanted = placed.filter("__offer = 0").select(
-        *route, F.col("departure").alias("requested"), F.explode(F.concat(ahead, behind)).alias("__at")
+    spread = BLOCK * k
+    payload = [c for c in flights.columns if c not in route]
+    kept = F.struct("__price", *payload).alias("__offer_row")
+    both = placed.filter("__offer = 1").select(*route, forward.alias("__f"), backward.alias("__b"), kept)
+    block = lambda position: F.floor(position / F.lit(spread)).cast("long")
+    side = lambda name, position, first, last: F.transform(
+        F.sequence(block(first), block(last)), lambda i: F.struct(i.alias("block"), F.lit(name).alias("side"), position.alias("pos"))
     )
-    used = ["__offer", "__tie", "__bucket", "__f", "__b", "__before", "__low", "__high"]
-    near = wanted.join(offers.drop(*used), [*route, "__at"])
-    gap = F.date_diff(F.col("departure").cast("date"), F.col("requested").cast("date"))
-    seconds = epoch_seconds("departure") - epoch_seconds("requested")
-    minutes = F.floor(seconds / 60.0 + 0.5).cast("long")
-    near = near.filter(F.abs(gap) <= days).withColumns(
-        {"similarity_minutes": minutes, "similarity_minutes_abs": F.abs(minutes)}
+    ahead_of = side(1, F.col("__f"), F.greatest(F.col("__f") - k, F.lit(0).cast("long")), F.col("__f") - 1)
+    behind = side(-1, F.col("__b"), F.col("__b"), F.col("__b") + (k - 1))
+    dealt = both.select(*route, F.explode(F.concat(ahead_of, behind)).alias("__at"), "__offer_row")
+    dealt = dealt.select(*route, F.col("__at.block").alias("__block"), F.col("__at.side").alias("__side"), F.col("__at.pos").alias("__pos"), "__offer_row")
+    in_order = lambda name: F.array_sort(
+        F.collect_list(F.when(F.col("__side") == name, F.struct("__pos", "__offer_row"))), lambda x, y: (x["__pos"] - y["__pos"]).cast("int")
     )
-    order = Window.partitionBy(*route, "requested").orderBy("similarity_minutes_abs", "__price", "offer_id")
-    best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("__at", "__price")
-    return requests.select("request_id", *route, F.col("departure").alias("requested")).join(best, [*route, "requested"])
+    blocks = dealt.groupBy(*route, "__block").agg(in_order(1).alias("__ahead"), in_order(-1).alias("__behind"))
+    asked = placed.filter("__offer = 0").select(
+        *route, F.col("departure").alias("requested"), forward.alias("__f"), "__low", "__high", block(forward).alias("__block")
+    )
+    met = asked.join(blocks, [*route, "__block"])
+    part = lambda rows, first, last: F.when(
+        (F.size(rows) > 0) & (first <= last),
+        F.slice(rows, F.greatest(first - rows[0]["__pos"] + 1, F.lit(1)).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")),
+    ).otherwise(F.slice(rows, F.lit(1), F.lit(0)))
+    after = part(F.col("__ahead"), F.col("__f") + 1, F.least(F.col("__f") + k, F.col("__high")))
+    before = part(F.col("__behind"), F.greatest(F.col("__f") - (k - 1), F.col("__low") + 1), F.col("__f"))
+    seconds = lambda o: epoch_seconds(o["departure"]) - epoch_seconds("requested")
+    minutes = lambda o: F.floor(seconds(o) / 60.0 + 0.5).cast("long")
+    near = met.select(*route, "requested", F.transform(F.concat(after, before), lambda x: x["__offer_row"]).alias("__near"))
+    near = near.withColumn("__near", F.filter("__near", lambda o: F.abs(F.date_diff(o["departure"].cast("date"), F.col("requested").cast("date"))) <= days))
+    keys = F.transform("__near", lambda o, i: F.struct(F.abs(minutes(o)).alias("a"), o["__price"].alias("p"), o["offer_id"].alias("o"), i.alias("i")))
+    best = near.withColumn("__keys", F.slice(F.sort_array(keys), 1, k)).select(
+        *route, "requested", F.transform("__keys", lambda s: F.element_at("__near", s["i"] + 1)).alias("__best")
+    )
+    found = requests.select("request_id", *route, F.col("departure").alias("requested")).join(best, [*route, "requested"])
+    found = found.select(*route, "requested", "request_id", F.posexplode("__best").alias("__rank", "__o"))
+    found = found.select(*route, "requested", "request_id", *[F.col("__o")[c].alias(c) for c in payload], (F.col("__rank") + 1).alias("rank"))
+    gap = F.floor((epoch_seconds("departure") - epoch_seconds("requested")) / 60.0 + 0.5).cast("long")
+    return found.select(*route, "requested", "request_id", *payload, gap.alias("similarity_minutes"), F.abs(gap).alias("similarity_minutes_abs"), "rank")
 
 
 def sort_modes(df: DataFrame, mode: str = "date_asc", row_id: str = "offer_id") -> DataFrame:

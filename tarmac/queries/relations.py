@@ -529,12 +529,14 @@ sim AS (SELECT request_id, offer_id, price, CAST((epoch(dd.departure) - epoch(rq
 @query("topk_similar", on_flights("SELECT request_id, offer_id, rank FROM sim WHERE rank <= 20", _OFFERS_SQL))
 def topk_similar(spark, sf):
     unique = similar.dedupe_candidates(offers(spark, sf), ["offer_id"])
+    unique = unique.select("offer_id", "origin", "dest", "departure", "price")  # what the order and the result read
     return similar.topk_similar(similar_requests(spark, sf), unique, 20).select("request_id", "offer_id", "rank")
 
 
 @query("rank_similar", on_flights("SELECT request_id, rank, offer_id, similarity_minutes, price FROM sim WHERE rank <= 3", _OFFERS_SQL))
 def rank_similar(spark, sf):
     unique = similar.dedupe_candidates(offers(spark, sf), ["offer_id"])
+    unique = unique.select("offer_id", "origin", "dest", "departure", "price")
     out = similar.topk_similar(similar_requests(spark, sf), unique, 3)
     return out.select("request_id", "rank", "offer_id", "similarity_minutes", "price")
 

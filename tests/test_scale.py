@@ -390,3 +390,25 @@ def test_day_tables_are_broadcast_below_the_sessions_limit(spark):
         assert hashed == [False, False, False, True]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_similar_flights_across_blocks(spark, k):
+    """Several blocks of the order, requests outside all offers, and no row per request and offer on the way."""
+    rng = random.Random(k)
+    start = dt.datetime(2024, 1, 1)
+    offers = [(i, "A", rng.choice("BC"), start + dt.timedelta(minutes=10 * rng.randrange(900)), rng.choice([None, 0.0, 1.0, 2.0, float("nan")])) for i in range(500)]
+    asked = [(r, "A", rng.choice("BCD"), start + dt.timedelta(minutes=rng.randrange(-4000, 14000))) for r in range(400)]
+    flights = spark.createDataFrame(offers, "offer_id int, origin string, dest string, departure timestamp_ntz, price double")
+    requests = spark.createDataFrame(asked + [(1000 + r[0], *r[1:]) for r in asked[:9]], "request_id int, origin string, dest string, departure timestamp_ntz")
+    out = similar.topk_similar(requests, flights, k)
+    assert not [line for line in plan(out).splitlines() if "Window" in line and "requested" in line]
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["request_id"], []).append((r["rank"], r["offer_id"]))
+    for rid, o, d, t in asked + [(1000 + r[0], *r[1:]) for r in asked[:9]]:
+        near = sorted(
+            (int(abs((f[3] - t).total_seconds())) // 60, f[4] if f[4] and f[4] == f[4] else float("inf"), f[0])
+            for f in offers if f[2] == d and abs((f[3].date() - t.date()).days) <= 1
+        )
+        assert sorted(got.get(rid, [])) == [(i + 1, x[2]) for i, x in enumerate(near[:k])]
