@@ -103,7 +103,8 @@ def topk_similar(requests: DataFrame, flights: DataFrame, k: int = 20, days: int
         *route, "requested", F.transform("__keys", lambda s: F.element_at("__near", s["i"] + 1)).alias("__best")
     )
     found = requests.select("request_id", *route, F.col("departure").alias("requested")).join(best, [*route, "requested"])
-    found = found.select(*route, "requested", "request_id", F.posexplode("__best").alias("__rank", "__o"))
+    # The outer form, as Spark pushes the other's test for empty arrays below the join and makes the arrays again for it.
+    found = found.select(*route, "requested", "request_id", F.posexplode_outer("__best").alias("__rank", "__o")).filter("__rank is not null")
     found = found.select(*route, "requested", "request_id", *[F.col("__o")[c].alias(c) for c in payload], (F.col("__rank") + 1).alias("rank"))
     gap = F.floor((epoch_seconds("departure") - epoch_seconds("requested")) / 60.0 + 0.5).cast("long")
     return found.select(*route, "requested", "request_id", *payload, gap.alias("similarity_minutes"), F.abs(gap).alias("similarity_minutes_abs"), "rank")
